@@ -149,7 +149,7 @@ def _values(units: Column) -> Column:
     )
     heading = lambda u: (
         F.when(F.col("language") == "markdown", F.coalesce(F.nullif(hashes(u), F.lit(0)), F.lit(99)))
-        .when(F.regexp_like(u, F.col("_heading")), 0).when(F.regexp_like(u, F.col("_subheading")), 1).otherwise(2)
+        .when(lexing.matches(u, F.col("_heading")), 0).when(lexing.matches(u, F.col("_subheading")), 1).otherwise(2)
     )
     yaml = lambda u: indent(u) * 2 + F.regexp_like(u, F.lit(r"\A\s*-(?:\s|\z)")).cast("int")
     each = lambda fn: F.transform(units, lambda u: fn(u).cast("int"))
@@ -184,7 +184,7 @@ def _hits() -> Column:
     """Headers found by each rule. Rules are the outer loop, so a pattern is compiled once per file."""
     def by_rule(rule: Column) -> Column:
         found = F.transform(
-            "_units", lambda u, i: F.when(F.regexp_like(u, rule["pattern"]), F.struct(i.alias("i"), rule.alias("rule")))
+            "_units", lambda u, i: F.when(lexing.matches(u, rule["pattern"]), F.struct(i.alias("i"), rule.alias("rule")))
         )
         return F.filter(found, lambda h: h.isNotNull())
 
@@ -254,19 +254,19 @@ def _located(h: Column) -> Column:
     )
 
 
-def _distinct(hits: Column) -> Column:
+def _distinct(ordered: str) -> Column:
     """The first of hits with equal line, type and name, that is, with equal ids.
 
-    Sorted by these three, equal hits are neighbours.
+    Sorted by these three, equal hits are neighbours. The sorted array has to be
+    a column of its own, or it would be sorted again for every element.
     """
-    ordered = F.array_sort(hits)
 
     def is_first(h: Column, i: Column) -> Column:
-        before = F.get(ordered, i - 1)
+        before = F.get(F.col(ordered), i - 1)
         same = (before["start_line"] == h["start_line"]) & (before["chunk_type"] == h["chunk_type"]) & (before["name"] == h["name"])
         return (i == 0) | ~same
 
-    return F.filter(ordered, is_first)
+    return F.filter(F.col(ordered), is_first)
 
 
 def code_chunks(files: DataFrame, path: str = "path", content: str = "content", unique_ids: bool = True) -> DataFrame:
@@ -290,7 +290,7 @@ def code_chunks(files: DataFrame, path: str = "path", content: str = "content",
         "_units",
         lambda u: F.when(F.regexp_like(u, F.lit(r"\A\s*\z")), 1)
         .when(F.regexp_like(u, F.lit(_COMMENT_ONLY)) | u.startswith("<!--"), 2)
-        .when(F.regexp_like(u, F.col("_context")), 3)
+        .when(lexing.matches(u, F.col("_context")), 3)
         .otherwise(0),
     )
     group = F.when(
@@ -309,12 +309,12 @@ def code_chunks(files: DataFrame, path: str = "path", content: str = "content",
         )
         .withColumn("_bytes", F.col("_text").cast("binary"))
         .withColumn("_hits", F.filter(_hits(), _admitted))
-        .withColumn("_located", F.transform("_hits", _located))
+        .withColumn("_located", F.sort_array(F.transform("_hits", _located)))
     )
     if unique_ids:
-        measured = measured.withColumn("_located", _distinct(F.col("_located")))
+        measured = measured.withColumn("_located", _distinct("_located"))
     in_order = F.transform(
-        F.array_sort(F.transform("_located", lambda h: F.struct(h["start"].alias("s"), h["neg_stop"], h["no"], h.alias("h")))),
+        F.sort_array(F.transform("_located", lambda h: F.struct(h["start"].alias("s"), h["neg_stop"], h["no"], h.alias("h")))),
         lambda o: o["h"],
     )
 

@@ -58,6 +58,15 @@ SPLITS = {
 }
 
 
+def matches(text: Column, pattern: Column) -> Column:
+    """Whether a pattern that comes from a column is found.
+
+    ``rlike`` compiles such a pattern for every row, this expression only when
+    it differs from the one before.
+    """
+    return F.regexp_instr(text, pattern) > 0
+
+
 def _blot(token: Column, mark: str) -> Column:
     """The token as marks, byte for byte, with its line feeds as :data:`NEWLINE`."""
     pieces = F.transform(F.split(token, "\n"), lambda piece: F.repeat(F.lit(mark), F.octet_length(piece)))
@@ -101,8 +110,8 @@ def units(content: Column, lex: Column, comment: Column, string: Column, split:
         text = F.concat(mark, F.substring(_blot(token, STRING), 2, 1 << 30))
         long = F.length(token) > 1
         return (
-            F.when(long & F.regexp_like(token, comment), _blot(token, COMMENT))
-            .when(long & F.regexp_like(token, string), text)
+            F.when(long & matches(token, comment), _blot(token, COMMENT))
+            .when(long & matches(token, string), text)
             .otherwise(token)
         )
 

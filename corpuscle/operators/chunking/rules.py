@@ -252,7 +252,7 @@ LANGUAGES: dict[str, Language] = {
         "css",
         "brace",
         [
-            ("rule_set", rf"^({_BLANK})(?!@|\}}|(?:from|to|[\d.]+%)\s*[,{{])([^{{}};@]*[^{{}};@\s])\s*\{{\z", "body"),
+            ("rule_set", rf"^({_BLANK}+)(?![\s@]|\}}|(?:from|to|[\d.]+%)\s*[,{{])([^{{}};@]*[^{{}};@\s])\s*\{{\z", "body"),
             ("media_statement", rf"^({_BLANK})@media\b", "body"),
             ("keyframes_statement", rf"^({_BLANK})@(?:-\w+-)?keyframes\s+([\w-]+)", "body"),
         ],

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,18 +14,26 @@ from corpuscle.functions import text
 Primitive = str | int | float | bool
 
 
-def metadata_filter(filters: dict[str, Primitive] | None) -> Column | None:
+def metadata_filter(filters: dict[str, Primitive] | None, columns: list[str] | None = None) -> Column | None:
     """AND of typed equalities on columns; no filter for an empty mapping.
 
-    A row without the key has a null there and so is never matched.
+    A row without the key has a null there and so is never matched. Names that are
+    not among ``columns`` (if given) are looked up in the ``meta`` map, whose values
+    are JSON texts: there ``1`` and ``"1"`` differ as they should.
     """
     if not filters:
         return None
-    return reduce(lambda a, b: a & b, [F.col(key) == F.lit(value) for key, value in filters.items()])
+
+    def equals(key: str, value: Primitive) -> Column:
+        if columns is None or key in columns:
+            return F.col(key) == F.lit(value)
+        return F.col("meta")[key] == F.lit(json.dumps(value, ensure_ascii=False))
+
+    return reduce(lambda a, b: a & b, [equals(key, value) for key, value in filters.items()])
 
 
 def apply_filter(df: DataFrame, filters: dict[str, Primitive] | None) -> DataFrame:
-    condition = metadata_filter(filters)
+    condition = metadata_filter(filters, df.columns if "meta" in df.columns else None)
     return df if condition is None else df.where(condition)
 
 

@@ -1,4 +1,4 @@
-"""Row numbers within groups of any size."""
+"""Row numbers and look-ups for groups of any size."""
 
 from __future__ import annotations
 
@@ -26,3 +26,20 @@ def spread_row_number(df: DataFrame, group: list[str], key: str, out: str = "nth
         .withColumn(out, F.col("_start") + F.col("_row"))
         .drop("_slice", "_row", "_start")
     )
+
+
+BROADCAST_ROWS = 100_000
+SALTS = 64
+
+
+def attach(rows: DataFrame, details: DataFrame, key: str, spread: str) -> DataFrame:
+    """Left join of ``details`` (one row per key) where a key may own a large part of ``rows``.
+
+    A counted, small detail table is broadcast. A larger one is repeated once per
+    salt, and rows of one key are spread over the salts by their ``spread`` column.
+    """
+    if details.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(details), key, "left")
+    salted = details.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    slot = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
+    return rows.withColumn("_salt", slot).join(salted, [key, "_salt"], "left").drop("_salt")

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.functions import moment, url, validate
+from corpuscle import schemas
+from corpuscle.functions import meta, moment, url, validate
+from corpuscle.functions import path as P
+from corpuscle.operators import embed as E
+from corpuscle.operators import snapshots, tables
+from corpuscle.operators.ranking import attach
+from corpuscle.operators.chunking import blocks, prose
+from corpuscle.operators.chunking.languages import EXTENSIONS
+from corpuscle.session import scratch_path
+from corpuscle.sources.store import Table
 
 # What an ingestion request gets where it names nothing.
 DEFAULT_REF = "main"
@@ -37,3 +46,123 @@ def requests(raw: DataFrame, now: Column) -> DataFrame:
             "status": F.lit("queued"),
         }
     ).drop("token")
+
+
+class Corpus:
+    """The stored tables of a corpus under one root folder."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        def table(name: str, schema: str, key: list[str]) -> Table:
+            return Table(spark, f"{root}/{name}", schema, key, buckets)
+
+        self.spark = spark
+        self.signatures = table("signatures", schemas.SIGNATURES, ["repo_id", "path"])
+        self.parents = table("parents", schemas.PARENTS, ["repo_id", "id"])
+        self.chunks = table("chunks", schemas.CHUNKS, ["repo_id", "file_path"])
+        self.states = table("states", schemas.REPO_STATES, ["repo_url"])
+
+
+def repo_states(requested: DataFrame, states: DataFrame) -> DataFrame:
+    """State of each requested repository; a new one gets an id from its URL and no snapshot."""
+    known = requested.select("repo_url", "repo_id").join(states, "repo_url", "left")
+    return known.select(
+        F.coalesce("id", "repo_id", F.substring(F.sha2("repo_url", 256), 1, 26)).alias("id"),
+        "repo_url",
+        F.coalesce("local_path", F.concat(F.lit("repos/"), "repo_id")).alias("local_path"),
+        "last_processed_snapshot",
+    )
+
+
+def commit_states(states: DataFrame, done: DataFrame) -> DataFrame:
+    """States with the snapshot ``(repo_url, snapshot)`` that was read before processing began."""
+    return states.join(done, "repo_url", "left").select(
+        "id", "repo_url", "local_path", F.coalesce("snapshot", "last_processed_snapshot").alias("last_processed_snapshot")
+    )
+
+
+def chunk_files(files: DataFrame, prose_too: bool = False) -> DataFrame:
+    """Chunks ``(repo_id, file_path, id, ...)`` of files ``(repo_id, path, content)``.
+
+    Files in no known language give no chunks, unless prose is asked for; then
+    they, and Markdown, are cut into paragraphs.
+    """
+    wanted = ["repo_id", "file_path", "id", "name", "chunk_type", "chunk_index", "content", "start_line", "end_line"]
+    files = files.select("repo_id", "path", "content")
+    if not prose_too:
+        return blocks.code_chunks(files).select(*wanted)
+    code = P.extname_lower(F.col("path")).isin([e for l, es in EXTENSIONS.items() if l != "markdown" for e in es])
+    return (
+        blocks.code_chunks(files.where(code)).select(*wanted)
+        .unionByName(prose.paragraphs(files.where(~code), "path").select(*wanted))
+    )
+
+
+def chunk_records(chunks: DataFrame, user_meta: DataFrame | None, now: Column, dim: int = E.DIMENSIONS) -> DataFrame:
+    """Chunks with vectors and metadata; user metadata ``(repo_id, user_id, meta)`` are per repository."""
+    if user_meta is None:
+        owned = chunks.withColumns({"user_id": F.lit(None).cast("string"), "meta": F.lit(None).cast("string")})
+    else:
+        owned = attach(chunks, user_meta.select("repo_id", "user_id", "meta"), "repo_id", "file_path")
+    kept = meta.sanitize(meta.variant_map(F.col("meta")))
+    records = owned.withColumns(
+        {
+            "category": F.lit("repository"),
+            "repository_id": F.col("repo_id"),
+            "workspace_id": F.lit("workspace"),
+            "user_id": F.coalesce("user_id", F.lit(DEFAULT_USER)),
+            "timestamp": moment.iso8601(now),
+            "file_type": P.file_type(F.col("file_path")),
+            "parent_id": F.col("file_path"),
+            "function_name": F.col("name"),
+            "meta": F.transform_values(kept, lambda _, v: F.to_json(v)),
+        }
+    )
+    return E.embed(records, "content", "vector", dim)
+
+
+def parent_records(files: DataFrame, user_meta: DataFrame | None) -> DataFrame:
+    rows = tables.parent_rows(files.select("repo_id", F.col("path").alias("id"), "content"))
+    if user_meta is None:
+        return rows.withColumn("meta", F.expr("cast(map() as map<string,string>)"))
+    kept = meta.sanitize(meta.variant_map(F.col("meta")))
+    return attach(rows, user_meta.select("repo_id", "meta"), "repo_id", "id").withColumn(
+        "meta", F.transform_values(kept, lambda _, v: F.to_json(v))
+    )
+
+
+def run(
+    corpus: Corpus,
+    snapshot: DataFrame,
+    now: Column,
+    user_meta: DataFrame | None = None,
+    prose_too: bool = False,
+    partial: bool = False,
+) -> DataFrame:
+    """Bring the corpus up to a snapshot ``(repo_id, path, content)`` of its repositories.
+
+    Only changed files are chunked and embedded. Signatures are written last, so a
+    run that fails is done again as a whole, and doing it twice changes nothing.
+    A ``partial`` snapshot only adds and modifies. Returns the change set.
+    """
+    spark = corpus.spark
+    after = snapshots.signatures(snapshot)
+    before = corpus.signatures.read()
+    scope = after.select("path", "repo_id") if partial else after.select("repo_id")
+    before = before.join(scope.distinct(), scope.columns, "left_semi")
+    place = scratch_path(spark, "changes")
+    found = snapshots.diff_signatures(before, after)
+    found.join(after.select("repo_id", "path", "hash"), ["repo_id", "path"], "left").write.parquet(place)
+    changes = spark.read.parquet(place)
+    if changes.isEmpty():
+        return changes.drop("hash")
+
+    todo = snapshots.to_process(changes)
+    files = snapshot.join(todo.select("repo_id", "path"), ["repo_id", "path"], "left_semi")
+    files = files.where(~P.is_binary_path(F.col("path")))
+    touched = snapshots.removed_paths(changes).unionByName(todo.select("repo_id", "path")).distinct()
+
+    corpus.parents.replace(parent_records(files, user_meta), touched.withColumnRenamed("path", "id"))
+    records = chunk_records(chunk_files(files, prose_too), user_meta, now)
+    corpus.chunks.replace(records, touched.withColumnRenamed("path", "file_path"))
+    corpus.signatures.replace(changes.where("status <> 'D'").select("repo_id", "path", "hash"), touched)
+    return changes.drop("hash")
