@@ -9,6 +9,7 @@ are exploded. Nothing is shuffled, and cost grows linearly with the text.
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -52,17 +53,25 @@ def dimension(spark: SparkSession) -> DataFrame:
                 (
                     ext, name, language.family, found["lex"], found["comment"], found["string"], split, mark,
                     options.get("context", _DECORATOR), options.get("opens", _NEVER), options.get("closes", _NEVER),
-                    options.get("heading", _NEVER), options.get("subheading", _NEVER), rules,
+                    options.get("heading", _NEVER), options.get("subheading", _NEVER),
+                    "|".join(f"(?:{_bare(pattern)})" for _, pattern, _ in language.rules), rules,
                 )
             )
     return spark.createDataFrame(
         rows,
         "ext string, language string, family string, _lex string, _comment string, _string string, _split string,"
         "_mark string, _context string, _opens string, _closes string, _heading string, _subheading string,"
+        " _any string,"
         f"_rules array<{_RULE}>",
     )
 
 
+def _bare(pattern: str) -> str:
+    """The pattern with its flags kept to itself, fit for an alternation."""
+    flags = re.match(r"\(\?([a-z]+)\)", pattern)
+    return f"(?{flags[1]}:{pattern[flags.end():]})" if flags else pattern
+
+
 def _groups(pattern: str) -> int:
     """Number of capturing groups."""
     plain = re.sub(r"\[(?:\\.|[^\]\\])+\]", "", re.sub(r"\\.", "", pattern))
@@ -107,24 +116,21 @@ def _layout(
             wide = np.maximum(after[_first_at_most(value, np.minimum(bound, value) - 1) - 1], position)
         else:
             close = wide = _closing(value, group, position)
-        rows.append(
-            (
-                np.concatenate([[0], np.cumsum(length)[:-1]])[:n],
-                1 + np.concatenate([[0], np.cumsum(newline)[:-1]])[:n],
-                ctx, prev, close, wide,
-            )
-        )
+        off = np.concatenate([[0], np.cumsum(length)[:-1]])[:n]
+        line = 1 + np.concatenate([[0], np.cumsum(newline)[:-1]])[:n]
+        rows.append([a.astype(np.int32) for a in (off, line, ctx, prev, close, wide)])
     return pd.DataFrame(rows, columns=_LAYOUT)
 
 
 def _closing(value: np.ndarray, group, position: np.ndarray) -> np.ndarray:
     close = position.copy()
-    members = [position] if group is None else [np.flatnonzero(group == g) for g in pd.unique(group)]
+    changing = np.flatnonzero(value)
+    members = [changing] if group is None else [changing[group[changing] == g] for g in pd.unique(group[changing])]
     for chosen in members:
         change = value[chosen]
         level = np.cumsum(change)
         found = _first_at_most(level, level - np.maximum(change, 1))
-        ends = np.append(chosen, position[-1:] if len(position) else [])[np.minimum(found, len(chosen))]
+        ends = np.append(chosen, position[-1:])[np.minimum(found, len(chosen))]
         close[chosen] = np.where(change > 0, ends, chosen)
     return close
 
@@ -180,13 +186,19 @@ def _group(unit: Column, rule: Column, group: int) -> Column:
     return F.call_function("regexp_extract", unit, rule["pattern"], F.lit(group))
 
 
+def _candidates() -> Column:
+    """Units that may be headers: one look at all rules together sorts out the rest."""
+    may = F.transform(
+        "_units", lambda u, i: F.when((_at("_kind", i) == 0) & lexing.matches(u, F.col("_any")), F.struct(i.alias("i"), u.alias("u")))
+    )
+    return F.filter(may, lambda c: c.isNotNull())
+
+
 def _hits() -> Column:
     """Headers found by each rule. Rules are the outer loop, so a pattern is compiled once per file."""
     def by_rule(rule: Column) -> Column:
-        found = F.transform(
-            "_units", lambda u, i: F.when(lexing.matches(u, rule["pattern"]), F.struct(i.alias("i"), rule.alias("rule")))
-        )
-        return F.filter(found, lambda h: h.isNotNull())
+        found = F.filter("_candidates", lambda c: lexing.matches(c["u"], rule["pattern"]))
+        return F.transform(found, lambda c: F.struct(c["i"].alias("i"), rule.alias("rule")))
 
     return F.flatten(F.transform("_rules", by_rule))
 
@@ -205,52 +217,77 @@ def _admitted(h: Column) -> Column:
     )
 
 
-def _located(h: Column) -> Column:
-    """Start and end in bytes, lines and name of a hit."""
+def _layout_at(name: str, i: Column) -> Column:
+    return F.get(F.col(f"_layout.{name}"), i)
+
+
+_EXPORTED = r"\b(?:export|declare)\b"
+
+
+def _headed(h: Column) -> Column:
+    """Where a hit starts: after what precedes it, or at the comments and decorators above it."""
     i, rule = h["i"], h["rule"]
-    unit = _at("_units", i)
-    end = rule["end"]
-    layout = lambda name, at: F.get(F.col(f"_layout.{name}"), at)
-    prefix = _group(unit, rule, 1)
-    exported = F.regexp_like(prefix, F.lit(r"\b(?:export|declare)\b"))
-    ctx = F.when(exported, i).otherwise(layout("ctx", i))
-    lead_from = F.when(ctx < i, _at("_units", ctx)).when(
-        F.regexp_like(prefix, F.lit(r"[@\x01]")) & ~exported, unit
+    return F.struct(
+        i.alias("i"), rule.alias("rule"),
+        _group(_at("_units", i), rule, 1).alias("prefix"),
+        F.when(rule["named"], _group(_at("_units", i), rule, 2)).alias("name"),
+        _layout_at("ctx", i).alias("ctx"),
+        F.when(rule["end"].isin("self", "head", "value"), i)
+        .when(rule["end"] == "sequence", _layout_at("wide", i))
+        .otherwise(_layout_at("close", i))
+        .alias("close"),
     )
-    lead = F.when(lead_from.isNotNull(), F.regexp_extract(lead_from, r"\A[\s\x04]*", 0)).otherwise(prefix)
-    # ends
-    closing = (
-        F.when(end.isin("self", "head", "value"), i).when(end == "sequence", layout("wide", i)).otherwise(layout("close", i))
+
+
+def _bounded(h: Column) -> Column:
+    """What comes before the start in its unit, and the text of the last unit without what follows the block."""
+    i, end, prefix = h["i"], h["rule"]["end"], h["prefix"]
+    plain = ~F.regexp_like(prefix, F.lit(_EXPORTED))
+    marked = F.regexp_like(prefix, F.lit(r"[@\x01]"))
+    lead = (
+        F.when((h["ctx"] < i) & plain, F.regexp_extract(_at("_units", h["ctx"]), r"\A[\s\x04]*", 0))
+        .when(marked & plain, F.regexp_extract(prefix, r"\A[\s\x04]*", 0))
+        .otherwise(prefix)
+    )
+    after = F.when(
+        (end == "tail") & ~F.regexp_like(_at("_units", h["close"]), F.lit(r"[;\n]\z"))
+        & F.regexp_like(_at("_units", h["close"] + 1), F.lit(r"\A[^{};\n]*;\z")),
+        _at("_units", h["close"] + 1),
     )
-    tail_unit = _at("_units", closing + 1)
-    tail = (end == "tail") & F.coalesce(F.regexp_like(tail_unit, F.lit(r"\A[^{};\n]*;\z")), F.lit(False))
-    tail = tail & ~F.regexp_like(_at("_units", closing), F.lit(r"[;\n]\z"))
-    last = F.when(tail, closing + 1).otherwise(closing)
-    trim = (
-        F.when(end == "head", F.lit(r"\s*[{;]?\s*\z"))
-        .when((F.col("family") == "brace") & (last == i) & (_at("_value", i) < 0), F.lit(r"\s*\}\s*\z"))
-        .when(end == "value", F.lit(r"\s*[,}\]]?\s*\z"))
-        .otherwise(F.lit(r"[\s\x01\x04]+\z"))
+    text = _at("_units", h["close"])
+    closes_parent = (F.col("family") == "brace") & (h["close"] == i) & (_at("_value", i) < 0)
+    final = (
+        F.when(end == "head", F.regexp_replace(text, r"\s*[{;]?\s*\z", ""))
+        .when(closes_parent, F.regexp_replace(text, r"\s*\}\s*\z", ""))
+        .when(end == "value", F.regexp_replace(text, r"\s*[,}\]]?\s*\z", ""))
+        .when(after.isNotNull(), after)
+        .otherwise(F.regexp_replace(text, r"[\s\x01\x04]+\z", ""))
     )
-    final = F.regexp_replace(_at("_units", last), trim, F.lit(""))
-    start = layout("off", ctx) + F.octet_length(lead)
-    stop = layout("off", last) + F.octet_length(final)
-    # names
-    direct = F.when(rule["named"], _group(unit, rule, 2))
-    quoted = F.substring(F.col("_bytes"), layout("off", i) + F.octet_length(prefix) + 1, F.octet_length(direct)).cast("string")
-    after = F.when(tail & rule["named"], F.regexp_extract(tail_unit, r"\A\s*(\w+)\s*;\z", 1))
-    name = F.coalesce(
-        F.nullif(F.when(direct.startswith(lexing.STRING), quoted).otherwise(F.trim(direct)), F.lit("")),
-        F.nullif(after, F.lit("")), F.lit("anonymous"),
+    return F.struct(
+        i.alias("i"), h["rule"].alias("rule"), prefix.alias("prefix"), h["name"].alias("name"),
+        F.when(plain, h["ctx"]).otherwise(i).alias("ctx"), lead.alias("lead"),
+        F.when(after.isNotNull(), h["close"] + 1).otherwise(h["close"]).alias("last"), final.alias("final"),
+    )
+
+
+def _located(h: Column) -> Column:
+    """Start and end in bytes, lines and name of a hit."""
+    i, rule, last = h["i"], h["rule"], h["last"]
+    quoted = F.substring(
+        F.col("_bytes"), _layout_at("off", i) + F.octet_length(h["prefix"]) + 1, F.octet_length(h["name"])
+    ).cast("string")
+    late = F.when((rule["end"] == "tail") & rule["named"], F.regexp_extract(h["final"], r"\A\s*(\w+)\s*;\z", 1))
+    name = F.when(h["name"].startswith(lexing.STRING), quoted).otherwise(
+        F.coalesce(F.nullif(F.trim(h["name"]), F.lit("")), F.nullif(late, F.lit("")), F.lit("anonymous"))
     )
     return F.struct(
-        (layout("line", ctx) + lexing.newlines(lead)).cast("int").alias("start_line"),
+        (_layout_at("line", h["ctx"]) + lexing.newlines(h["lead"])).cast("int").alias("start_line"),
         rule["node"].alias("chunk_type"),
         name.alias("name"),
-        start.cast("int").alias("start"),
-        (-stop).cast("int").alias("neg_stop"),
+        (_layout_at("off", h["ctx"]) + F.octet_length(h["lead"])).cast("int").alias("start"),
+        (-(_layout_at("off", last) + F.octet_length(h["final"]))).cast("int").alias("neg_stop"),
         rule["no"].alias("no"),
-        (layout("line", last) + lexing.newlines(final)).cast("int").alias("end_line"),
+        (_layout_at("line", last) + lexing.newlines(h["final"])).cast("int").alias("end_line"),
     )
 
 
@@ -269,23 +306,9 @@ def _distinct(ordered: str) -> Column:
     return F.filter(F.col(ordered), is_first)
 
 
-def code_chunks(files: DataFrame, path: str = "path", content: str = "content", unique_ids: bool = True) -> DataFrame:
-    """Chunks of every file in a known language.
-
-    Result: the file's other columns, then ``id, file_path, language, name, chunk_type,
-    chunk_index, content, start_line, end_line``. Chunks nest, a class and its methods are
-    all returned. Files in other languages give no rows. ``chunk_index`` counts chunks in
-    document order without blank ones.
-    """
-    rest = [c for c in files.columns if c not in (path, content)]
-    known = files.select(
-        *rest, F.col(path).alias("file_path"), X.sanitize(F.col(content)).alias("_text"),
-        P.extname_lower(F.col(path)).alias("ext"),
-    ).join(F.broadcast(dimension(files.sparkSession)), "ext")
-    cut = known.withColumn(
-        "_units",
-        lexing.units(*[F.col(c) for c in ("_text", "_lex", "_comment", "_string", "_split", "_mark")]),
-    )
+@functools.cache
+def _columns() -> dict[str, Column]:
+    """The expressions of :func:`code_chunks` in order; they name columns only, so one set serves all calls."""
     kind = F.transform(
         "_units",
         lambda u: F.when(F.regexp_like(u, F.lit(r"\A\s*\z")), 1)
@@ -296,34 +319,53 @@ def code_chunks(files: DataFrame, path: str = "path", content: str = "content",
     group = F.when(
         F.col("family") == "tag", F.transform("_units", lambda u: F.lower(F.regexp_extract(u, r"\A</?([\w-]+)", 1)))
     )
-    measured = (
-        cut.withColumn("_kind", kind)
-        .withColumn("_value", _values(F.col("_units")))
-        .withColumn("_bound", _bounds())
-        .withColumn(
-            "_layout",
-            _layout(
-                F.transform("_units", F.octet_length), F.transform("_units", lambda u: lexing.newlines(u).cast("int")),
-                F.col("_kind"), F.col("_value"), F.col("_bound"), group,
-            ),
-        )
-        .withColumn("_bytes", F.col("_text").cast("binary"))
-        .withColumn("_hits", F.filter(_hits(), _admitted))
-        .withColumn("_located", F.sort_array(F.transform("_hits", _located)))
+    layout = _layout(
+        F.transform("_units", F.octet_length), F.transform("_units", lambda u: lexing.newlines(u).cast("int")),
+        F.col("_kind"), F.col("_value"), F.col("_bound"), group,
     )
-    if unique_ids:
-        measured = measured.withColumn("_located", _distinct("_located"))
     in_order = F.transform(
-        F.sort_array(F.transform("_located", lambda h: F.struct(h["start"].alias("s"), h["neg_stop"], h["no"], h.alias("h")))),
+        F.sort_array(F.transform("_kept", lambda h: F.struct(h["start"].alias("s"), h["neg_stop"], h["no"], h.alias("h")))),
         lambda o: o["h"],
     )
 
     def shaped(h: Column) -> Column:
         body = F.substring(F.col("_bytes"), h["start"] + 1, -h["neg_stop"] - h["start"]).cast("string")
-        return F.struct(h["name"].alias("name"), h["chunk_type"].alias("chunk_type"), body.alias("content"), h["start_line"].alias("start_line"), h["end_line"].alias("end_line"))
+        rest = [h[name].alias(name) for name in ("name", "chunk_type", "start_line", "end_line")]
+        return F.struct(*rest, body.alias("content"))
+
+    return {
+        "_units": lexing.units(*[F.col(c) for c in ("_text", "_lex", "_comment", "_string", "_split", "_mark")]),
+        "_kind": kind,
+        "_value": _values(F.col("_units")),
+        "_bound": _bounds(),
+        "_layout": layout,
+        "_bytes": F.col("_text").cast("binary"),
+        "_candidates": _candidates(),
+        "_hits": F.filter(_hits(), _admitted),
+        "_headed": F.transform("_hits", _headed),
+        "_bounded": F.transform("_headed", _bounded),
+        "_located": F.sort_array(F.transform("_bounded", _located)),
+        "_kept": _distinct("_located"),
+        "_chunks": F.filter(F.transform(in_order, shaped), lambda c: ~X.is_blank(c["content"])),
+    }
+
 
-    chunks = F.filter(F.transform(in_order, shaped), lambda c: ~X.is_blank(c["content"]))
-    rows = measured.select(*rest, "file_path", "language", F.posexplode(chunks).alias("chunk_index", "_c"))
+def code_chunks(files: DataFrame, path: str = "path", content: str = "content", unique_ids: bool = True) -> DataFrame:
+    """Chunks of every file in a known language.
+
+    Result: the file's other columns, then ``id, file_path, language, name, chunk_type,
+    chunk_index, content, start_line, end_line``. Chunks nest, a class and its methods are
+    all returned. Files in other languages give no rows. ``chunk_index`` counts chunks in
+    document order without blank ones.
+    """
+    rest = [c for c in files.columns if c not in (path, content)]
+    rows = files.select(
+        *rest, F.col(path).alias("file_path"), X.sanitize(F.col(content)).alias("_text"),
+        P.extname_lower(F.col(path)).alias("ext"),
+    ).join(F.broadcast(dimension(files.sparkSession)), "ext")
+    for name, column in _columns().items():
+        rows = rows.withColumn(name, F.col("_located") if name == "_kept" and not unique_ids else column)
+    rows = rows.select(*rest, "file_path", "language", F.posexplode("_chunks").alias("chunk_index", "_c"))
     return rows.select(
         *rest,
         chunk_id(F.col("file_path"), F.col("_c.name"), F.col("_c.chunk_type"), F.col("_c.start_line")).alias("id"),

