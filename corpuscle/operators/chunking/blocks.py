@@ -363,9 +363,13 @@ def code_chunks(files: DataFrame, path: str = "path", content: str = "content",
         *rest, F.col(path).alias("file_path"), X.sanitize(F.col(content)).alias("_text"),
         P.extname_lower(F.col(path)).alias("ext"),
     ).join(F.broadcast(dimension(files.sparkSession)), "ext")
-    for name, column in _columns().items():
+    columns = dict(_columns())
+    chunks = columns.pop("_chunks")
+    for name, column in columns.items():
         rows = rows.withColumn(name, F.col("_located") if name == "_kept" and not unique_ids else column)
-    rows = rows.select(*rest, "file_path", "language", F.posexplode("_chunks").alias("chunk_index", "_c"))
+    # The array is exploded where it is computed: of a plain column Spark would infer a
+    # filter on its size and push a copy of all the work below everything else.
+    rows = rows.select(*rest, "file_path", "language", F.posexplode(chunks).alias("chunk_index", "_c"))
     return rows.select(
         *rest,
         chunk_id(F.col("file_path"), F.col("_c.name"), F.col("_c.chunk_type"), F.col("_c.start_line")).alias("id"),
