@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 # The white space class of ECMAScript regular expressions.
 WHITE = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+WHITE_CHARS = "\t\n\x0b\f\r \xa0" + "".join(
+    chr(c) for c in [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
+)
 # Control characters removed from stored text (tab, LF and CR stay).
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 # Four characters count as one token, 8000 tokens are the model's limit.
@@ -28,11 +31,18 @@ def embed_prep(text: Column) -> Column:
     """Text as sent to the embedder.
 
     Runs of white space at both ends vanish and inner line feeds turn into
-    blanks. A lone line feed at either end turns into a blank too.
+    blanks. A lone line feed at either end turns into a blank too. Trimming by
+    a set of characters looks at the ends only, unlike a regular expression.
     """
-    head = F.regexp_replace(text, rf"\A(?!\n(?:[^{WHITE}]|\z))[{WHITE}]+", "")
-    tail = F.regexp_replace(head, rf"(?<=[^{WHITE}])(?!\n\z)[{WHITE}]+\z", "")
-    return F.translate(tail, "\n", " ")
+    no_head = F.ltrim(text, F.lit(WHITE_CHARS))
+    body = F.rtrim(no_head, F.lit(WHITE_CHARS))
+    lone_head = text.startswith("\n") & (F.length(text) - F.length(no_head) == 1)
+    lone_tail = no_head.endswith("\n") & (F.length(no_head) - F.length(body) == 1)
+
+    def blank(lone: Column) -> Column:
+        return F.when(lone, " ").otherwise("")
+
+    return F.concat(blank(lone_head), F.translate(body, "\n", " "), blank(lone_tail))
 
 
 def estimate_tokens(text: Column) -> Column:
@@ -40,10 +50,11 @@ def estimate_tokens(text: Column) -> Column:
 
 
 def truncate_tokens(text: Column, max_tokens: int = MAX_TOKENS) -> Column:
-    """The embedder's own input limit: longer text is cut to the limit's characters."""
-    return F.when(
-        estimate_tokens(text) > max_tokens, F.substring(text, 1, max_tokens * CHARS_PER_TOKEN)
-    ).otherwise(text)
+    """The embedder's own input limit: longer text is cut to the limit's characters.
+
+    Text within the limit has no more characters than that, so one cut serves both.
+    """
+    return F.substring(text, 1, max_tokens * CHARS_PER_TOKEN)
 
 
 def split_lines(text: Column) -> Column:

@@ -50,7 +50,7 @@ def _sources(spark, sf):
     py = F.concat(note("#"), F.lit("class K"), number, F.lit(':\n    def run(self):\n        return "x:"\n'))
     rb = F.concat(note("#"), F.lit("class K"), number, F.lit("\n  def run(a)\n    a if a\n  end\nend\n"))
     ext = F.when(kind == 0, ".ts").when(kind == 1, ".py").otherwise(".rb")
-    return TB.table(spark, sf, "documents").select(
+    return TB.wide_table(spark, sf, "documents").select(
         F.col("source").alias("repo_id"),
         F.concat(F.lit("src/"), number, ext).alias("path"),
         F.when(kind == 0, ts).when(kind == 1, py).otherwise(rb).alias("content"),
@@ -93,7 +93,7 @@ _LINES = "regexp_replace(regexp_replace({0}, '(^|\\n)[ ]*(#|`|~|[\\x2D=])', '\\1
     UNION ALL SELECT repo_id, concat(p, ':anonymous:fenced_code_block:L', 2 * n + 4), 'fenced_code_block', 6, concat('```', chr(10), '# no', chr(10), '```'), 2 * n + 4, 2 * n + 6 FROM parts""",
 )
 def markdown_sections(spark, sf):
-    docs = TB.table(spark, sf, "documents")
+    docs = TB.wide_table(spark, sf, "documents")
     clean = F.regexp_replace(F.regexp_replace("text", r"[\x00-\x08\x0B-\x1F\x7F]", ""), r"\s+\z", "")
     body = F.concat(F.lit("w "), F.translate(F.replace(clean, F.lit("\n"), F.lit("\nw ")), "`~", ""))
     content = F.concat(
@@ -115,7 +115,7 @@ def markdown_sections(spark, sf):
     SELECT p AS file_path, chunk_type, content, count(*) AS n FROM s GROUP BY ALL""",
 )
 def html_blocks(spark, sf):
-    pages = TB.table(spark, sf, "pages").select(F.concat("page_id", F.lit(".html")).alias("path"), F.col("html").alias("content"))
+    pages = TB.wide_table(spark, sf, "pages").select(F.concat("page_id", F.lit(".html")).alias("path"), F.col("html").alias("content"))
     chunks = blocks.code_chunks(pages, unique_ids=False)
     chunks = chunks.where("chunk_type <> 'element'")
     return chunks.groupBy("file_path", "chunk_type", "content").agg(F.count(F.lit(1)).alias("n"))
@@ -129,7 +129,7 @@ def html_blocks(spark, sf):
 def html_elements(spark, sf):
     """Elements with an id attribute, here the article of each page."""
     html = F.replace(F.col("html"), F.lit("<article>"), F.lit('<article id="main">'))
-    pages = TB.table(spark, sf, "pages").select(F.concat("page_id", F.lit(".html")).alias("path"), html.alias("content"))
+    pages = TB.wide_table(spark, sf, "pages").select(F.concat("page_id", F.lit(".html")).alias("path"), html.alias("content"))
     return blocks.code_chunks(pages).where("chunk_type = 'element'").select("file_path", "content")
 
 

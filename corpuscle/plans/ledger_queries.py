@@ -164,7 +164,7 @@ best AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank D
     f"WITH {_PARAGRAPHS_SQL}, {_BM25} SELECT query_id, position, id, repo_id, rank FROM best WHERE position <= 10 AND rank >= 8",
 )
 def keyword_bm25(spark, sf):
-    chunks = prose.paragraphs(TB.parents(spark, sf))
+    chunks = prose.paragraphs(TB.parents(spark, sf, wide=True))
     queries = TB.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return K.keyword_search(chunks, queries, 10, 8.0, payload=["repo_id"])
 
@@ -192,7 +192,7 @@ def _requests(spark, sf):
 
 
 def _embedded(spark, sf):
-    chunks = prose.paragraphs(TB.parents(spark, sf))
+    chunks = prose.paragraphs(TB.parents(spark, sf, wide=True))
     return E.embed(chunks.withColumn("parent_id", F.col("file_path")))
 
 

@@ -8,19 +8,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuscle.session import widen
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for work that is bound by the processor."""
+    return widen(table(spark, sf_dir, name))
+
+
 PARENTS_SQL = """
 parents AS (
   SELECT concat(source, '/', doc_id, '.md') AS id, source AS repo_id, text AS content, lang, doc_id
   FROM documents)"""
 
 
-def parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+def parents(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
+    docs = wide_table(spark, sf_dir, "documents") if wide else table(spark, sf_dir, "documents")
+    return docs.select(
         F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("id"),
         F.col("source").alias("repo_id"),
         F.col("text").alias("content"),
@@ -88,7 +96,7 @@ snap_b AS (
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents")
+    docs = wide_table(spark, sf_dir, "documents")
     path = F.concat("source", F.lit("/"), "doc_id", F.lit(".md"))
     before = docs.where("doc_id % 10 <> 0").select(
         F.col("source").alias("repo_id"), path.alias("path"), F.col("text").alias("content")
