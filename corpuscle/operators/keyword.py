@@ -59,26 +59,27 @@ def keyword_search(
 
 
 def _weights(rows: DataFrame, words: pa.Array) -> tuple[np.ndarray, float]:
-    """Inverse document frequency per query word and average chunk length.
+    """Inverse document frequency per query word and average chunk length, in one pass.
 
     The word list comes from one block of queries, so what is counted and
-    collected is bounded by it, not by the corpus.
+    collected is bounded by it, not by the corpus. The empty word, which no text
+    contains, stands for every chunk once and carries the lengths.
     """
     spark = rows.sparkSession
-    totals = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_words")).alias("avg")).first()
-    vocabulary = F.broadcast(spark.createDataFrame(pa.table({"word": words.cast(pa.string())})))
+    vocabulary = F.broadcast(spark.createDataFrame(pa.table({"word": [*words.to_pylist(), ""]})))
     counts = (
-        rows.select(F.explode(F.array_distinct("_words")).alias("word"))
+        rows.select(
+            F.size("_words").alias("n_words"), F.explode(F.array_append(F.array_distinct("_words"), F.lit(""))).alias("word")
+        )
         .join(vocabulary, "word", "left_semi")
         .groupBy("word")
-        .agg(F.count(F.lit(1)).alias("df"))
+        .agg(F.count(F.lit(1)).alias("df"), F.sum("n_words").alias("n_words"))
         .toArrow()
     )
-    df = np.zeros(len(words))
-    if counts.num_rows:
-        df[np.asarray(pc.index_in(counts.column("word"), value_set=words))] = counts.column("df").to_numpy()
-    n = totals["n"]
-    return np.log(1 + (n - df + 0.5) / (df + 0.5)), max(totals["avg"] or 0.0, 1e-12)
+    found = {w: (n, total) for w, n, total in zip(*[c.to_pylist() for c in counts.columns])}
+    n, total = found.get("", (0, 0))
+    df = np.array([found.get(w, (0, 0))[0] for w in words.to_pylist()], dtype=np.float64)
+    return np.log(1 + (n - df + 0.5) / (df + 0.5)), max(total / max(n, 1), 1e-12)
 
 
 def _bm25_scorer(block: topk.QueryBlock, words: pa.Array, idf: np.ndarray, average: float):

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from corpuscle.functions import vec
 from corpuscle.operators import filters as FL
 from corpuscle.operators import topk
+from corpuscle.session import written
 
 # Result counts of the search interface.
 DEFAULT_K = 5
@@ -127,6 +128,8 @@ def parent_child(
     hits, bounded = _search(
         corpus, queries, k, filters, ["repo_id", "parent_id", "content"], factor=OVERFETCH, **options
     )
+    # Documents and orphans both come from the hits: keep those few rows, scan the corpus once.
+    hits = written(hits, "hits")
     per_query = Window.partitionBy("query_id")
     named = F.col("parent_id").isNotNull() & (F.col("parent_id") != "")
     hits = hits.withColumn("any_parent", F.max(named).over(per_query))

@@ -26,24 +26,29 @@ def diff_signatures(before: DataFrame, after: DataFrame) -> DataFrame:
     old = before.select("repo_id", "path", F.col("hash").alias("old_hash"))
     new = after.select("repo_id", "path", F.col("hash").alias("new_hash"))
     both = old.join(new, ["repo_id", "path"], "full_outer").where(~F.col("old_hash").eqNullSafe(F.col("new_hash")))
-    modified = both.where("old_hash IS NOT NULL AND new_hash IS NOT NULL").select(
-        "repo_id", "path", F.lit(MODIFIED).alias("status"), F.lit(None).cast("string").alias("old_path")
-    )
-    gone = both.where("new_hash IS NULL").select("repo_id", F.col("path").alias("old_path"), F.col("old_hash").alias("hash"))
-    come = both.where("old_hash IS NULL").select("repo_id", "path", F.col("new_hash").alias("hash"))
-    paired = spread_row_number(come, ["repo_id", "hash"], "path").join(
-        spread_row_number(gone, ["repo_id", "hash"], "old_path"), ["repo_id", "hash", "nth"], "full_outer"
+    kind = F.when(F.col("old_hash").isNull(), ADDED).when(F.col("new_hash").isNull(), DELETED).otherwise(MODIFIED)
+    sides = both.select("repo_id", "path", kind.alias("kind"), F.coalesce("new_hash", "old_hash").alias("hash"))
+    # The n-th added and the n-th deleted copy of a content meet in one group of two.
+    numbered = spread_row_number(sides, ["repo_id", "hash", "kind"], "path")
+
+    def path_of(letter: str) -> Column:
+        return F.max(F.when(F.col("kind") == letter, F.col("path")))
+
+    pairs = numbered.groupBy("repo_id", "hash", (F.col("kind") == MODIFIED).alias("_changed"), "nth").agg(
+        path_of(MODIFIED).alias("_modified"), path_of(ADDED).alias("_added"), path_of(DELETED).alias("_deleted")
     )
     status = (
-        F.when(F.col("old_path").isNull(), ADDED).when(F.col("path").isNull(), DELETED).otherwise(RENAMED)
+        F.when(F.col("_changed"), MODIFIED)
+        .when(F.col("_deleted").isNull(), ADDED)
+        .when(F.col("_added").isNull(), DELETED)
+        .otherwise(RENAMED)
     )
-    moved = paired.select(
+    return pairs.select(
         "repo_id",
-        F.coalesce("path", "old_path").alias("path"),
+        F.coalesce("_modified", "_added", "_deleted").alias("path"),
         status.alias("status"),
-        F.when(F.col("path").isNotNull(), F.col("old_path")).alias("old_path"),
+        F.when(F.col("_added").isNotNull(), F.col("_deleted")).alias("old_path"),
     )
-    return modified.unionByName(moved)
 
 
 def diff(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -44,11 +44,13 @@ def upsert(base: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return base.join(new.select(*key), key, "left_anti").unionByName(new)
 
 
+def clean(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("content", text.sanitize(F.col("content")))
+
+
 def parent_rows(rows: DataFrame) -> DataFrame:
     """Documents ready to be stored: clean text, repository and metadata defaults."""
-    return rows.withColumn("content", text.sanitize(F.col("content"))).withColumn(
-        "repo_id", F.coalesce("repo_id", F.lit("no-repo"))
-    )
+    return clean(rows).withColumn("repo_id", F.coalesce("repo_id", F.lit("no-repo")))
 
 
 def delete_ids(table: DataFrame, ids: DataFrame, key: list[str] | None = None) -> DataFrame:

@@ -285,7 +285,15 @@ def stream_session_stats(spark, sf):
     )
 
 
-@query("stream_ingest")
+@query(
+    "stream_ingest",
+    """WITH lines AS (SELECT source AS repo_id, concat(source, '/', doc_id, '.md') AS file_path,
+      regexp_replace(unnest(string_split(text, chr(10))), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g') AS content,
+      generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
+    SELECT repo_id, file_path, concat(file_path, ':anonymous:paragraph:L', line) AS id,
+      CAST(row_number() OVER (PARTITION BY repo_id, file_path ORDER BY line) - 1 AS INTEGER) AS chunk_index, content
+    FROM lines WHERE NOT regexp_full_match(content, '[\\s\\x0B\\x{A0}\\x{2028}\\x{2029}\\x{3000}\\x{FEFF}]*')""",
+)
 def stream_ingest(spark, sf):
     """Documents arriving as a stream end up as the same chunks as in a batch."""
     corpus = ingest.Corpus(spark, scratch_path(spark, "corpus"), buckets=4)

@@ -13,7 +13,7 @@ from corpuscle.operators import snapshots, tables
 from corpuscle.operators.ranking import attach
 from corpuscle.operators.chunking import blocks, prose
 from corpuscle.operators.chunking.languages import EXTENSIONS
-from corpuscle.session import scratch_path
+from corpuscle.session import written
 from corpuscle.sources.store import Table
 
 # What an ingestion request gets where it names nothing.
@@ -93,7 +93,7 @@ def chunk_files(files: DataFrame, prose_too: bool = False) -> DataFrame:
     code = P.extname_lower(F.col("path")).isin([e for l, es in EXTENSIONS.items() if l != "markdown" for e in es])
     return (
         blocks.code_chunks(files.where(code)).select(*wanted)
-        .unionByName(prose.paragraphs(files.where(~code), "path").select(*wanted))
+        .unionByName(prose.paragraphs(tables.clean(files.where(~code)), "path").select(*wanted))
     )
 
 
@@ -140,19 +140,17 @@ def run(
 ) -> DataFrame:
     """Bring the corpus up to a snapshot ``(repo_id, path, content)`` of its repositories.
 
-    Only changed files are chunked and embedded. Signatures are written last, so a
+    File contents are read once to sign them; after that only changed files are
+    chunked and embedded. Signatures are written last, so a
     run that fails is done again as a whole, and doing it twice changes nothing.
     A ``partial`` snapshot only adds and modifies. Returns the change set.
     """
-    spark = corpus.spark
-    after = snapshots.signatures(snapshot)
+    after = written(snapshots.signatures(snapshot), "signatures")
     before = corpus.signatures.read()
     scope = after.select("path", "repo_id") if partial else after.select("repo_id")
     before = before.join(scope.distinct(), scope.columns, "left_semi")
-    place = scratch_path(spark, "changes")
     found = snapshots.diff_signatures(before, after)
-    found.join(after.select("repo_id", "path", "hash"), ["repo_id", "path"], "left").write.parquet(place)
-    changes = spark.read.parquet(place)
+    changes = written(found.join(after, ["repo_id", "path"], "left"), "changes")
     if changes.isEmpty():
         return changes.drop("hash")
 

@@ -47,6 +47,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows from a table in the shared scratch folder.
+
+    Cuts the lineage where several later steps need one result, so that it is
+    computed once, and a lost executor does not set off computing it again.
+    """
+    spark = df.sparkSession
+    place = scratch_path(spark, name)
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
+
+
 def widen(scan: DataFrame) -> DataFrame:
     """A plain scan with work for every core.
 
