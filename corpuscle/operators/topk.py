@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuscle.session import written
+
 BLOCK_ROWS = 4096
 _CELLS = 1 << 22
 
@@ -45,6 +47,7 @@ def query_blocks(queries: DataFrame, block_rows: int = BLOCK_ROWS) -> list[Query
     head = queries.limit(block_rows + 1).toArrow()
     if head.num_rows <= block_rows:
         return [_block(head)]
+    queries = written(queries, "queries")
     parts = math.ceil(2 * queries.count() / block_rows)
     slot = F.pmod(F.xxhash64("query_id"), F.lit(parts))
     blocks = []

@@ -14,6 +14,7 @@ from corpuscle.plans import ingest
 from corpuscle.plans import testbed as TB
 from corpuscle.plans.registry import query
 from corpuscle.session import scratch_path
+from corpuscle.sources import files
 from corpuscle.sources.store import Table
 from corpuscle.streaming import ingest as SI
 from corpuscle.streaming import jobs as SJ
@@ -99,10 +100,10 @@ def markdown_sections(spark, sf):
     content = F.concat(
         F.lit("# A"), F.col("doc_id"), F.lit("\n"), body, F.lit("\n## B\n"), body, F.lit("\n# C\n```\n# no\n```\n")
     )
-    files = docs.select(
+    sources = docs.select(
         F.col("source").alias("repo_id"), F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("path"), content.alias("content")
     )
-    return blocks.code_chunks(files).select("repo_id", "id", "chunk_type", "chunk_index", "content", "start_line", "end_line")
+    return blocks.code_chunks(sources).select("repo_id", "id", "chunk_type", "chunk_index", "content", "start_line", "end_line")
 
 
 @query(
@@ -168,6 +169,16 @@ def commit_state(spark, sf):
     return ingest.commit_states(states, done)
 
 
+@query("scan_files", "SELECT 'corpus' AS repo_id, concat('source=', source) AS folder, concat(text, chr(10)) AS content FROM documents")
+def scan_files(spark, sf):
+    """Every document written as a text file of its own, then read back by the file scan."""
+    root = scratch_path(spark, "files")
+    docs = TB.wide_table(spark, sf, "documents").select("source", "text")
+    docs.write.partitionBy("source").option("maxRecordsPerFile", 1).text(root)
+    found = files.scan_files(spark, root, "corpus", "*.txt")
+    return found.select("repo_id", F.regexp_replace("path", "/[^/]+$", "").alias("folder"), "content")
+
+
 _NOW = "2024-01-01"
 
 
@@ -297,8 +308,8 @@ def stream_session_stats(spark, sf):
 def stream_ingest(spark, sf):
     """Documents arriving as a stream end up as the same chunks as in a batch."""
     corpus = ingest.Corpus(spark, scratch_path(spark, "corpus"), buckets=4)
-    files = _stream(spark, sf, "documents").select(
+    arriving = _stream(spark, sf, "documents").select(
         F.col("source").alias("repo_id"), F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("path"), F.col("text").alias("content")
     )
-    SI.ingest_stream(files, corpus, scratch_path(spark, "checkpoint"), F.lit(_NOW).cast("timestamp"), True).start().awaitTermination()
+    SI.ingest_stream(arriving, corpus, scratch_path(spark, "checkpoint"), F.lit(_NOW).cast("timestamp"), True).start().awaitTermination()
     return corpus.chunks.read().select("repo_id", "file_path", "id", "chunk_index", "content")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpuscle.functions import chat
 from corpuscle.operators import embed as E
 from corpuscle.operators import jobs as J
 from corpuscle.operators import keyword as K
+from corpuscle.operators import search as S
 from corpuscle.operators import sessions as SE
 from corpuscle.operators.chunking import prose
 from corpuscle.plans import retrieval as R
@@ -216,3 +218,28 @@ def semantic_chunk_search(spark, sf):
 def semantic_search(spark, sf):
     hits = R.search(_requests(spark, sf), _embedded(spark, sf), TB.parents(spark, sf))
     return hits.withColumn("score", F.round("score", 6))
+
+
+@query(
+    "hybrid_search",
+    f"""WITH {_PARAGRAPHS_SQL}, {_BM25}, {_SEMANTIC},
+    votes AS (SELECT query_id, id, position AS rank FROM best WHERE position <= 10 UNION ALL SELECT query_id, id, rank FROM hits WHERE rank <= 5),
+    fused AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS fused_score FROM votes GROUP BY ALL),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, id) AS INTEGER) AS rank FROM fused)
+    SELECT query_id, id, fused_score, rank FROM r WHERE rank <= 5""",
+)
+def hybrid_search(spark, sf):
+    near = R.search_chunks(_requests(spark, sf), _embedded(spark, sf))
+    chunks = prose.paragraphs(TB.parents(spark, sf, wide=True))
+    queries = TB.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    words = K.keyword_search(chunks, queries, 10).drop("rank").withColumnRenamed("position", "rank")
+    return S.reciprocal_rank_fusion([words, near], 5)
+
+
+@query(
+    "context_pack",
+    f"""WITH {_PARAGRAPHS_SQL}, {_SEMANTIC} SELECT query_id, string_agg(content, chr(10) || chr(10) ORDER BY rank) AS context
+    FROM hits WHERE rank <= 5 GROUP BY query_id""",
+)
+def context_pack(spark, sf):
+    return chat.context_pack(R.search_chunks(_requests(spark, sf), _embedded(spark, sf)))
