@@ -11,8 +11,9 @@ GIT_HOSTS = ["github.com", "gitlab.com", "bitbucket.org"]
 _HTTP_URL = (
     r"(?i)^https?://(?:[^\s/@:]+(?::[^\s/@]*)?@)?"
     r"(?:(?:[\p{L}\p{N}](?:[\p{L}\p{N}_-]*[\p{L}\p{N}])?\.)+\p{L}{2,}|\d{1,3}(?:\.\d{1,3}){3})"
-    r"(?::\d{1,5})?(?:[/?#]\S*)?$"
+    r"(?::\d{1,5})?(?:[/?#][^\s<>]*)?$"
 )
+_HTTP_HOST = r"(?i)^https?://(?:[^/?#@\s]*@)?([^\s/?#:@<>\[\]\\^|%]+|\[[0-9a-f:.]+\])(?=[/?#:]|$)"
 
 
 def repo_id(url: Column) -> Column:
@@ -22,15 +23,12 @@ def repo_id(url: Column) -> Column:
 
 
 def is_git_url(url: Column) -> Column:
-    scheme = F.try_parse_url(url, F.lit("PROTOCOL"))
-    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
+    """http(s) URL that ends in ``.git`` or whose host names a known code host."""
+    host = F.lower(F.regexp_extract(url, _HTTP_HOST, 1))
     known = F.lit(False)
     for name in GIT_HOSTS:
         known = known | host.contains(name)
-    return F.coalesce(
-        F.lower(scheme).isin("http", "https") & (F.try_parse_url(url, F.lit("PATH")).endswith(".git") | url.endswith(".git") | known),
-        F.lit(False),
-    )
+    return F.coalesce((host != "") & (url.endswith(".git") | known), F.lit(False))
 
 
 def is_http_url(url: Column) -> Column:

@@ -120,8 +120,8 @@ def repo_id_from_url(spark, sf):
 @query(
     "git_url_valid",
     f"""WITH u AS (SELECT page_id, {_URLS} AS u FROM pages)
-    SELECT page_id, regexp_matches(u, '^https?://') AND (regexp_matches(u, '\\.git([?#].*)?$')
-      OR regexp_matches(u, '^https?://[^/?#]*(github\\.com|gitlab\\.com|bitbucket\\.org)')) AND NOT contains(u, '<') AS is_git FROM u""",
+    SELECT page_id, regexp_matches(u, '^https?://') AND (regexp_matches(u, '\\.git$')
+      OR regexp_matches(u, '^https?://[^/?#]*(github\\.com|gitlab\\.com|bitbucket\\.org)')) AS is_git FROM u""",
 )
 def git_url_valid(spark, sf):
     return TB.table(spark, sf, "pages").select("page_id", url.is_git_url(F.expr(_URLS)).alias("is_git"))
@@ -155,12 +155,12 @@ def validate_search(spark, sf):
       CASE WHEN page_id % 5 = 0 THEN '' WHEN page_id % 5 = 1 THEN 'u1' END AS usr,
       CASE WHEN page_id % 6 = 0 THEN repeat('r', 256) WHEN page_id % 6 = 1 THEN 'dev' END AS ref FROM s)
     SELECT page_id, coalesce(given, derived) AS repo_id, coalesce(ref, 'main') AS ref, coalesce(nullif(usr, ''), 'system') AS user_id,
-      concat_ws(',', CASE WHEN NOT regexp_matches(u, '^https?://') THEN 'repoUrl' END,
+      concat_ws(',', CASE WHEN NOT regexp_matches(u, '^https?://') OR contains(u, '<') THEN 'repoUrl' END,
         CASE WHEN length(ref) > 255 THEN 'ref' END, CASE WHEN usr = '' THEN 'userId' END,
         CASE WHEN page_id % 4 = 0 THEN 'repoId' END,
         CASE WHEN coalesce(given, derived) IS NULL THEN 'repoIdFromUrl' END,
-        CASE WHEN NOT (regexp_matches(u, '^https?://') AND (regexp_matches(u, '\\.git([?#].*)?$')
-          OR regexp_matches(u, '^https?://[^/?#]*(github\\.com|gitlab\\.com|bitbucket\\.org)')) AND NOT contains(u, '<')) THEN 'gitUrl' END) AS errors
+        CASE WHEN NOT (regexp_matches(u, '^https?://') AND (regexp_matches(u, '\\.git$')
+          OR regexp_matches(u, '^https?://[^/?#]*(github\\.com|gitlab\\.com|bitbucket\\.org)'))) THEN 'gitUrl' END) AS errors
     FROM r""",
 )
 def validate_ingest(spark, sf):

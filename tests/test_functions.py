@@ -139,6 +139,7 @@ def test_search_request(spark, prompt, k, body, expected):
         (None, False),
         ("ftp://a.org/b", False),
         ("https://localhost/x", False),
+        ("https://github.com/a<b>", False),
         ("https://10.0.0.1:8080/x.git", True),
     ],
 )
@@ -146,6 +147,12 @@ def test_http_url(spark, address, ok):
     assert values(spark, [address], url.is_http_url) == [ok]
 
 
+def test_git_url(spark):
+    good = ["https://github.com/a/b", "HTTP://x.org/a.git", "https://u@gitlab.com:8080/a", "https://github.com/o/r<n>.git"]
+    bad = ["https://x.org/a", "https://x.org/a.git?x=1", "git@github.com:a/b.git", "ftp://github.com/a.git", "https:///a.git", None]
+    assert values(spark, good + bad, url.is_git_url) == [True] * len(good) + [False] * len(bad)
+
+
 def test_unknown_fields(spark):
     df = spark.createDataFrame([('{"prompt":"a"}',), ('{"prompt":"a","x":1}',)], "b string")
     assert [r[0] for r in df.select(validate.json_request(df, "b", ["prompt", "k", "meta"])).collect()] == [[], ["unknown"]]
