@@ -157,7 +157,7 @@ def run(
     todo = snapshots.to_process(changes)
     files = snapshot.join(todo.select("repo_id", "path"), ["repo_id", "path"], "left_semi")
     files = files.where(~P.is_binary_path(F.col("path")))
-    touched = snapshots.removed_paths(changes).unionByName(todo.select("repo_id", "path")).distinct()
+    touched = snapshots.removed_paths(changes).unionByName(todo.select("repo_id", "path"))
 
     corpus.parents.replace(parent_records(files, user_meta), touched.withColumnRenamed("path", "id"))
     records = chunk_records(chunk_files(files, prose_too), user_meta, now)

@@ -58,7 +58,7 @@ class Table:
         cheap to read, for it is read twice: for its buckets, a list no longer than
         the number of buckets, and for the keys to drop.
         """
-        keys = touched.select(*self.key).distinct()
+        keys = touched.select(*self.key)
         rows = keys.select(self.bucket_of().alias(BUCKET)).distinct().collect()
         numbers = sorted(r[BUCKET] for r in rows)
         if not numbers:
