@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from corpuscle.llm import recompression
+from corpuscle.llm import recompression, suffix_arrays
 from corpuscle.llm.registry import query, table
 
 OP4_SQL = r"""
@@ -30,3 +30,8 @@ FROM w LEFT JOIN cover USING (doc_id) LEFT JOIN keep USING (doc_id)
 @query("op4_substring_dedup", OP4_SQL)
 def op4_substring_dedup(spark, sf_dir):
     return recompression.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix_arrays.remove_repeats(table(spark, sf_dir, "documents"))
