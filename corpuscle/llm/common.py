@@ -10,7 +10,7 @@ from corpuscle.session import scratch_path
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def texts_of(docs: DataFrame, *more: str) -> DataFrame:
+def texts_of(docs: DataFrame, *more: str | Column) -> DataFrame:
     """``row, doc_id, text`` and the columns in ``more``; a null text is empty.
 
     ``row`` names a row by the hash of its id and text, so null and repeated ids are told
@@ -18,8 +18,7 @@ def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     doc_id = F.col("doc_id").cast("long")
-    extra = [c for c in more if c not in ("doc_id", "text")]
-    return docs.select(F.xxhash64(doc_id, text).alias("row"), doc_id.alias("doc_id"), text.alias("text"), *extra)
+    return docs.select(F.xxhash64(doc_id, text).alias("row"), doc_id.alias("doc_id"), text.alias("text"), *more)
 
 
 def scratch(df: DataFrame, name: str) -> DataFrame:
