@@ -123,12 +123,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``row, doc_id, n_shingles, component_id, kept`` per document.
+    """``row, doc_id, n_shingles, component_id, kept, first`` per document.
 
     Texts are lower-cased (A-Z) and cut at white space into sets of five-word shingles. Documents
     whose sets have a likeness of ``percent`` or more are linked, confirmed on the full sets; with
     the default bands a pair at 75 % is missed once in 190,000. ``component_id`` is the smallest id
-    that links reach; ``kept`` says whether it is the document's own. A null or blank text
+    that links reach; ``kept`` says whether it is the document's own; ``first`` marks one row of each
+    component, the first by id and then by hash, or several if they are equal. A null or blank text
     has an empty set and no link. A null id counts as the smallest; equal rows get equal results.
     """
     docs = texts_of(docs)
@@ -173,10 +174,25 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
             links = links.unionByName(more)
             labels = components(links)
 
-    least = classes.join(labels.withColumnRenamed("node", "class"), "class").select("class", "label", "least")
-    whole = least.groupBy("label").agg(F.min("least").alias("least"))
-    of_class = classes.select("class", F.col("least").alias("own")).join(least.select("class", "label"), "class", "left").join(whole, "label", "left")
-    chosen = of_class.select("class", F.coalesce("least", "own").alias("least"))
+    first = F.struct("least", "row")
+    of_label = labels.withColumnRenamed("node", "class")
+    whole = classes.join(of_label, "class").groupBy("label").agg(F.min(first).alias("whole"))
+    chosen = (
+        classes.select("class", first.alias("own"))
+        .join(of_label, "class", "left")
+        .join(whole, "label", "left")
+        .select("class", F.coalesce("whole", "own").alias("head"))
+    )
     found = signed.drop("bands").join(chosen, "class", "left")
-    component = F.when(F.col("class").isNull(), F.col("doc_id")).when(F.col("least") == -(2**63), None).otherwise(F.col("least"))
-    return found.select("row", "doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    none = F.col("class").isNull()
+    component = F.when(none, F.col("doc_id")).when(F.col("head.least") == -(2**63), None).otherwise(F.col("head.least"))
+    return found.select(
+        "row", "doc_id", "n_shingles", component.alias("component_id"), (none | (F.col("row") == F.col("head.row"))).alias("first")
+    ).select("row", "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "first")
+
+
+def deduplicated(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The documents, with all their columns, of which each component keeps one and equal rows keep one."""
+    marked = docs.withColumn("_row_of_text", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    firsts = near_duplicates(docs, percent).where("first").select(F.col("row").alias("_row_of_text")).distinct()
+    return marked.join(firsts.hint("shuffle_hash"), "_row_of_text").dropDuplicates(["_row_of_text"]).drop("_row_of_text")

@@ -74,3 +74,25 @@ def mixed(docs: DataFrame, seed: str = "mix") -> DataFrame:
         .join(starts, ["src", "slot"])
         .select("row", "doc_id", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
     )
+
+
+def materialised(docs: DataFrame, seed: str = "mix") -> DataFrame:
+    """The mix itself: a document once per epoch, and the one at its source's budget cut to the words taken.
+
+    Columns stay, and ``n_chars``, where there is one, follows a cut. Equal rows share what they are taken evenly.
+    """
+    row = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    taken = mixed(docs, seed).groupBy(F.col("row").alias("_row_of_text")).agg(F.max("size").alias("_size"), F.floor(F.avg("taken")).cast("long").alias("_taken"))
+    whole, rest = F.floor(F.col("_taken") / F.col("_size")), F.col("_taken") % F.col("_size")
+    copies = F.sequence(F.lit(1), (whole + F.when(rest > 0, 1).otherwise(0)).cast("int"))
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), rest.cast("int")), " ")
+    out = (
+        docs.withColumn("_row_of_text", row)
+        .join(taken.where("_taken > 0").hint("shuffle_hash"), "_row_of_text")
+        .withColumn("_copy", F.explode(copies))
+        .withColumn("_cut", F.col("_copy") > whole)
+        .withColumn("text", F.when(F.col("_cut"), cut).otherwise(F.col("text")))
+    )
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_cut"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)

@@ -27,4 +27,4 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 
 @query("op8_minhash_near_dedup", OP8_SQL)
 def op8_minhash_near_dedup(spark, sf_dir):
-    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("row")
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("row", "first")
