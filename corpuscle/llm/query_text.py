@@ -3,7 +3,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from corpuscle.llm import language, token_files
+from corpuscle.llm import katz, language, token_files
 from corpuscle.llm.registry import query, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -21,3 +21,8 @@ def op9_language_id(spark, sf_dir):
 def op10_token_files(spark, sf_dir):
     manifest = token_files.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
     return token_files.read_tokens(manifest)
+
+
+@query("op2_lm_scoring")
+def op2_lm_scoring(spark, sf_dir):
+    return katz.scored(table(spark, sf_dir, "documents"))
