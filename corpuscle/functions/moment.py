@@ -9,8 +9,8 @@ ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
 
 def iso8601(ts: Column) -> Column:
-    """UTC text for a timestamp; the session's time zone is expected to be UTC."""
-    return F.date_format(ts, ISO)
+    """UTC text for a timestamp, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), ISO)
 
 
 def from_iso8601(text: Column) -> Column:

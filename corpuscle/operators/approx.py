@@ -50,5 +50,6 @@ def approx_search(
     )
     hits = S.similarity_search(corpus, probing, k, payload=payload, match_on=("cell",))
     kind = queries.schema["query_id"].dataType
-    merged = hits.withColumn("query_id", F.substring_index("query_id", "/", 1).cast(kind)).drop("rank")
+    # The cell follows the last slash; ids may have slashes of their own.
+    merged = hits.withColumn("query_id", F.regexp_extract("query_id", r"(?s)^(.*)/", 1).cast(kind)).drop("rank")
     return S.topk.merge_partials([merged], "id").drop("k", "distance")

@@ -19,8 +19,9 @@ from corpuscle.functions import text
 DIMENSIONS = 64
 
 
-def _input(content: Column) -> Column:
-    return F.when(~text.is_blank(content), text.truncate_tokens(text.embed_prep(content)))
+def _input(content: Column, max_tokens: int | None = None) -> Column:
+    prepared = text.embed_prep(content)
+    return F.when(~text.is_blank(content), text.truncate_tokens(prepared, max_tokens) if max_tokens else prepared)
 
 
 def _buckets(content: Column, dim: int) -> Column:
@@ -55,9 +56,11 @@ def embed_with(
     load_model: Callable[[], Callable[[list[str]], list[list[float]]]],
     content: str = "content",
     out: str = "vector",
+    max_tokens: int | None = None,
 ) -> DataFrame:
     """Embed with a model that is loaded once per Python worker and called per Arrow batch.
 
+    ``max_tokens`` is the model's own input limit; without one, texts are sent whole.
     Vectors stay with their texts; blank texts are never sent and errors fail the task.
     """
 
@@ -69,4 +72,4 @@ def embed_with(
             vectors = pd.Series(model(sent.tolist()), index=sent.index, dtype=object) if len(sent) else sent
             yield vectors.reindex(texts.index).where(texts.notna(), None)
 
-    return df.withColumn(out, call(_input(F.col(content))))
+    return df.withColumn(out, call(_input(F.col(content), max_tokens)))

@@ -6,7 +6,7 @@ Events are ``(job_id, ts, event_id, state, reason[, data, stacktrace])``;
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Attempts and first delay of a job, and how long finished jobs are kept.
@@ -55,27 +55,21 @@ def failed(events: DataFrame) -> DataFrame:
 
 
 def failed_details(events: DataFrame) -> DataFrame:
-    """Failed jobs with times and the reasons of their latest failures, newest first.
-
-    A job fails at most :data:`ATTEMPTS` times in a row, so that many reasons are
-    the whole stack.
-    """
+    """Failed jobs with times and the reasons of all their failures, newest first."""
     now = latest(events).where("state = 'failed'")
     failures = events.where("state = 'failed'").join(now.select("job_id"), "job_id", "left_semi")
-    newest = _newest(failures, ATTEMPTS)
-    return now.join(newest, "job_id").select(
+    return now.join(_stacks(failures), "job_id").select(
         "job_id", F.coalesce("reason", F.lit("Unknown error")).alias("failed_reason"),
         F.concat_ws("\n", "stack").alias("stacktrace"), "attempts", "queued_at", "processed_on",
         F.col("changed_at").alias("finished_on"),
     )
 
 
-def _newest(failures: DataFrame, n: int) -> DataFrame:
-    """The n newest reasons per job; the rank limit cuts each partition to n rows before the shuffle."""
-    order = Window.partitionBy("job_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    ranked = failures.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= n)
-    stack = F.array_sort(F.collect_list(F.struct("nth", F.coalesce("reason", F.lit("Unknown error")).alias("r"))))
-    return ranked.groupBy("job_id").agg(F.transform(stack, lambda s: s["r"]).alias("stack"))
+def _stacks(failures: DataFrame) -> DataFrame:
+    """All reasons per job, newest first; they are gathered in partial aggregates before the shuffle."""
+    reason = F.coalesce("reason", F.lit("Unknown error")).alias("r")
+    stack = F.sort_array(F.collect_list(F.struct("ts", "event_id", reason)), asc=False)
+    return failures.groupBy("job_id").agg(F.transform(stack, lambda s: s["r"]).alias("stack"))
 
 
 def retry(events: DataFrame, jobs: DataFrame | None, now: Column) -> DataFrame:

@@ -13,8 +13,11 @@ ADDED, MODIFIED, DELETED, RENAMED = "A", "M", "D", "R"
 
 
 def signatures(files: DataFrame) -> DataFrame:
-    """``(repo_id, path, hash)``; only this narrow table is ever shuffled for a diff."""
-    return files.select("repo_id", "path", F.sha2(F.col("content"), 256).alias("hash"))
+    """``(repo_id, path, hash)``; only this narrow table is ever shuffled for a diff.
+
+    A file without content is there, too, and has an empty hash.
+    """
+    return files.select("repo_id", "path", F.coalesce(F.sha2(F.col("content"), 256), F.lit("")).alias("hash"))
 
 
 def diff_signatures(before: DataFrame, after: DataFrame) -> DataFrame:

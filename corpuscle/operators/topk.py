@@ -159,6 +159,10 @@ def pa_type_to_spark(kind: pa.DataType) -> T.DataType:
         return T.LongType()
     if pa.types.is_int32(kind):
         return T.IntegerType()
+    if pa.types.is_int16(kind):
+        return T.ShortType()
+    if pa.types.is_int8(kind):
+        return T.ByteType()
     return T.StringType()
 
 

@@ -48,7 +48,7 @@ def failed_jobs(spark, sf):
     "failed_details",
     f"""WITH {_LATEST}, r AS (SELECT job_id, coalesce(reason, 'Unknown error') AS reason,
       row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) AS nth FROM job_events WHERE state = 'failed'),
-    s AS (SELECT job_id, string_agg(reason, chr(10) ORDER BY nth) AS stacktrace FROM r WHERE nth <= 3 GROUP BY job_id)
+    s AS (SELECT job_id, string_agg(reason, chr(10) ORDER BY nth) AS stacktrace FROM r GROUP BY job_id)
     SELECT job_id, coalesce(reason, 'Unknown error') AS failed_reason, stacktrace, attempts, queued_at, processed_on, changed_at AS finished_on
     FROM latest JOIN s USING (job_id) WHERE state = 'failed'""",
 )

@@ -43,7 +43,7 @@ chunks_vec AS (
          d.source AS repo_id,
          CASE WHEN e.label < 5 THEN 'backend' ELSE 'frontend' END AS team,
          CASE WHEN e.vec_id % 50 <> 0 THEN concat(d.source, '/', d.doc_id, '.md') END AS parent_id,
-         substr(d.text, 1, 40) AS content
+         d.text AS content
   FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id // 3)"""
 
 
@@ -59,7 +59,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("source").alias("repo_id"),
         F.when(F.col("label") < 5, "backend").otherwise("frontend").alias("team"),
         F.when(F.col("vec_id") % 50 != 0, path).alias("parent_id"),
-        F.substring("text", 1, 40).alias("content"),
+        F.col("text").alias("content"),
     )
 
 

@@ -176,3 +176,28 @@ def test_generate_and_context(spark):
 
     answers = chat.generate(df.withColumnRenamed("content", "request"), load)
     assert {r.answer for r in answers.collect()} == {"A", "B", "C"}
+
+
+def test_time_is_utc_in_any_session_zone(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert spark.range(1).select(moment.iso8601(F.timestamp_seconds(F.lit(0)))).first()[0] == "1970-01-01T00:00:00.000Z"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_words_of_long_texts_are_all_embedded(spark):
+    from corpuscle.operators import embed
+
+    rows = embed.embed(spark.createDataFrame([("a " * 20000 + "b",), ("a " * 20000,)], "content string")).collect()
+    assert rows[0].vector != rows[1].vector
+
+
+def test_a_file_without_content_is_there(spark):
+    from corpuscle.operators import snapshots
+
+    kind = "repo_id string, path string, content string"
+    before = spark.createDataFrame([("r", "p", "x")], kind)
+    after = spark.createDataFrame([("r", "p", None), ("r", "q", None)], kind)
+    assert sorted((c.path, c.status) for c in snapshots.diff(before, after).collect()) == [("p", "M"), ("q", "A")]
