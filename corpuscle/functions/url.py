@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 # Hosts taken for repositories even without a .git suffix.
 GIT_HOSTS = ["github.com", "gitlab.com", "bitbucket.org"]
 
+# Fixed value: the characters a repository id may have.
+_REPO_ID = r"^[a-zA-Z0-9._-]+$"
+
 _HTTP_URL = (
     r"(?i)^https?://(?:[^\s/@:]+(?::[^\s/@]*)?@)?"
     r"(?:(?:[\p{L}\p{N}](?:[\p{L}\p{N}_-]*[\p{L}\p{N}])?\.)+\p{L}{2,}|\d{1,3}(?:\.\d{1,3}){3})"
@@ -18,8 +21,11 @@ _HTTP_HOST = r"(?i)^https?://(?:[^/?#@\s]*@)?([^\s/?#:@<>\[\]\\^|%]+|\[[0-9a-f:.
 
 def repo_id(url: Column) -> Column:
     """Last path segment without ``.git``; null where it holds unusual characters."""
-    segment = F.regexp_extract(F.regexp_replace(url, r"/+$", ""), r"/([^/]+?)(?:\.git)?$", 1)
-    return F.when(segment.rlike(r"^[a-zA-Z0-9._-]+$"), segment)
+    trimmed = F.rtrim(url, F.lit("/"))
+    last = F.substring_index(trimmed, "/", -1)
+    bare = F.length(last) - F.length(F.lit(".git"))
+    segment = F.when(last.endswith(".git") & (bare > 0), F.substring(last, F.lit(1), bare)).otherwise(last)
+    return F.when(trimmed.contains("/") & segment.rlike(_REPO_ID), segment)
 
 
 def is_git_url(url: Column) -> Column:

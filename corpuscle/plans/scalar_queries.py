@@ -110,7 +110,7 @@ _URLS = """CASE page_id % 9 WHEN 0 THEN concat('https://github.com/org/repo-', p
 @query(
     "repo_id_from_url",
     f"""WITH u AS (SELECT page_id, {_URLS} AS u FROM pages),
-    s AS (SELECT page_id, regexp_extract(regexp_replace(u, '/+$', ''), '/([^/]+?)(?:\\.git)?$', 1) AS seg FROM u)
+    s AS (SELECT page_id, CASE WHEN contains(rtrim(u, '/'), '/') THEN regexp_replace(string_split(rtrim(u, '/'), '/')[-1], '(.)\\.git$', '\\1') ELSE '' END AS seg FROM u)
     SELECT page_id, CASE WHEN regexp_full_match(seg, '[a-zA-Z0-9._-]+') THEN seg END AS repo_id FROM s""",
 )
 def repo_id_from_url(spark, sf):
@@ -149,7 +149,7 @@ def validate_search(spark, sf):
 @query(
     "validate_ingest",
     f"""WITH u AS (SELECT page_id, {_URLS} AS u FROM pages),
-    s AS (SELECT page_id, u, regexp_extract(regexp_replace(u, '/+$', ''), '/([^/]+?)(?:\\.git)?$', 1) AS seg FROM u),
+    s AS (SELECT page_id, u, CASE WHEN contains(rtrim(u, '/'), '/') THEN regexp_replace(string_split(rtrim(u, '/'), '/')[-1], '(.)\\.git$', '\\1') ELSE '' END AS seg FROM u),
     r AS (SELECT page_id, u, CASE WHEN regexp_full_match(seg, '[a-zA-Z0-9._-]+') THEN seg END AS derived,
       CASE WHEN page_id % 4 = 0 THEN 'bad id!' WHEN page_id % 4 = 1 THEN 'good_id-1' END AS given,
       CASE WHEN page_id % 5 = 0 THEN '' WHEN page_id % 5 = 1 THEN 'u1' END AS usr,
