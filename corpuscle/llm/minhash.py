@@ -4,7 +4,7 @@ A set of word shingles is hashed once; each of the bins keeps its smallest hash,
 takes the value of a filled one that a hash of the bin picks. Bands of bins are bucket keys.
 Documents with equal sets form a class first. In each bucket the first class is linked to all
 others, a star; members that no verified link has joined are compared in further rounds, whose
-centres double in number. So every pair that shares a bucket is either in one component or was
+centres grow in number. So every pair that shares a bucket is either in one component or was
 verified on the full sets.
 """
 
@@ -23,6 +23,7 @@ from corpuscle.llm.components import components
 
 WORDS = 5
 ROWS, BANDS = 4, 32
+STEP = 9  # each round has this many times the centres of all before
 BYTES_AT_ONCE = 4 << 20
 U = np.uint64
 SIGNED = "row long, doc_id long, n_shingles long, class long, bands array<long>"
@@ -164,12 +165,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
         last = ranked.agg(F.max("nth")).first()[0] or 0
         if last <= centre:
             break
-        heads = ranked.where((F.col("nth") > centre) & (F.col("nth") <= 2 * centre + 1)).select("bucket", F.col("class").alias("a"), F.col("label").alias("la"), F.col("nth").alias("na"))
+        heads = ranked.where((F.col("nth") > centre) & (F.col("nth") <= STEP * centre)).select("bucket", F.col("class").alias("a"), F.col("label").alias("la"), F.col("nth").alias("na"))
         fresh = ranked.join(heads, "bucket").where("nth > na and label != la").select("a", F.col("class").alias("b")).distinct()
         pairs = scratch(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionByName(pairs)
         more = scratch(_verified(pairs, sets, percent), "links")
-        centre = 2 * centre + 1
+        centre *= STEP
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components(links)
