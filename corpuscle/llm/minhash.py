@@ -3,9 +3,10 @@
 A set of word shingles is hashed once; each of the bins keeps its smallest hash, and an empty bin
 takes the value of a filled one that a hash of the bin picks. Bands of bins are bucket keys.
 Documents with equal sets form a class first. In each bucket the first class is linked to all
-others, a star; members that no verified link has joined are compared in further rounds, whose
-centres grow in number. So every pair that shares a bucket is either in one component or was
-verified on the full sets.
+others, a star; it is the one with the fewest shingles that no other has, so it links most. Members that no verified link has joined are compared in further rounds, whose
+centres grow in number. So every pair that shares a bucket is either in one component, or was
+verified on the full sets, or has a member with too few shingles that occur in any other class
+that shares a bucket, which rules out every link of it.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.llm import hashing as H
@@ -101,6 +102,34 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("class"), pa.array(sets, pa.binary())], names=["class", "shingles"])
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in range(batch.num_rows):
+            items = np.frombuffer(batch.column("shingles")[row].as_buffer(), np.int64)
+            of = np.full(len(items), batch.column("class")[row].as_py(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(items), pa.array(of)], names=["shingle", "class"])
+
+
+def _linkable(sets: DataFrame, percent: int) -> DataFrame:
+    """``class, shingles, size, shared`` of the sets that can have a link.
+
+    ``shared`` counts the shingles that another set has, too; no other is in an intersection.
+    A text that only shares a passage with others is mostly its own, and is ruled out
+    without being compared. Shingles are counted by partial minima and maxima.
+    """
+    owners = sets.mapInArrow(_shingles, "shingle long, class long").groupBy("shingle").agg(F.min("class").alias("class"), F.max("class").alias("z"))
+    own = owners.where("class = z").groupBy("class").agg(F.count(F.lit(1)).alias("own"))
+    size = (F.length("shingles") / 8).cast("long")
+    counted = sets.join(own, "class", "left").select("class", "shingles", size.alias("size"), (size - F.coalesce("own", F.lit(0))).alias("shared"))
+    return counted.where(100 * F.col("shared") >= percent * F.col("size"))
+
+
+def _possible(percent: int) -> Column:
+    """Whether ``size, shared`` and ``size_a, shared_a`` leave room for a link."""
+    both = F.least("shared", "shared_a")
+    return (100 + percent) * both >= percent * (F.col("size") + F.col("size_a"))
+
+
 def _linked(percent: int):
     """Keeps the pairs whose sets are alike: 100 * intersection >= percent * union."""
 
@@ -123,6 +152,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "set_a", "set_b").mapInArrow(_linked(percent), "a long, b long")
 
 
+def _first_shared(keys: Column, others: Column) -> Column:
+    """The first bucket that two classes share: the one in which they meet, so that no pair is made twice."""
+    return F.filter(F.zip_with(keys, others, lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())[0]
+
+
+def _starred(spread: DataFrame, *by: str) -> DataFrame:
+    """The rows ``bucket, class, ...`` of buckets with several classes, and ``a``, the bucket's first class."""
+    first = F.struct(*by, "class")
+    centres = spread.groupBy("bucket").agg(F.min(first).alias("a"), F.max(first).alias("z")).where("a < z").select("bucket", "a.class")
+    return spread.join(centres.withColumnRenamed("class", "a"), "bucket")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``row, doc_id, n_shingles, component_id, kept, first`` per document.
 
@@ -144,31 +185,37 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
         "classes",
     )
     spread = classes.select(F.explode("bands").alias("bucket"), "class")
-    centres = spread.groupBy("bucket").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a < z").select("bucket", "a")
-    buckets = scratch(spread.join(centres, "bucket"), "buckets")
-    met = buckets.select("class").distinct().join(classes.select("class", "row"), "class")
+    met = scratch(_starred(spread).select("class").distinct().join(classes.select("class", "row"), "class"), "met")
     sets = scratch(docs.select("row", "text").join(met.hint("shuffle_hash"), "row").dropDuplicates(["class"]).mapInArrow(_sets, "class long, shingles binary"), "sets")
-
-    pairs = scratch(buckets.where("class != a").select("a", F.col("class").alias("b")).distinct(), "pairs")
-    tested = pairs
-    links = scratch(_verified(pairs, sets, percent), "links")
+    sets = scratch(_linkable(sets, percent), "linkable")
+    counted = sets.select("class", "size", "shared")
+    own = F.col("size") - F.col("shared")
+    buckets = scratch(_starred(spread.join(counted.withColumn("own", own), "class"), "own"), "buckets")
+    keyed = counted.join(classes.select("class", F.col("bands").alias("keys")), "class")
+    of_centre = counted.select(F.col("class").alias("a"), F.col("size").alias("size_a"), F.col("shared").alias("shared_a"))
+
+    spokes = buckets.where("class != a").select("a", "class", "own", "size", "shared").distinct()
+    spokes = scratch(spokes.join(of_centre, "a").where(_possible(percent)).select("a", F.col("class").alias("b")), "pairs")
+    links = scratch(_verified(spokes, sets, percent), "links")
     labels = components(links)
     centre, ranked = 1, None
     while True:
-        here = (buckets if ranked is None else ranked).drop("label", "a").join(labels.withColumnRenamed("node", "class"), "class", "left")
+        here = (buckets.select("bucket", "class", "own") if ranked is None else ranked).drop("label").join(labels.withColumnRenamed("node", "class"), "class", "left")
         here = here.withColumn("label", F.coalesce("label", "class"))
-        mixed = here.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size")).where("x < y and size > 2")
+        mixed = here.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("held")).where("x < y and held > 2")
         here = here.join(mixed.select("bucket"), "bucket", "left_semi")
         if ranked is None:
-            here = here.withColumn("nth", F.row_number().over(Window.partitionBy("bucket").orderBy("class")))
+            here = here.withColumn("nth", F.row_number().over(Window.partitionBy("bucket").orderBy("own", "class"))).drop("own").join(keyed, "class")
         ranked = scratch(here, "open")
         last = ranked.agg(F.max("nth")).first()[0] or 0
         if last <= centre:
             break
-        heads = ranked.where((F.col("nth") > centre) & (F.col("nth") <= STEP * centre)).select("bucket", F.col("class").alias("a"), F.col("label").alias("la"), F.col("nth").alias("na"))
-        fresh = ranked.join(heads, "bucket").where("nth > na and label != la").select("a", F.col("class").alias("b")).distinct()
-        pairs = scratch(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(pairs)
+        heads = ranked.where((F.col("nth") > centre) & (F.col("nth") <= STEP * centre)).select(
+            "bucket", *[F.col(c).alias(f"{c}_a") for c in ("class", "label", "nth", "size", "shared", "keys")]
+        )
+        here = _possible(percent) & F.expr("nth > nth_a and label <> label_a") & (F.col("bucket") == _first_shared(F.col("keys"), F.col("keys_a")))
+        fresh = ranked.join(heads, "bucket").where(here).select(F.col("class_a").alias("a"), F.col("class").alias("b"))
+        pairs = scratch(fresh.join(spokes, ["a", "b"], "left_anti"), "pairs")
         more = scratch(_verified(pairs, sets, percent), "links")
         centre *= STEP
         if not more.isEmpty():
