@@ -183,12 +183,16 @@ def memory(corpus: DataFrame, queries: DataFrame, user_id: str, kind: str, k: in
 
 
 def reciprocal_rank_fusion(lists: list[DataFrame], k: int = DEFAULT_K, damping: int = 60) -> DataFrame:
-    """Hybrid ranking of several result lists ``(query_id, id, rank)``."""
-    votes = lists[0].select("query_id", "id", "rank")
+    """Hybrid ranking of several result lists ``(query_id, id, rank)``.
+
+    Where all lists have a ``repo_id``, equal ids of two repositories are two hits.
+    """
+    key = ["repo_id", "id"] if all("repo_id" in hits.columns for hits in lists) else ["id"]
+    votes = lists[0].select("query_id", *key, "rank")
     for more in lists[1:]:
-        votes = votes.unionByName(more.select("query_id", "id", "rank"))
-    fused = votes.groupBy("query_id", "id").agg(
+        votes = votes.unionByName(more.select("query_id", *key, "rank"))
+    fused = votes.groupBy("query_id", *key).agg(
         F.round(F.sum(1.0 / (F.lit(damping) + F.col("rank"))), 9).alias("fused_score")
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("fused_score"), "id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("fused_score"), *reversed(key))
     return fused.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.functions import text
 from corpuscle.operators import filters as FL
+from corpuscle.operators import quality
 
 
 def get_document(table: DataFrame, id_: object) -> DataFrame:
@@ -15,14 +16,22 @@ def get_document(table: DataFrame, id_: object) -> DataFrame:
 
 
 def get_documents(table: DataFrame, ids: DataFrame | list) -> DataFrame:
-    """The records that exist among ``ids``; short lists are pushed into the scan."""
+    """The records that exist among ``ids``; short lists are pushed into the scan.
+
+    ``ids`` with a ``repo_id`` name records of that repository only.
+    """
     if isinstance(ids, list):
         found = table.where(F.col("id").isin(ids))
     else:
-        found = table.join(ids.select("id"), "id", "left_semi")
+        key = _key_of(ids)
+        found = table.join(ids.select(*key), key, "left_semi")
     return found.withColumn("content", F.coalesce("content", F.lit("")))
 
 
+def _key_of(ids: DataFrame) -> list[str]:
+    return ["repo_id", "id"] if "repo_id" in ids.columns else ["id"]
+
+
 def get_parents(table: DataFrame, wanted: DataFrame) -> DataFrame:
     """Documents by ``(repo_id, id)``."""
     return table.join(wanted.select("repo_id", "id"), ["repo_id", "id"], "left_semi")
@@ -40,8 +49,9 @@ def first_per_key(rows: DataFrame, key: list[str], order: list[Column]) -> DataF
 
 
 def upsert(base: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """Base rows whose key is not among the new ones, plus the new ones."""
-    return base.join(new.select(*key), key, "left_anti").unionByName(new)
+    """Base rows whose key is not among the new ones, plus the new ones; fails on a key that is twice among them."""
+    once = quality.require_unique(new, key).where("copies = 1")  # read here, or the check would be pruned
+    return base.join(once, key, "left_anti").unionByName(new)
 
 
 def clean(rows: DataFrame) -> DataFrame:
@@ -54,7 +64,8 @@ def parent_rows(rows: DataFrame) -> DataFrame:
 
 
 def delete_ids(table: DataFrame, ids: DataFrame, key: list[str] | None = None) -> DataFrame:
-    key = key or ["id"]
+    """Rows whose key is not among ``ids``: ``(repo_id, id)`` where ``ids`` has both, else ``id``."""
+    key = key or _key_of(ids)
     return table.join(ids.select(*key), key, "left_anti")
 
 

@@ -137,17 +137,22 @@ def run(
     user_meta: DataFrame | None = None,
     prose_too: bool = False,
     partial: bool = False,
+    repos: DataFrame | None = None,
 ) -> DataFrame:
     """Bring the corpus up to a snapshot ``(repo_id, path, content)`` of its repositories.
 
     File contents are read once to sign them; after that only changed files are
     chunked and embedded. Signatures are written last, so a
     run that fails is done again as a whole, and doing it twice changes nothing.
-    A ``partial`` snapshot only adds and modifies. Returns the change set.
+    A ``partial`` snapshot only adds and modifies. ``repos`` names the processed
+    repositories ``(repo_id)``; one of them without a file in the snapshot is emptied.
+    Without it, they are those of the snapshot. Returns the change set.
     """
     after = written(snapshots.signatures(snapshot), "signatures")
     before = corpus.signatures.read()
     scope = after.select("path", "repo_id") if partial else after.select("repo_id")
+    if repos is not None and not partial:
+        scope = scope.unionByName(repos.select("repo_id"))
     before = before.join(scope.distinct(), scope.columns, "left_semi")
     found = snapshots.diff_signatures(before, after)
     changes = written(found.join(after, ["repo_id", "path"], "left"), "changes")

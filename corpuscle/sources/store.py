@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuscle.operators import filters as FL
+from corpuscle.operators import quality
 
 BUCKET = "bucket"
 
@@ -84,7 +85,10 @@ class Table:
         )
 
     def upsert(self, rows: DataFrame) -> None:
-        """Insert or replace rows by key; a key may occur once in ``rows``."""
+        """Insert or replace rows by key; fails before anything is written where a key is twice in ``rows``."""
+        twice = quality.duplicate_ids(rows, self.key).first()
+        if twice:
+            raise ValueError(f"duplicate key: {[twice[c] for c in self.key]}")
         self.replace(rows, rows)
 
     def delete(self, keys: DataFrame) -> None:

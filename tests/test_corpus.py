@@ -10,6 +10,7 @@ from corpuscle.operators import jobs as J
 from corpuscle.operators import quality as Q
 from corpuscle.operators import sessions as SE
 from corpuscle.operators import snapshots as D
+from corpuscle.operators import tables
 from corpuscle.operators.ranking import attach, spread_row_number
 from corpuscle.plans import ingest
 from corpuscle.sources import files as SF
@@ -88,6 +89,9 @@ def test_table_upsert_delete(spark, table):
     before = as_set(table.read(), "file_path", "v")
     table.upsert(rows(spark, [("r", "f3", 3, "b")]))
     assert as_set(table.read(), "file_path", "v") == before
+    with pytest.raises(ValueError, match="duplicate key"):
+        table.upsert(rows(spark, [("r", "f3", 3, "c"), ("r", "f3", 4, "d")]))
+    assert as_set(table.read(), "file_path", "v") == before
     table.delete(rows(spark, [("r", f"f{i}", 0, "") for i in range(20)]).select("repo_id", "file_path"))
     assert as_set(table.read(), "file_path") == {("new",)}
 
@@ -101,6 +105,18 @@ def test_table_delete_where_and_clear(spark, table):
     assert table.clear() == 2 and table.read().count() == 0 and table.clear() == 0
 
 
+def test_keys_hold_the_repository(spark):
+    stored = spark.createDataFrame([("r", "1", "a"), ("q", "1", "b"), ("q", "2", "c")], "repo_id string, id string, content string")
+    one = spark.createDataFrame([("q", "1")], "repo_id string, id string")
+    assert as_set(tables.get_documents(stored, one), "content") == {("b",)}
+    assert as_set(tables.get_documents(stored, one.select("id")), "content") == {("a",), ("b",)}
+    assert as_set(tables.delete_ids(stored, one), "content") == {("a",), ("c",)}
+    new = spark.createDataFrame([("q", "1", "x")], stored.schema)
+    assert as_set(tables.upsert(stored, new, ["repo_id", "id"]), "content") == {("a",), ("c",), ("x",)}
+    with pytest.raises(Exception, match="duplicate id"):
+        tables.upsert(stored, new.unionByName(new), ["repo_id", "id"]).collect()
+
+
 CODE = "// adds\nfunction add(a, b) {\n  return a + b;\n}\n"
 
 
@@ -125,6 +141,13 @@ def test_ingest(spark, tmp_path):
     assert as_set(corpus.parents.read(), "id") == {("c.js",), ("b.py",), ("n.txt",)}
     ingest.run(corpus, second.where("path = 'c.js'"), now(), owner)
     assert as_set(corpus.parents.read(), "id") == {("c.js",)}
+    other = snap(spark, [("q", "a.js", CODE)])
+    ingest.run(corpus, other, now())
+    assert as_set(corpus.parents.read(), "repo_id", "id") == {("r", "c.js"), ("q", "a.js")}
+    changes = ingest.run(corpus, other, now(), repos=spark.createDataFrame([("r",), ("q",)], "repo_id string"))
+    assert as_set(changes, "repo_id", "path", "status") == {("r", "c.js", "D")}
+    assert as_set(corpus.parents.read(), "repo_id", "id") == {("q", "a.js")}
+    assert as_set(corpus.chunks.read(), "repo_id") == {("q",)}
 
 
 def test_scan_files(spark, tmp_path):

@@ -188,3 +188,6 @@ def test_fusion(spark):
     a = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "query_id int, id string, rank int")
     b = spark.createDataFrame([(1, "y", 1), (1, "z", 2)], "query_id int, id string, rank int")
     assert ranked(S.reciprocal_rank_fusion([a, b], 2)) == {1: ["y", "x"]}
+    a, b = a.withColumn("repo_id", F.lit("r")), b.withColumn("repo_id", F.lit("q"))
+    hits = S.reciprocal_rank_fusion([a, b], 4).orderBy("rank").select("repo_id", "id").collect()
+    assert [tuple(h) for h in hits] == [("r", "x"), ("q", "y"), ("r", "y"), ("q", "z")]
