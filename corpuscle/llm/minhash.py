@@ -24,7 +24,7 @@ from corpuscle.llm.components import components
 
 WORDS = 5
 ROWS, BANDS = 4, 32
-STEP = 9  # each round has this many times the centres of all before
+STEP = 81  # each round has this many times the centres of all before
 BYTES_AT_ONCE = 4 << 20
 U = np.uint64
 SIGNED = "row long, doc_id long, n_shingles long, class long, bands array<long>"
