@@ -82,6 +82,18 @@ def test_equals_brute_force(documents, head, chunk):
         assert a[:5] == b[:5] and np.allclose(a[5:], b[5:], rtol=1e-9)
 
 
+def test_tells_every_training_word_apart(documents):
+    """More words than 65,000, once the most that pairs told apart."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(70_000)] * 2
+    rng.shuffle(words)
+    rows = [(i, " ".join(words[i * 1000 : i * 1000 + 1000])) for i in range(140)] + [(2, "w1 w2 new w3 w4")]
+    assert len({w for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2 for w in t.split()}) > 65_000
+    mine = sorted(map(tuple, katz.scored(documents(rows)).collect()), key=repr)
+    for a, b in zip(mine, sorted(brute(rows, 10**9), key=repr), strict=True):
+        assert a[:5] == b[:5] and np.allclose(a[5:], b[5:], rtol=1e-9)
+
+
 def test_nothing_to_learn_from(documents):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     rows = katz.scored(documents([(held, "a b")])).collect()
