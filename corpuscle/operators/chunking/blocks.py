@@ -291,19 +291,27 @@ def _located(h: Column) -> Column:
     )
 
 
-def _distinct(ordered: str) -> Column:
-    """The first of hits with equal line, type and name, that is, with equal ids.
+def _is_first(ordered: str, h: Column, i: Column) -> Column:
+    """Whether a hit is the first of those with equal line, type and name.
 
     Sorted by these three, equal hits are neighbours. The sorted array has to be
     a column of its own, or it would be sorted again for every element.
     """
+    before = F.get(F.col(ordered), i - 1)
+    same = (before["start_line"] == h["start_line"]) & (before["chunk_type"] == h["chunk_type"]) & (before["name"] == h["name"])
+    return (i == 0) | ~same
+
+
+def _distinct(ordered: str) -> Column:
+    return F.filter(F.col(ordered), lambda h, i: _is_first(ordered, h, i))
 
-    def is_first(h: Column, i: Column) -> Column:
-        before = F.get(F.col(ordered), i - 1)
-        same = (before["start_line"] == h["start_line"]) & (before["chunk_type"] == h["chunk_type"]) & (before["name"] == h["name"])
-        return (i == 0) | ~same
 
-    return F.filter(F.col(ordered), is_first)
+def _ordinals(starts: str, ordered: str) -> Column:
+    """Numbers from 1 within each run of equal hits, from the places where runs start, a column of its own as well."""
+    runs = F.transform(
+        F.col(starts), lambda at, r: F.sequence(F.lit(1), F.coalesce(F.get(F.col(starts), r + 1), F.size(F.col(ordered))) - at)
+    )
+    return F.flatten(runs)
 
 
 @functools.cache
@@ -330,7 +338,7 @@ def _columns() -> dict[str, Column]:
 
     def shaped(h: Column) -> Column:
         body = F.substring(F.col("_bytes"), h["start"] + 1, -h["neg_stop"] - h["start"]).cast("string")
-        rest = [h[name].alias(name) for name in ("name", "chunk_type", "start_line", "end_line")]
+        rest = [h[name].alias(name) for name in ("name", "chunk_type", "start_line", "end_line", "ordinal")]
         return F.struct(*rest, body.alias("content"))
 
     return {
@@ -345,18 +353,25 @@ def _columns() -> dict[str, Column]:
         "_headed": F.transform("_hits", _headed),
         "_bounded": F.transform("_headed", _bounded),
         "_located": F.sort_array(F.transform("_bounded", _located)),
-        "_kept": _distinct("_located"),
+        "_starts": F.filter(F.transform("_located", lambda h, i: F.when(_is_first("_located", h, i), i)), lambda i: i.isNotNull()),
+        "_ordinal": _ordinals("_starts", "_located"),
+        "_numbered": F.zip_with("_located", "_ordinal", lambda h, o: h.withField("ordinal", o)),
+        "_distinct": F.transform(_distinct("_located"), lambda h: h.withField("ordinal", F.lit(1))),
+        "_every": F.transform("_located", lambda h: h.withField("ordinal", F.lit(1))),
         "_chunks": F.filter(F.transform(in_order, shaped), lambda c: ~X.is_blank(c["content"])),
     }
 
 
-def code_chunks(files: DataFrame, path: str = "path", content: str = "content", unique_ids: bool = True) -> DataFrame:
+def code_chunks(files: DataFrame, path: str = "path", content: str = "content", unique_ids: bool = True, numbered: bool = False) -> DataFrame:
     """Chunks of every file in a known language.
 
     Result: the file's other columns, then ``id, file_path, language, name, chunk_type,
     chunk_index, content, start_line, end_line``. Chunks nest, a class and its methods are
     all returned. Files in other languages give no rows. ``chunk_index`` counts chunks in
     document order without blank ones.
+
+    Blocks of equal line, type and name have equal ids. With ``numbered``, all are returned, and from the
+    second on ``#2``, ``#3`` ... follows the id; else the first is returned, or all if ids need not be unique.
     """
     rest = [c for c in files.columns if c not in (path, content)]
     rows = files.select(
@@ -365,13 +380,19 @@ def code_chunks(files: DataFrame, path: str = "path", content: str = "content",
     ).join(F.broadcast(dimension(files.sparkSession)), "ext")
     columns = dict(_columns())
     chunks = columns.pop("_chunks")
+    kept = "_numbered" if numbered else "_distinct" if unique_ids else "_every"
+    unused = {"_numbered", "_distinct", "_every"} - {kept} | (set() if numbered else {"_starts", "_ordinal"})
     for name, column in columns.items():
-        rows = rows.withColumn(name, F.col("_located") if name == "_kept" and not unique_ids else column)
+        if name not in unused:
+            rows = rows.withColumn("_kept" if name == kept else name, column)
     # The array is exploded where it is computed: of a plain column Spark would infer a
     # filter on its size and push a copy of all the work below everything else.
     rows = rows.select(*rest, "file_path", "language", F.posexplode(chunks).alias("chunk_index", "_c"))
     return rows.select(
         *rest,
-        chunk_id(F.col("file_path"), F.col("_c.name"), F.col("_c.chunk_type"), F.col("_c.start_line")).alias("id"),
+        F.concat(
+            chunk_id(F.col("file_path"), F.col("_c.name"), F.col("_c.chunk_type"), F.col("_c.start_line")),
+            F.when(F.col("_c.ordinal") > 1, F.concat(F.lit("#"), F.col("_c.ordinal").cast("string"))).otherwise(""),
+        ).alias("id"),
         "file_path", "language", "_c.name", "_c.chunk_type", "chunk_index", "_c.content", "_c.start_line", "_c.end_line",
     )

@@ -72,7 +72,7 @@ SELECT repo_id, concat(path, ':run:', inner_kind, ':L', n + 2), path, 'run', inn
 
 @query("code_chunks", f"WITH {_CODE_CHUNKS_SQL}")
 def code_chunks(spark, sf):
-    return blocks.code_chunks(_sources(spark, sf)).drop("language")
+    return blocks.code_chunks(_sources(spark, sf), numbered=True).drop("language")
 
 
 _LINES = "regexp_replace(regexp_replace({0}, '(^|\\n)[ ]*(#|`|~|[\\x2D=])', '\\1.', 'g'), '\\s+$', '')"
@@ -103,7 +103,7 @@ def markdown_sections(spark, sf):
     sources = docs.select(
         F.col("source").alias("repo_id"), F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("path"), content.alias("content")
     )
-    return blocks.code_chunks(sources).select("repo_id", "id", "chunk_type", "chunk_index", "content", "start_line", "end_line")
+    return blocks.code_chunks(sources, numbered=True).select("repo_id", "id", "chunk_type", "chunk_index", "content", "start_line", "end_line")
 
 
 @query(
@@ -131,7 +131,7 @@ def html_elements(spark, sf):
     """Elements with an id attribute, here the article of each page."""
     html = F.replace(F.col("html"), F.lit("<article>"), F.lit('<article id="main">'))
     pages = TB.wide_table(spark, sf, "pages").select(F.concat("page_id", F.lit(".html")).alias("path"), html.alias("content"))
-    return blocks.code_chunks(pages).where("chunk_type = 'element'").select("file_path", "content")
+    return blocks.code_chunks(pages, numbered=True).where("chunk_type = 'element'").select("file_path", "content")
 
 
 _STATE_SQL = """

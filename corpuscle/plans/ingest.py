@@ -89,10 +89,10 @@ def chunk_files(files: DataFrame, prose_too: bool = False) -> DataFrame:
     wanted = ["repo_id", "file_path", "id", "name", "chunk_type", "chunk_index", "content", "start_line", "end_line"]
     files = files.select("repo_id", "path", "content")
     if not prose_too:
-        return blocks.code_chunks(files).select(*wanted)
+        return blocks.code_chunks(files, numbered=True).select(*wanted)
     code = P.extname_lower(F.col("path")).isin([e for l, es in EXTENSIONS.items() if l != "markdown" for e in es])
     return (
-        blocks.code_chunks(files.where(code)).select(*wanted)
+        blocks.code_chunks(files.where(code), numbered=True).select(*wanted)
         .unionByName(prose.paragraphs(tables.clean(files.where(~code)), "path").select(*wanted))
     )
 

@@ -5,6 +5,7 @@ import pytest
 from corpuscle.operators.chunking import languages
 from corpuscle.operators.chunking.blocks import code_chunks
 from corpuscle.operators.chunking.rules import LANGUAGES
+from corpuscle.plans.ingest import chunk_files
 
 CASES = {
     'a.ts': (
@@ -380,3 +381,13 @@ def test_offsets_count_bytes_not_characters(spark):
     text = "// é🎉 comment\nclass A {\n  /* ü */ run() { return 'ß{'; }\n}\n"
     got = code_chunks(spark.createDataFrame([("a.js", text)], "path string, content string")).orderBy("chunk_index").collect()
     assert [r.content for r in got] == [text.strip(), "/* ü */ run() { return 'ß{'; }"]
+
+
+def test_ingestion_keeps_every_block_of_a_line(spark):
+    """Blocks of equal line, type and name are told apart by an ordinal."""
+    files = spark.createDataFrame([("r", "a.json", '{"a": {}, "b": {"c": {}}}')], "repo_id string, path string, content string")
+    got = chunk_files(files).orderBy("chunk_index").collect()
+    assert len(got) == len({r.id for r in got}) == 7
+    objects = [(r.id, r.content) for r in got if r.chunk_type == "object"]
+    assert [i for i, _ in objects] == ["a.json:anonymous:object:L1" + end for end in ("", "#2", "#3", "#4")]
+    assert [c for _, c in objects] == ['{"a": {}, "b": {"c": {}}}', "{}", '{"c": {}}', "{}"]
