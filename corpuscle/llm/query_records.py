@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from corpuscle.llm import witnesses
+from corpuscle.llm import warc, witnesses
 from corpuscle.llm.registry import query, table
 
 # CRC-32 of ASCII text, bit by bit
@@ -54,3 +54,19 @@ FROM over JOIN sub USING (tree), top WHERE over.n = 1 AND top.n = 1
 @query("op13_merkle_manifest", OP13_SQL)
 def op13_merkle_manifest(spark, sf_dir):
     return witnesses.verified(witnesses.manifest(table(spark, sf_dir, "documents")))
+
+
+OP11_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+f AS (SELECT payload, min(page_id) AS first FROM p GROUP BY payload)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, sha256(payload) AS payload_digest,
+       CASE WHEN strlen(payload) < 100 OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN strlen(payload) >= 100 AND page_id <> first THEN first END AS refers_to
+FROM p JOIN f USING (payload)
+"""
+
+
+@query("op11_warc", OP11_SQL)
+def op11_warc(spark, sf_dir):
+    files = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.pages_of(warc.read_archives(files, payload=False))
