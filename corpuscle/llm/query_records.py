@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from corpuscle.llm import warc, witnesses
+from corpuscle.llm import repair, warc, witnesses
 from corpuscle.llm.registry import query, table
 
 # CRC-32 of ASCII text, bit by bit
@@ -70,3 +70,56 @@ FROM p JOIN f USING (payload)
 def op11_warc(spark, sf_dir):
     files = warc.write_archives(table(spark, sf_dir, "pages"))
     return warc.pages_of(warc.read_archives(files, payload=False))
+
+
+# q: 0 nothing yet, 1 after s, 2 after u, 3 after a; n rows may be inserted before an edit, and two at the end
+OP12_SQL = rf"""
+WITH RECURSIVE z AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {CRC_SQL.format(text="concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' '))")} % 20 AS kind FROM conversations),
+d AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM z, range(2) c(n) WHERE kind <> 0 AND n <= (kind = 3)::INT),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(concat(strlen(role), ':', role, text))) AS i FROM d),
+f AS (
+  SELECT *, left(role, 1) AS c, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+    concat(lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i), left(role, 1)) NOT IN ('su', 'ua', 'au') AND i > 1 AS bad FROM o),
+w AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS q, {{'cost': 0, 'audit': '', 'text': ''}} AS best FROM (SELECT DISTINCT conv_id FROM f)
+  UNION ALL
+  SELECT conv_id, i, nq, min({{'cost': cost, 'audit': audit, 'text': out}}) FROM (
+    SELECT f.conv_id, f.i, e.nq, best.cost + 3 * n + e.cost AS cost, concat(best.audit, repeat('I', n::INT), e.name) AS audit,
+           concat(best.text, ins, CASE WHEN e.name = 'D' THEN '' ELSE concat(CASE WHEN best.text = '' AND n = 0 THEN '' ELSE chr(10) END, e.role, ':', text) END) AS out
+    FROM (
+      SELECT *, CASE n WHEN 0 THEN q ELSE CASE WHEN q = 2 THEN 3 ELSE 2 END + CASE WHEN n = 1 THEN 0 WHEN q = 2 THEN -1 ELSE 1 END END AS p,
+             concat(CASE WHEN n > 0 THEN concat(CASE WHEN best.text = '' THEN '' ELSE chr(10) END, CASE WHEN q = 2 THEN 'assistant:' ELSE 'user:' END) ELSE '' END,
+                    CASE WHEN n > 1 THEN concat(chr(10), CASE WHEN q = 2 THEN 'user:' ELSE 'assistant:' END) ELSE '' END) AS ins
+      FROM w, range(3) r(n)) w
+    JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1, LATERAL (
+      SELECT 'D' AS name, 4 AS cost, p AS nq, '' AS role
+      UNION ALL SELECT 'R', 3 + 3 * (fault IS NOT NULL)::INT, CASE WHEN p = 2 THEN 3 ELSE 2 END, CASE WHEN p = 2 THEN 'assistant' ELSE 'user' END WHERE fault IS NULL OR fault = 'truncated'
+      UNION ALL SELECT 'K', 3 * (fault IS NOT NULL)::INT, CASE c WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, f.role
+        WHERE (fault IS NULL OR fault = 'truncated') AND ((c = 's' AND p = 0) OR (c = 'u' AND p <> 2) OR (c = 'a' AND p = 2))) e)
+  GROUP BY conv_id, i, nq),
+x AS (
+  SELECT conv_id, min({{'cost': best.cost + 3 * n, 'audit': concat(best.audit, repeat('I', n)),
+    'text': concat(best.text, CASE q WHEN 1 THEN concat(chr(10), 'user:', chr(10), 'assistant:') WHEN 2 THEN concat(chr(10), 'assistant:') ELSE '' END)}}) AS best
+  FROM (SELECT *, CASE q WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS n FROM w)
+  WHERE (conv_id, i) IN (SELECT (conv_id, max(i)) FROM f GROUP BY conv_id) GROUP BY conv_id),
+s AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'blank') AS blank,
+         count_if(fault = 'duplicate') AS duplicate, count_if(fault = 'truncated') AS truncated, count_if(bad) AS illegal FROM f GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+       coalesce(best.audit, '') AS audit, sha256(coalesce(best.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN x ON x.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+
+@query("op12_conversation_repair", OP12_SQL)
+def op12_conversation_repair(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    return repair.repaired(rows, repair.damaged(rows))
