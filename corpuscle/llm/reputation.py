@@ -60,7 +60,7 @@ def _shrunk(level: DataFrame, name: str) -> DataFrame:
     p = F.col("prior")
     excess = F.sum(F.pow(F.col("good") - F.col("n") * p, 2) / (p * (1 - p))) - F.sum("n")
     pairs = F.sum(F.col("n") * (F.col("n") - 1))
-    spread = level.agg((excess / pairs).alias("s")).select(F.greatest(F.lit(0.001), F.least(F.lit(0.5), F.coalesce("s", F.lit(0.001)))).alias("s"))
+    spread = level.agg(F.try_divide(excess, pairs).alias("s")).select(F.greatest(F.lit(0.001), F.least(F.lit(0.5), F.coalesce("s", F.lit(0.001)))).alias("s"))
     return (
         level.crossJoin(F.broadcast(spread))  # one row
         .withColumn("strength", (1 - F.col("s")) / F.col("s"))
