@@ -159,8 +159,9 @@ def test_pluggable_embedder(spark):
         return lambda texts: [[float(len(t)), 1.0] for t in texts]
 
     rows = [(1, "ab\ncd"), (2, " "), (3, "x" * 40000)]
-    got = {r.i: r.vector for r in E.embed_with(spark.createDataFrame(rows, "i int, content string"), load).collect()}
-    assert got == {1: [5.0, 1.0], 2: None, 3: [32000.0, 1.0]}
+    for most, sent in ((None, 40000.0), (8000, 32000.0)):
+        got = {r.i: r.vector for r in E.embed_with(spark.createDataFrame(rows, "i int, content string"), load, max_tokens=most).collect()}
+        assert got == {1: [5.0, 1.0], 2: None, 3: [sent, 1.0]}
 
 
 def test_keyword_hot_word(spark):
