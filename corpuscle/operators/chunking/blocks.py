@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from corpuscle.functions import path as P
 from corpuscle.functions import text as X
-from corpuscle.operators.chunking import lexing
+from corpuscle.operators.chunking import lexing, nesting
 from corpuscle.operators.chunking.languages import EXTENSIONS
 from corpuscle.operators.chunking.prose import chunk_id
 from corpuscle.operators.chunking.rules import LANGUAGES
@@ -53,7 +53,7 @@ def dimension(spark: SparkSession) -> DataFrame:
                 (
                     ext, name, language.family, found["lex"], found["comment"], found["string"], split, mark,
                     options.get("context", _DECORATOR), options.get("opens", _NEVER), options.get("closes", _NEVER),
-                    options.get("heading", _NEVER), options.get("subheading", _NEVER),
+                    options.get("heading", _NEVER), options.get("subheading", _NEVER), language.nested,
                     "|".join(f"(?:{_bare(pattern)})" for _, pattern, _ in language.rules), rules,
                 )
             )
@@ -61,7 +61,7 @@ def dimension(spark: SparkSession) -> DataFrame:
         rows,
         "ext string, language string, family string, _lex string, _comment string, _string string, _split string,"
         "_mark string, _context string, _opens string, _closes string, _heading string, _subheading string,"
-        " _any string,"
+        "_nested boolean, _any string,"
         f"_rules array<{_RULE}>",
     )
 
@@ -342,7 +342,9 @@ def _columns() -> dict[str, Column]:
         return F.struct(*rest, body.alias("content"))
 
     return {
-        "_units": lexing.units(*[F.col(c) for c in ("_text", "_lex", "_comment", "_string", "_split", "_mark")]),
+        "_masked": lexing.masked(*[F.col(c) for c in ("_text", "_lex", "_comment", "_string", "_split", "_mark")]),
+        "_hidden": nesting.nested(F.when(F.col("_nested"), F.col("_masked")), F.col("language")),
+        "_units": lexing.units(F.col("_text"), F.col("_lex"), F.coalesce("_hidden", "_masked"), F.col("_split")),
         "_kind": kind,
         "_value": _values(F.col("_units")),
         "_bound": _bounds(),

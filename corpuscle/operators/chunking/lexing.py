@@ -98,13 +98,11 @@ def patterns(style: str) -> dict[str, str]:
     }
 
 
-def units(content: Column, lex: Column, comment: Column, string: Column, split: Column, mark: Column) -> Column:
-    """Units in order; their lengths in bytes add up to the file's.
+def masked(content: Column, lex: Column, comment: Column, string: Column, split: Column, mark: Column) -> Column:
+    """The text with comments and strings as marks, byte for byte; null without a ``split`` pattern.
 
-    Without a ``split`` pattern the tokens themselves are the units. ``mark`` is
-    the first mark of a masked string.
+    ``mark`` is the first mark of a masked string.
     """
-    found = F.regexp_extract_all(content, lex, F.lit(0))
 
     def hide(token: Column) -> Column:
         text = F.concat(mark, F.substring(_blot(token, STRING), 2, 1 << 30))
@@ -115,9 +113,13 @@ def units(content: Column, lex: Column, comment: Column, string: Column, split:
             .otherwise(token)
         )
 
-    return F.when(split.isNull(), found).otherwise(
-        F.split(F.array_join(F.transform(found, hide), ""), split)
-    )
+    found = F.regexp_extract_all(content, lex, F.lit(0))
+    return F.when(split.isNotNull(), F.array_join(F.transform(found, hide), ""))
+
+
+def units(content: Column, lex: Column, masked: Column, split: Column) -> Column:
+    """Units in order; their lengths in bytes add up to the file's. Without a ``split`` pattern the tokens are the units."""
+    return F.when(split.isNull(), F.regexp_extract_all(content, lex, F.lit(0))).otherwise(F.split(masked, split))
 
 
 def newlines(unit: Column) -> Column:

@@ -21,11 +21,15 @@ Rule = tuple[str, str, str]
 
 # Blanks and masked comments, then annotations on the same line.
 _BLANK = r"[\s\x01\x04]*"
-_WS = _BLANK + r"(?:@(?!interface\b)[\w.]+(?:\([^()]*\))?[\s\x01\x04]+){0,8}"
-_MODS = r"(?:(?:public|private|protected|internal|static|final|abstract|sealed|virtual|override|async|partial|readonly|synchronized|native|default|extern|unsafe|new|strictfp|required|inline|constexpr|explicit|friend)\s+){0,8}+"
+_WS = _BLANK + r"(?:@(?!(?:interface|implementation|protocol)\b)[\w.]+(?:\([^()]*\))?[\s\x01\x04]+)*+"
+_MODS = r"(?:(?:public|private|protected|internal|static|final|abstract|sealed|virtual|override|async|partial|readonly|synchronized|native|default|extern|unsafe|new|strictfp|required|inline|constexpr|explicit|friend)\s+)*+"
 _NOT_STATEMENT = r"(?!(?:return|new|else|throw|await|yield|case|goto|delete|typeof|using|import|package|in|is|as|do)\b)"
 _CONTROL = r"(?!(?:if|for|while|switch|catch|function|return|with|do|else|new|super|typeof|await|throw|foreach|lock|using|when|match|unless|until|elseif|synchronized|sizeof|class|defer|guard)\b)"
-_TYPED = _NOT_STATEMENT + r"(?:[\w.<>\[\],?&*:~]++\s*+(?<=[\s>\]*&])){1,8}"
+_TYPED = _NOT_STATEMENT + r"[\w.<>\[\],?&*:~][\w.<>\[\],?&*:~\s]*(?<=[\s>\]*&])"
+
+# A tuple is a type, and may stand among a type's arguments.
+_MEMBER = r"(?=\w+\s*[(<{])"
+_MEMBER_TYPE = rf"(?:\([^(){{}};]*\)\??\s+{_MEMBER}|{_NOT_STATEMENT}[\w.]+<[^;{{}}=]*>[\[\]?]*\s+{_MEMBER}|{_TYPED})"
 
 
 @dataclass(frozen=True)
@@ -37,16 +41,21 @@ class Language:
     rules: list[Rule]
     options: dict[str, str] = field(default_factory=dict)
 
+    @property
+    def nested(self) -> bool:
+        """Whether brackets are matched before units are cut."""
+        return self.family == "brace" and self.style in ("c", "rust", "script")
+
 
 def _named(node: str, head: str, name: str = r"[\w$]+", end: str = "block", before: str = "") -> Rule:
     return node, rf"^({_WS}{before}){head}({name})", end
 
 
 _EXPORT = r"(?:export\s+(?:default\s+)?)?(?:declare\s+)?"
-_ARROW = r"\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:\([^)]*\)|[\w$]+)\s*(?::[^=\n]+?)?=>"
+_ARROW = r"\s*(?::[^=\n]*+(?:=>[^=\n]*+)*+)?=\s*(?:async\s*)?(?:<[^=(\n]*>\s*)?(?:\([^)]*\)|[\w$]+)\s*(?::[^=\n]+?)?=>"
 _METHOD = (
     "method_definition",
-    rf"^({_WS})(?:(?:public|private|protected|static|readonly|override|async|get|set)\s+){{0,6}}\*?\s*{_CONTROL}([\w$]+)\s*(?:<[^(\n]*>)?\([^;]*\)\s*(?::[^;=]+)?\{{\z",
+    rf"^({_WS})(?:(?:public|private|protected|static|readonly|override|async|get|set)\s+(?![(<]))*+\*?\s*{_CONTROL}([\w$]+)\s*(?:<[^(\n]*>)?\([^;]*\)\s*(?::[^;=]+)?\{{\z",
     "body",
 )
 
@@ -103,19 +112,19 @@ LANGUAGES: dict[str, Language] = {
         "c",
         "brace",
         [
-            _named("class_declaration", r"(?:(?:public|private|protected|internal|open|data|sealed|abstract|inner|enum|annotation|value|fun)\s+){0,6}(?:class|interface)\s+"),
-            _named("function_declaration", r"(?:(?:public|private|protected|internal|open|override|suspend|inline|operator|infix|tailrec|abstract)\s+){0,6}fun\s+(?:<[^>\n]*>\s*)?(?:[\w.<>?]+\.)?", r"\w+"),
-            _named("object_declaration", r"(?:(?:public|private|internal|data)\s+){0,3}object\s+"),
+            _named("class_declaration", r"(?:(?:public|private|protected|internal|open|data|sealed|abstract|inner|enum|annotation|value|fun)\s+)*+(?:class|interface)\s+"),
+            _named("function_declaration", r"(?:(?:public|private|protected|internal|open|override|suspend|inline|operator|infix|tailrec|abstract)\s+)*+fun\s+(?:<[^>\n]*>\s*)?(?:[\w.<>?]+\.)?", r"\w+"),
+            _named("object_declaration", r"(?:(?:public|private|internal|data)\s+)*+object\s+"),
         ],
     ),
     "scala": Language(
         "c",
         "brace",
         [
-            _named("class_definition", r"(?:(?:private|protected|final|sealed|abstract|implicit|case)\s+){0,5}class\s+"),
-            _named("object_definition", r"(?:(?:private|protected|implicit|case)\s+){0,4}object\s+"),
-            _named("trait_definition", r"(?:(?:private|protected|sealed)\s+){0,3}trait\s+"),
-            _named("function_definition", r"(?:(?:private|protected|final|override|implicit|inline)\s+){0,5}def\s+", r"\w+(?=[^=\n]*=)"),
+            _named("class_definition", r"(?:(?:private|protected|final|sealed|abstract|implicit|case)\s+)*+class\s+"),
+            _named("object_definition", r"(?:(?:private|protected|implicit|case)\s+)*+object\s+"),
+            _named("trait_definition", r"(?:(?:private|protected|sealed)\s+)*+trait\s+"),
+            _named("function_definition", r"(?:(?:private|protected|final|override|implicit|inline)\s+)*+def\s+", r"\w+(?=[^=\n]*=)"),
         ],
     ),
     "c": Language(
@@ -133,6 +142,7 @@ LANGUAGES: dict[str, Language] = {
         "brace",
         [
             ("function_definition", rf"^({_WS}(?:(?:public|private|protected)\s*:{_WS})?)(?!class\b|struct\b|namespace\b|enum\b|template\b){_MODS}{_TYPED}[*&\s]*\w+\s*\([^;{{]*\)[^;{{]*\{{\z", "body"),
+            ("function_definition", rf"^({_WS}(?:(?:public|private|protected)\s*:{_WS})?)(?!class\b|struct\b|namespace\b|enum\b|template\b){_MODS}{_CONTROL}(?:\w+::)*+~?\w+\s*\([^;{{]*\)\s*(?:noexcept\s*)?(?::(?!:)[^;{{]*)?\{{\z", "body"),
             _named("class_specifier", r"class\s+", r"\w+(?=[^;{]*\{\z)", "body", before=r"(?:template\s*<[^{;]*>\s*)?"),
             _named("struct_specifier", r"struct\s+", r"\w+(?=[^;{]*\{\z)", "body", before=r"(?:template\s*<[^{;]*>\s*)?"),
             _named("namespace_definition", r"(?:inline\s+)?namespace\s+", r"\w+(?=\s*\{\z)", "body"),
@@ -147,11 +157,11 @@ LANGUAGES: dict[str, Language] = {
             _named("interface_declaration", rf"{_MODS}interface\s+"),
             (
                 "method_declaration",
-                rf"^({_WS}){_MODS}(?!class\b|interface\b|enum\b|record\b|struct\b|namespace\b|delegate\b){_TYPED}(\w+)\s*(?:<[^>\n]*>)?\s*\([^;{{]*\)[^;{{=]*(?:=>[^;]*)?[;{{]\z",
+                rf"^({_WS}){_MODS}(?!class\b|interface\b|enum\b|record\b|struct\b|namespace\b|delegate\b){_MEMBER_TYPE}(\w+)\s*(?:<[^>\n]*>)?\s*\([^;{{]*\)[^;{{=]*(?:=>[^;]*)?[;{{]\z",
                 "block",
             ),
-            ("constructor_declaration", rf"^({_WS})(?:(?:public|private|protected|internal|static)\s+){{1,2}}([A-Z]\w*)\s*\([^;{{]*\)[^;{{=]*\{{\z", "body"),
-            ("property_declaration", rf"^({_WS}){_MODS}(?!class\b|interface\b|enum\b|record\b|struct\b|namespace\b|get\b|set\b|else\b|try\b|finally\b){_TYPED}(\w+)\s*\{{\z", "body"),
+            ("constructor_declaration", rf"^({_WS})(?:(?:public|private|protected|internal|static)\s+)++([A-Z]\w*)\s*\([^;{{]*\)[^;{{=]*\{{\z", "body"),
+            ("property_declaration", rf"^({_WS}){_MODS}(?!class\b|interface\b|enum\b|record\b|struct\b|namespace\b|get\b|set\b|else\b|try\b|finally\b){_MEMBER_TYPE}(\w+)\s*\{{\z", "body"),
             _named("namespace_declaration", r"namespace\s+", r"\w+(?=\s*\{\z)", "body"),
             _named("enum_declaration", rf"{_MODS}enum\s+"),
         ],
@@ -175,13 +185,14 @@ LANGUAGES: dict[str, Language] = {
             _named("function_declaration", r"func\s+", r"\w+"),
             _named("method_declaration", r"func\s*\([^)]*\)\s*", r"\w+"),
             ("type_declaration", rf"^({_WS})type\s+\w+", "block"),
+            ("type_declaration", rf"^({_WS})type\s*\{{\z", "body"),
         ],
     ),
     "rust": Language(
         "rust",
         "brace",
         [
-            _named("function_item", r"(?:pub(?:\([^)]*\))?\s+)?(?:(?:const|async|unsafe|extern(?:\s+\x02+)?)\s+){0,4}fn\s+", r"\w+(?=[^;]*\{\z)", "body"),
+            _named("function_item", r"(?:pub(?:\([^)]*\))?\s+)?(?:(?:const|async|unsafe|extern(?:\s+\x02+)?)\s+)*+fn\s+", r"\w+(?=[^;]*\{\z)", "body"),
             ("impl_item", rf"^({_WS})(?:unsafe\s+)?impl\b(?:<[^{{]*?>)?\s*(?:[^{{]*?\bfor\s+)?(\w+)?(?=[^{{;]*\{{\z)", "body"),
             _named("struct_item", r"(?:pub(?:\([^)]*\))?\s+)?struct\s+"),
             _named("enum_item", r"(?:pub(?:\([^)]*\))?\s+)?enum\s+"),
@@ -202,8 +213,8 @@ LANGUAGES: dict[str, Language] = {
         "c",
         "brace",
         [
-            _named("class_declaration", r"(?:(?:public|private|internal|fileprivate|open|final)\s+){0,4}(?:class|struct|enum|actor|extension)\s+"),
-            _named("function_declaration", r"(?:(?:public|private|internal|fileprivate|open|final|static|class|override|mutating|async)\s+){0,6}func\s+", r"\w+(?=[^;]*\{\z)", "body"),
+            _named("class_declaration", r"(?:(?:public|private|internal|fileprivate|open|final)\s+)*+(?:class|struct|enum|actor|extension)\s+"),
+            _named("function_declaration", r"(?:(?:public|private|internal|fileprivate|open|final|static|class|override|mutating|async)\s+)*+func\s+", r"\w+(?=[^;]*\{\z)", "body"),
             _named("protocol_declaration", r"(?:(?:public|private|internal|fileprivate)\s+)?protocol\s+"),
         ],
     ),
@@ -211,7 +222,7 @@ LANGUAGES: dict[str, Language] = {
         "script",
         "brace",
         [
-            _named("class_definition", r"(?:(?:abstract|base|final|sealed|mixin)\s+){0,3}class\s+"),
+            _named("class_definition", r"(?:(?:abstract|base|final|sealed|mixin)\s+)*+class\s+"),
             ("method_signature", rf"^(\s+)(?!class\b|enum\b)(?:static\s+)?{_TYPED}{_CONTROL}(\w+)\s*\([^;{{]*\)\s*(?:async\*?\s*)?\{{\z", "head"),
             ("function_signature", rf"^(\n*)(?!class\b|enum\b|[ \t]){_TYPED}{_CONTROL}(\w+)\s*\([^;{{]*\)\s*(?:async\*?\s*)?\{{\z", "head"),
             _named("enum_declaration", r"enum\s+"),
@@ -221,10 +232,10 @@ LANGUAGES: dict[str, Language] = {
         "script",
         "brace",
         [
-            _named("class_declaration", r"(?:(?:abstract|final|readonly)\s+){0,3}class\s+", before=r"(?:<\?php\s+)?"),
+            _named("class_declaration", r"(?:(?:abstract|final|readonly)\s+)*+class\s+", before=r"(?:<\?php\s+)?"),
             _named("interface_declaration", r"interface\s+", before=r"(?:<\?php\s+)?"),
             ("function_definition", rf"^({_WS}(?:<\?php\s+)?)(?<![ \t])function\s+&?(\w+)", "block"),
-            ("method_declaration", rf"^(\s*(?=[ \t]))(?:(?:public|private|protected|static|final|abstract)\s+){{0,4}}function\s+&?(\w+)", "block"),
+            ("method_declaration", rf"^(\s*(?=[ \t]))(?:(?:public|private|protected|static|final|abstract)\s+)*+function\s+&?(\w+)", "block"),
             _named("trait_declaration", r"trait\s+", before=r"(?:<\?php\s+)?"),
         ],
     ),

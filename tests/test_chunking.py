@@ -9,16 +9,74 @@ from corpuscle.plans.ingest import chunk_files
 
 CASES = {
     'a.ts': (
-        "import x from 'y';\n// helper { brace\n/** doc */\n@Injectable()\nexport class MyClass {\n  // say\n  @Get()\n  myMethod(): void {\n    console.log('hello { }');\n  }\n  get v(): number { return 1; }\n}\nexport const add = (a: number, b: number): number => {\n  return a + b;\n};\ninterface P { a: string }\ntype T = string | number;\nenum E { A, B }\nasync function go(\n  a: string,\n  b: string,\n): Promise<void> {\n  if (a) { b; }\n}\n",
+        "import q from 'q';\n// keeps { a brace\n/** Counts. */\n@Service()\nexport class Meter {\n  // one\n  @Log()\n  tick(): void {\n    this.n += '{ }'.length;\n  }\n  get total(): number { return this.n; }\n}\nexport const twice = (n: number): number => {\n  return 2 * n;\n};\ninterface Unit { sign: string }\ntype Scale = 'si' | 'us';\nenum Base { Two, Ten }\nasync function load(\n  from: string,\n  to: string,\n): Promise<void> {\n  if (from) { to; }\n}\n",
         [
-            ('MyClass', 'class_declaration', 5, 12),
-            ('myMethod', 'method_definition', 6, 10),
-            ('v', 'method_definition', 11, 11),
+            ('Meter', 'class_declaration', 5, 12),
+            ('tick', 'method_definition', 6, 10),
+            ('total', 'method_definition', 11, 11),
             ('anonymous', 'lexical_declaration', 13, 15),
-            ('P', 'interface_declaration', 16, 16),
-            ('T', 'type_alias_declaration', 17, 17),
-            ('E', 'enum_declaration', 18, 18),
-            ('go', 'function_declaration', 19, 24),
+            ('Unit', 'interface_declaration', 16, 16),
+            ('Scale', 'type_alias_declaration', 17, 17),
+            ('Base', 'enum_declaration', 18, 18),
+            ('load', 'function_declaration', 19, 24),
+        ],
+    ),
+    'nested.ts': (
+        "const open = async ({ page, size = { w: 1 } }) => {\n  await page;\n};\nexport const shut = ({\n  page,\n  deep: [{ a }],\n}: { page: string; deep: { a: number }[] }): Promise<{ ok: boolean }> => {\n  return page;\n};\nclass Door {\n  constructor({ lock }: { lock: Lock }, n = f({ a: 1 })) {\n    super({ lock });\n  }\n  turn({ by, at = (1 + 2) }: Turn, ...rest: (string | { k: string })[]): { by: number } {\n    for (let i = 0; i < by; i++) { rest; }\n    return { by };\n  }\n}\nfunction each(list: Array<{ id: string }>, call: (x: { id: string }) => void) {\n  list.forEach(({ id }) => { call({ id }); });\n}\nconst later: (x: number) => string = (x) => {\n  return `${x}`;\n};\nit('runs', async ({ page }) => {\n  class Inner { go({ a }) { return a; } }\n});\n",
+        [
+            ('anonymous', 'lexical_declaration', 1, 3),
+            ('anonymous', 'lexical_declaration', 4, 9),
+            ('Door', 'class_declaration', 10, 18),
+            ('constructor', 'method_definition', 11, 13),
+            ('turn', 'method_definition', 14, 17),
+            ('each', 'function_declaration', 19, 21),
+            ('anonymous', 'lexical_declaration', 22, 24),
+            ('Inner', 'class_declaration', 26, 26),
+            ('go', 'method_definition', 26, 26),
+        ],
+    ),
+    'nested.tsx': (
+        "export const Panel = ({ title, items = [{ id: 1 }] }: Props) => {\n  const pick = ({ id }: Item) => { return id; };\n  return <ul onClick={() => pick(items[0])}>{title}</ul>;\n};\n",
+        [('anonymous', 'lexical_declaration', 1, 4), ('anonymous', 'lexical_declaration', 2, 2)],
+    ),
+    'nested.js': (
+        "const run = ({ a, b = [{ c: 1 }] }, [d, { e }]) => {\n  return a;\n};\nfunction walk({ from, to }, done = ({ ok }) => { ok; }) {\n  while (from) { to; }\n}\nclass Path { step({ x = 0, y = 0 } = {}) { return [x, y]; } }\n",
+        [
+            ('anonymous', 'lexical_declaration', 1, 3),
+            ('walk', 'function_declaration', 4, 6),
+            ('Path', 'class_declaration', 7, 7),
+            ('step', 'method_definition', 7, 7),
+        ],
+    ),
+    'Nested.java': (
+        "@A @B @C({\"x\", \"y\"}) @D(@E(1)) @F @G @H @I(v = {1, 2}) @J public class Many {\n  @Query(value = {\n    \"a\",\n    \"b\"\n  })\n  public final synchronized strictfp Map<String, List<Integer>> find(@Size({1}) int a, int[] b) throws X {\n    for (int i = 0; i < a; i++) { b[i] = 0; }\n    return null;\n  }\n}\n",
+        [('Many', 'class_declaration', 1, 10), ('find', 'method_declaration', 2, 9)],
+    ),
+    'nested.cpp': (
+        "class V {\n public:\n  V(int a) : a_(a), b_{a, 2} {}\n  explicit V(std::map<int, int> m = {{1, 2}}) noexcept : a_{0} {\n    for (int i = 0; i < 3; ++i) { a_ += i; }\n  }\n  ~V() { done(); }\n};\nV::V(double d) : a_(int(d)) {\n  if (d > 0) { a_ = 1; }\n}\n",
+        [
+            ('V', 'class_specifier', 1, 8),
+            ('anonymous', 'function_definition', 3, 3),
+            ('anonymous', 'function_definition', 4, 6),
+            ('anonymous', 'function_definition', 7, 7),
+            ('anonymous', 'function_definition', 9, 11),
+        ],
+    ),
+    'nested.cs': (
+        "class Pair {\n  [Theory(Data = new[] { 1, 2 })]\n  public static (int a, string b) Get(int x) { return (x, \"\"); }\n  private async Task<(int, string)> LoadAsync(List<(int, int)> at) {\n    for (var i = 0; i < 3; i++) { at.Add((i, i)); }\n    return (1, \"\");\n  }\n  public (int, int) Range { get; set; }\n}\n",
+        [
+            ('Pair', 'class_declaration', 1, 9),
+            ('Get', 'method_declaration', 2, 3),
+            ('LoadAsync', 'method_declaration', 4, 7),
+            ('Range', 'property_declaration', 8, 8),
+        ],
+    ),
+    'nested.go': (
+        "package p\n\ntype (\n\tShape struct {\n\t\tname string\n\t}\n\tArea func(a int, b struct{ c int }) int\n)\n\ntype One struct{ a int }\n\nfunc (s *Shape) Grow(by struct {\n\tn int\n}, f func() error) (out int, err error) {\n\tfor i := 0; i < by.n; i++ {\n\t\tout++\n\t}\n\treturn\n}\n",
+        [
+            ('anonymous', 'type_declaration', 3, 8),
+            ('anonymous', 'type_declaration', 10, 10),
+            ('Grow', 'method_declaration', 12, 19),
         ],
     ),
     'b.py': (
@@ -32,14 +90,14 @@ CASES = {
             ('q', 'function_definition', 14, 14),
         ],
     ),
-    'C.java': (
-        'package a;\npublic class HelloWorld extends B {\n    @Override\n    public static void main(String[] args) {\n        System.out.println("Hello, World!");\n        return foo(a);\n    }\n    HelloWorld() { }\n    interface I { void m(int a); }\n}\n',
+    'Tally.java': (
+        'package t;\npublic class Tally extends Base {\n    @Override\n    public static int add(int[] xs) {\n        log("{ sum }");\n        return sum(xs);\n    }\n    Tally() { }\n    interface Sink { void put(int x); }\n}\n',
         [
-            ('HelloWorld', 'class_declaration', 2, 10),
-            ('main', 'method_declaration', 3, 7),
-            ('HelloWorld', 'constructor_declaration', 8, 8),
-            ('I', 'interface_declaration', 9, 9),
-            ('m', 'method_declaration', 9, 9),
+            ('Tally', 'class_declaration', 2, 10),
+            ('add', 'method_declaration', 3, 7),
+            ('Tally', 'constructor_declaration', 8, 8),
+            ('Sink', 'interface_declaration', 9, 9),
+            ('put', 'method_declaration', 9, 9),
         ],
     ),
     'm.go': (
@@ -51,13 +109,13 @@ CASES = {
         ],
     ),
     'l.rs': (
-        'fn main() {\n    println!("Hello");\n}\nstruct Person {\n    name: String,\n}\nimpl Person {\n    fn new(name: String) -> Self { Person { name } }\n}\nimpl<T> Foo for Bar { }\n',
+        'fn start() {\n    run("fn no() {");\n}\nstruct Tank {\n    level: u32,\n}\nimpl Tank {\n    fn fill(by: u32) -> Self { Tank { level: by } }\n}\nimpl<T> Drain for Pipe { }\n',
         [
-            ('main', 'function_item', 1, 3),
-            ('Person', 'struct_item', 4, 6),
-            ('Person', 'impl_item', 7, 9),
-            ('new', 'function_item', 8, 8),
-            ('Bar', 'impl_item', 10, 10),
+            ('start', 'function_item', 1, 3),
+            ('Tank', 'struct_item', 4, 6),
+            ('Tank', 'impl_item', 7, 9),
+            ('fill', 'function_item', 8, 8),
+            ('Pipe', 'impl_item', 10, 10),
         ],
     ),
     'r.rb': (
