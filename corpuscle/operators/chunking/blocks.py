@@ -302,10 +302,6 @@ def _is_first(ordered: str, h: Column, i: Column) -> Column:
     return (i == 0) | ~same
 
 
-def _distinct(ordered: str) -> Column:
-    return F.filter(F.col(ordered), lambda h, i: _is_first(ordered, h, i))
-
-
 def _ordinals(starts: str, ordered: str) -> Column:
     """Numbers from 1 within each run of equal hits, from the places where runs start, a column of its own as well."""
     runs = F.transform(
@@ -357,14 +353,12 @@ def _columns() -> dict[str, Column]:
         "_located": F.sort_array(F.transform("_bounded", _located)),
         "_starts": F.filter(F.transform("_located", lambda h, i: F.when(_is_first("_located", h, i), i)), lambda i: i.isNotNull()),
         "_ordinal": _ordinals("_starts", "_located"),
-        "_numbered": F.zip_with("_located", "_ordinal", lambda h, o: h.withField("ordinal", o)),
-        "_distinct": F.transform(_distinct("_located"), lambda h: h.withField("ordinal", F.lit(1))),
-        "_every": F.transform("_located", lambda h: h.withField("ordinal", F.lit(1))),
+        "_kept": F.zip_with("_located", "_ordinal", lambda h, o: h.withField("ordinal", o)),
         "_chunks": F.filter(F.transform(in_order, shaped), lambda c: ~X.is_blank(c["content"])),
     }
 
 
-def code_chunks(files: DataFrame, path: str = "path", content: str = "content", unique_ids: bool = True, numbered: bool = False) -> DataFrame:
+def code_chunks(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """Chunks of every file in a known language.
 
     Result: the file's other columns, then ``id, file_path, language, name, chunk_type,
@@ -372,8 +366,7 @@ def code_chunks(files: DataFrame, path: str = "path", content: str = "content",
     all returned. Files in other languages give no rows. ``chunk_index`` counts chunks in
     document order without blank ones.
 
-    Blocks of equal line, type and name have equal ids. With ``numbered``, all are returned, and from the
-    second on ``#2``, ``#3`` ... follows the id; else the first is returned, or all if ids need not be unique.
+    All blocks are returned. Of those with equal line, type and name, ``#2``, ``#3`` ... follows the id from the second on.
     """
     rest = [c for c in files.columns if c not in (path, content)]
     rows = files.select(
@@ -382,11 +375,8 @@ def code_chunks(files: DataFrame, path: str = "path", content: str = "content",
     ).join(F.broadcast(dimension(files.sparkSession)), "ext")
     columns = dict(_columns())
     chunks = columns.pop("_chunks")
-    kept = "_numbered" if numbered else "_distinct" if unique_ids else "_every"
-    unused = {"_numbered", "_distinct", "_every"} - {kept} | (set() if numbered else {"_starts", "_ordinal"})
     for name, column in columns.items():
-        if name not in unused:
-            rows = rows.withColumn("_kept" if name == kept else name, column)
+        rows = rows.withColumn(name, column)
     # The array is exploded where it is computed: of a plain column Spark would infer a
     # filter on its size and push a copy of all the work below everything else.
     rows = rows.select(*rest, "file_path", "language", F.posexplode(chunks).alias("chunk_index", "_c"))

@@ -72,7 +72,7 @@ SELECT repo_id, concat(path, ':run:', inner_kind, ':L', n + 2), path, 'run', inn
 
 @query("code_chunks", f"WITH {_CODE_CHUNKS_SQL}")
 def code_chunks(spark, sf):
-    return blocks.code_chunks(_sources(spark, sf), numbered=True).drop("language")
+    return blocks.code_chunks(_sources(spark, sf)).drop("language")
 
 
 _LINES = "regexp_replace(regexp_replace({0}, '(^|\\n)[ ]*(#|`|~|[\\x2D=])', '\\1.', 'g'), '\\s+$', '')"
@@ -103,23 +103,36 @@ def markdown_sections(spark, sf):
     sources = docs.select(
         F.col("source").alias("repo_id"), F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("path"), content.alias("content")
     )
-    return blocks.code_chunks(sources, numbered=True).select("repo_id", "id", "chunk_type", "chunk_index", "content", "start_line", "end_line")
+    return blocks.code_chunks(sources).select("repo_id", "id", "chunk_type", "chunk_index", "content", "start_line", "end_line")
+
+
+def _lines_sql(text: str) -> str:
+    return f"(length({text}) - length(replace({text}, chr(10), '')))"
+
+
+_HIDING = "(?is)<!--.*?-->|<script.*?</script\\s*>|<style.*?</style\\s*>"
 
 
 @query(
     "html_blocks",
-    """WITH h AS (SELECT concat(page_id, '.html') AS p, regexp_replace(html, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g') AS html FROM pages),
-    b AS (SELECT p, html, regexp_extract_all(html, '(?is)<!--.*?-->|<script.*?</script\\s*>|<style.*?</style\\s*>') AS found FROM h),
-    u AS (SELECT p, html, unnest(found) AS content, generate_subscripts(found, 1) AS i FROM b),
-    t AS (SELECT p, html, content, i, CASE WHEN content ILIKE '<script%' THEN 'script_element' ELSE 'style_element' END AS chunk_type FROM u WHERE content NOT LIKE '<!--%'),
-    s AS (SELECT *, count(*) OVER (PARTITION BY p ORDER BY i) AS nth FROM t)
-    SELECT p AS file_path, chunk_type, content, count(*) AS n FROM s GROUP BY ALL""",
+    f"""WITH h AS (SELECT concat(page_id, '.html') AS p, replace(regexp_replace(html, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), '<article>', '<article id="main">') AS html FROM pages),
+    t AS (SELECT p, unnest(regexp_split_to_array(html, '{_HIDING}')) AS between, unnest(regexp_extract_all(html, '{_HIDING}')) AS content,
+      unnest(range(len(regexp_split_to_array(html, '{_HIDING}')))) AS i FROM h),
+    l AS (SELECT p, i, content, 1 + sum({_lines_sql('between')}) OVER (PARTITION BY p ORDER BY i)
+      + sum({_lines_sql("coalesce(content, '')")}) OVER (PARTITION BY p ORDER BY i) - {_lines_sql("coalesce(content, '')")} AS line FROM t),
+    b AS (
+      SELECT p, i, content, line, CASE WHEN content ILIKE '<script%' THEN 'script_element' ELSE 'style_element' END AS chunk_type FROM l WHERE content NOT LIKE '<!--%'
+      UNION ALL SELECT p, 0, regexp_extract(html, '(?s)<article id="main">.*?</article>'), 1 + {_lines_sql("split_part(html, '<article id=\"main\">', 1)")}, 'element'
+      FROM h WHERE contains(html, '<article id="main">')),
+    n AS (SELECT *, row_number() OVER (PARTITION BY p, chunk_type, line ORDER BY i) AS nth FROM b)
+    SELECT p AS file_path, concat(p, ':anonymous:', chunk_type, ':L', line, CASE WHEN nth > 1 THEN concat('#', nth) ELSE '' END) AS id, chunk_type,
+      line::INTEGER AS start_line, (line + {_lines_sql('content')})::INTEGER AS end_line, content FROM n""",
 )
 def html_blocks(spark, sf):
-    pages = TB.wide_table(spark, sf, "pages").select(F.concat("page_id", F.lit(".html")).alias("path"), F.col("html").alias("content"))
-    chunks = blocks.code_chunks(pages, unique_ids=False)
-    chunks = chunks.where("chunk_type <> 'element'")
-    return chunks.groupBy("file_path", "chunk_type", "content").agg(F.count(F.lit(1)).alias("n"))
+    """Scripts, styles and elements with an id, here the article of each page."""
+    html = F.replace(F.col("html"), F.lit("<article>"), F.lit('<article id="main">'))
+    pages = TB.wide_table(spark, sf, "pages").select(F.concat("page_id", F.lit(".html")).alias("path"), html.alias("content"))
+    return blocks.code_chunks(pages).select("file_path", "id", "chunk_type", "start_line", "end_line", "content")
 
 
 @query(
@@ -131,7 +144,7 @@ def html_elements(spark, sf):
     """Elements with an id attribute, here the article of each page."""
     html = F.replace(F.col("html"), F.lit("<article>"), F.lit('<article id="main">'))
     pages = TB.wide_table(spark, sf, "pages").select(F.concat("page_id", F.lit(".html")).alias("path"), html.alias("content"))
-    return blocks.code_chunks(pages, numbered=True).where("chunk_type = 'element'").select("file_path", "content")
+    return blocks.code_chunks(pages).where("chunk_type = 'element'").select("file_path", "content")
 
 
 _STATE_SQL = """
