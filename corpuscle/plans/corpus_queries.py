@@ -222,12 +222,17 @@ def ingest_corpus(spark, sf):
     )
 
 
+def _filed(spark, sf, centres=None):
+    corpus = TB.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    filed = A.InvertedFile(spark, scratch_path(spark, "cells"))
+    filed.build(corpus, A.train_centres(corpus, 16) if centres is None else centres)
+    return filed
+
+
 @query("approx_search")
 def approx_search(spark, sf):
-    """Every query probes four of sixteen cells; recall against the exact search is unit-tested."""
-    corpus = TB.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    model = A.train_cells(corpus, 16)
-    return A.approx_search(A.assign_cells(corpus, model), TB.query_vectors(spark, sf), model, 10, 4)
+    """Every query probes four of sixteen trained cells; recall against the exact search is unit-tested."""
+    return _filed(spark, sf).search(TB.query_vectors(spark, sf), 10, 4).select("query_id", "rank", "id", "score")
 
 
 @query(
@@ -237,10 +242,25 @@ def approx_search(spark, sf):
     SELECT query_id, rank, id, round(1 - d, 9) AS score FROM r WHERE rank <= 10""",
 )
 def approx_search_all_cells(spark, sf):
-    corpus = TB.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    model = A.train_cells(corpus, 16)
-    hits = A.approx_search(A.assign_cells(corpus, model), TB.query_vectors(spark, sf), model, 10, 16)
-    return hits.withColumn("score", F.round("score", 9))
+    hits = _filed(spark, sf).search(TB.query_vectors(spark, sf), 10, 16)
+    return hits.select("query_id", "rank", "id", F.round("score", 9).alias("score"))
+
+
+@query(
+    "approx_given_cells",
+    f"""WITH {TB.QUERY_VECTORS_SQL}, c AS (SELECT vec_id AS cell, embedding AS centre FROM embeddings WHERE vec_id < 16),
+    filed AS (SELECT vec_id AS id, any_value(embedding) AS v, arg_min(cell, (d, cell)) AS cell
+              FROM (SELECT vec_id, embedding, cell, {TB.l2sq_sql('embedding', 'centre')} AS d FROM embeddings, c) GROUP BY vec_id),
+    probes AS (SELECT query_id, qv, cell FROM (SELECT query_id, qv, cell, row_number() OVER (PARTITION BY query_id ORDER BY {TB.l2sq_sql('qv', 'centre')}, cell) AS nth FROM q, c) WHERE nth <= 4),
+    s AS (SELECT query_id, id, cell, {TB.l2sq_sql('v', 'qv')} AS d FROM probes JOIN filed USING (cell)),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS INTEGER) AS rank FROM s)
+    SELECT query_id, rank, id, round(1 - d, 9) AS score FROM r WHERE rank <= 10""",
+)
+def approx_given_cells(spark, sf):
+    """The first sixteen vectors are the centres, so that SQL can file and probe alike."""
+    first = TB.table(spark, sf, "embeddings").where("vec_id < 16").orderBy("vec_id").select("embedding").collect()
+    hits = _filed(spark, sf, [r[0] for r in first]).search(TB.query_vectors(spark, sf), 10, 4)
+    return hits.select("query_id", "rank", "id", F.round("score", 9).alias("score"))
 
 
 def _stream(spark, sf, name):

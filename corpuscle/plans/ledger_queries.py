@@ -8,6 +8,7 @@ from corpuscle.functions import chat
 from corpuscle.operators import embed as E
 from corpuscle.operators import jobs as J
 from corpuscle.operators import keyword as K
+from corpuscle.operators import postings as PO
 from corpuscle.operators import search as S
 from corpuscle.operators import sessions as SE
 from corpuscle.operators.chunking import prose
@@ -16,6 +17,7 @@ from corpuscle.plans import testbed as TB
 from corpuscle.plans.registry import query
 from corpuscle.plans.scalar_queries import bucket_sql, words_sql
 from corpuscle.plans.store_queries import _PARAGRAPHS_SQL
+from corpuscle.session import scratch_path
 
 _LATEST = f"""{TB.JOB_EVENTS_SQL},
 latest AS (
@@ -171,6 +173,35 @@ def keyword_bm25(spark, sf):
     return K.keyword_search(chunks, queries, 10, 8.0, payload=["repo_id"])
 
 
+def _index(spark, sf):
+    index = PO.Index(spark, scratch_path(spark, "postings"), 16)
+    index.build(prose.paragraphs(TB.parents(spark, sf, wide=True)))
+    return index
+
+
+@query(
+    "keyword_indexed",
+    f"WITH {_PARAGRAPHS_SQL}, {_BM25} SELECT query_id, position, id, repo_id, rank FROM best WHERE position <= 10",
+)
+def keyword_indexed(spark, sf):
+    """Every benchmark item on stored postings."""
+    queries = TB.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return _index(spark, sf).search(queries, 10)
+
+
+@query(
+    "keyword_by_repository",
+    f"""WITH {_PARAGRAPHS_SQL}, {_BM25.replace("ORDER BY rank DESC, id) AS INTEGER) AS position FROM scored)", "ORDER BY rank DESC, id) AS INTEGER) AS position FROM scored WHERE query_id % 3 = 0 OR repo_id = concat('src', query_id % 20))")}
+    SELECT query_id, position, id, repo_id, rank FROM best WHERE position <= 5 AND rank >= 6""",
+)
+def keyword_by_repository(spark, sf):
+    """Items ask one repository each, every third one all of them."""
+    item = F.col("item_id")
+    repo = F.when(item % 3 != 0, F.concat(F.lit("src"), (item % 20).cast("string")))
+    queries = TB.table(spark, sf, "benchmark").select(item.alias("query_id"), "text", repo.alias("repo_id"))
+    return _index(spark, sf).search(queries, 5, 6.0)
+
+
 _SEMANTIC = f"""
 b AS (SELECT id, repo_id, content, {bucket_sql(words_sql('content'))} AS b FROM chunks),
 bc AS (SELECT id, bucket, count(*) AS c FROM (SELECT id, unnest(b) AS bucket FROM b) GROUP BY ALL),

@@ -1,5 +1,7 @@
 """Search against brute force, with ties, blocks, skew and missing parents."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -137,14 +139,43 @@ def test_filters_are_typed(spark, one_query):
     assert [r.id for r in S.similarity_search(corpus, one_query, 5, {"n": "1"}).collect()] == ["b"]
 
 
-def test_approx_recall(spark):
-    corpus = TB.table(spark, SF, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    queries = TB.query_vectors(spark, SF)
-    model = A.train_cells(corpus, 8)
-    near = ranked(A.approx_search(A.assign_cells(corpus, model), queries, model, 10, 4))
+def clouds(rows=3000, dim=16, seed=5):
+    """Vectors around forty points, a third of all around one of them, some of them equal."""
+    rng = np.random.default_rng(seed)
+    points = rng.normal(size=(40, dim))
+    at = np.where(rng.random(rows) < 1 / 3, 0, rng.integers(0, 40, rows))
+    x = (points[at] + rng.normal(scale=0.15, size=(rows, dim))).astype(np.float32)
+    x[::50] = x[1]
+    return x
+
+
+def test_inverted_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(A, "SLICE_ROWS", 200)  # several slices in the crowded cells
+    x = clouds()
+    corpus = spark.createDataFrame([(i, v.tolist(), f"r{i % 3}") for i, v in enumerate(x)], "id int, vector array<float>, repo_id string").repartition(4)
+    filed = A.InvertedFile(spark, str(tmp_path / "cells"))
+    filed.build(corpus, A.train_centres(corpus, 24, sample_rows=1000))
+    assert filed.rows().count() == len(x)
+    queries = corpus.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
     exact = ranked(S.similarity_search(corpus, queries, 10))
-    recall = np.mean([len(set(near[q]) & set(exact[q])) / 10 for q in exact])
-    assert recall > 0.6
+    assert ranked(filed.search(queries, 10, 24)) == exact
+    found = filed.search(queries, 10, 6, ["repo_id"])
+    assert found.columns == ["query_id", "rank", "id", "repo_id", "distance", "score"]
+    near = ranked(found)
+    assert np.mean([len(set(near[q]) & set(exact[q])) / 10 for q in exact]) >= 0.9
+    assert all(r.repo_id == f"r{r.id % 3}" for r in found.collect())
+
+
+def test_inverted_file_reads_probed_cells_only(spark, tmp_path):
+    corpus = spark.createDataFrame([(i, [float(i // 10), 0.0]) for i in range(80)] + [(99, None)], "id int, vector array<float>")
+    filed = A.InvertedFile(spark, str(tmp_path / "cells"))
+    filed.build(corpus, [[float(c), 0.0] for c in range(9)])  # the last has no vectors
+    one = spark.createDataFrame([(1, [3.2, 0.0])], "query_id int, vector array<float>")
+    found = filed.search(one, 15, 2)
+    assert sorted(r.id for r in found.collect()) == sorted([*range(30, 40), *range(40, 45)])
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*cell#\d+ IN \(3,4\)", plan)
+    assert filed.search(one.where("false"), 5, 2).collect() == []
 
 
 def test_embedder(spark):
