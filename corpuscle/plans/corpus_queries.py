@@ -16,6 +16,7 @@ from corpuscle.plans.registry import query
 from corpuscle.session import scratch_path
 from corpuscle.sources import files
 from corpuscle.sources.store import Table
+from corpuscle.streaming import changes as SC
 from corpuscle.streaming import ingest as SI
 from corpuscle.streaming import jobs as SJ
 from corpuscle.streaming import sessions as SS
@@ -294,18 +295,101 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
     "SELECT conv_id AS session_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3",
 )
 def stream_session_memory(spark, sf):
+    """Turns arrive in two runs of the stream; a session has one set of rows."""
+    messages = TB.table(spark, sf, "conversations").withColumnRenamed("conv_id", "session_id")
+    table = Table(spark, scratch_path(spark, "memory"), SS.MEMORY, ["session_id"], 4)
+    _in_runs(
+        spark, messages, F.when(F.col("turn") % 2 == 0, 0).otherwise(1), 2,
+        lambda arriving, place: SS.keep_memory(SS.session_memory(arriving, 3, None), table, place),
+    )
+    return table.read()
+
+
+def _in_runs(spark, rows, part, parts, writer):
+    """Parts of a table that arrive one after the other, each worked off by a run of the stream from one checkpoint."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    messages = _stream(spark, sf, "conversations").withColumnRenamed("conv_id", "session_id")
-    out = scratch_path(spark, "memory")
+    root, place = scratch_path(spark, "arriving"), scratch_path(spark, "checkpoint")
+    for n in range(parts):
+        rows.where(part == n).write.mode("append").parquet(root)
+        writer(spark.readStream.schema(rows.schema).parquet(root), place).start().awaitTermination()
 
-    def write(batch, number):
-        batch.write.mode("overwrite").parquet(f"{out}/{number}")
 
-    (
-        SS.session_memory(messages, 3, None).writeStream.outputMode("update").foreachBatch(write)
-        .option("checkpointLocation", scratch_path(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+_EXPIRY, _LATE = 3550, 600
+
+
+@query(
+    "stream_session_expiry",
+    f"""WITH m AS (SELECT conv_id AS session_id, turn, role, text, conv_id * 600 + turn * 180 AS moment FROM conversations),
+    l AS (SELECT session_id, max(moment) AS last FROM m GROUP BY session_id HAVING max(moment) + {_EXPIRY} > (SELECT max(moment) FROM m) - {_LATE})
+    SELECT session_id, turn, role, text FROM m JOIN l USING (session_id) QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) <= 3""",
+)
+def stream_session_expiry(spark, sf):
+    """Sessions that were silent for the time to live, by the watermark, are gone."""
+    seconds = F.lit(1704067200) + (F.col("conv_id") * 10 + F.col("turn") * 3) * 60
+    messages = TB.table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("session_id"), "turn", "role", "text", F.timestamp_seconds(seconds).alias("ts")
+    )
+    bounds = messages.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select(F.timestamp_micros(((F.unix_micros("a") + F.unix_micros("b")) / 2).cast("long")))
+    half = bounds.first()[0]
+    table = Table(spark, scratch_path(spark, "memory"), SS.MEMORY, ["session_id"], 4)
+    _in_runs(
+        spark, messages, F.when(F.col("ts") < F.lit(half), 0).otherwise(1), 2,
+        lambda arriving, place: SS.keep_memory(SS.expiring_memory(arriving, 3, _EXPIRY, f"{_LATE} seconds"), table, place),
     )
-    return spark.read.schema(SS.MEMORY).parquet(os.path.join(out, "*"))
+    return table.read()
+
+
+@query(
+    "stream_open_sessions",
+    """WITH o AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 3600000000 THEN 0 ELSE 1 END AS opened
+      FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    n AS (SELECT *, sum(opened) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nr FROM o),
+    s AS (SELECT user_id, min(ts) AS created_at, max(ts) AS last_accessed_at, CAST(count(*) AS BIGINT) AS message_count FROM n GROUP BY user_id, nr)
+    SELECT *, CASE WHEN epoch_ms(last_accessed_at) + 3600000 <= (SELECT epoch_ms(max(ts)) FROM events) - 600000 THEN 'closed' ELSE 'open' END AS state FROM s""",
+)
+def stream_open_sessions(spark, sf):
+    """Every session with its last state, those still open too; events arrive in three runs."""
+    events = TB.table(spark, sf, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    low, high = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    part = F.least(F.floor((F.unix_micros("ts") - low) * 3 / (high - low + 1)), F.lit(2))
+    table = Table(spark, scratch_path(spark, "sessions"), schemas.OPEN_SESSIONS, ["user_id", "created_at"], 4)
+    _in_runs(spark, events, part, 3, lambda arriving, place: SS.keep_sessions(SS.open_sessions(arriving), table, place))
+    return table.read().withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("created_at", "last_accessed_at")})
+
+
+@query(
+    "stream_changes",
+    f"""WITH {TB.SNAPSHOTS_SQL},
+    lines AS (SELECT repo_id, path AS file_path, regexp_replace(unnest(string_split(content, chr(10))), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g') AS content,
+      generate_subscripts(string_split(content, chr(10)), 1) AS line FROM snap_b)
+    SELECT repo_id, file_path, concat(file_path, ':anonymous:paragraph:L', line) AS id,
+      CAST(row_number() OVER (PARTITION BY repo_id, file_path ORDER BY line) - 1 AS INTEGER) AS chunk_index, content
+    FROM lines WHERE NOT regexp_full_match(content, '[\\s\\x0B\\x{{A0}}\\x{{2028}}\\x{{2029}}\\x{{3000}}\\x{{FEFF}}]*')""",
+)
+def stream_changes(spark, sf):
+    """Files arrive, are changed, renamed and deleted, and old versions come late: what is stored is the second snapshot."""
+    docs = TB.wide_table(spark, sf, "documents")
+    path = F.concat("source", F.lit("/"), "doc_id", F.lit(".md"))
+    gone, moved = F.col("doc_id") % 7 == 3, F.col("doc_id") % 13 == 0
+    text = F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text"))
+    nothing = F.lit(None).cast("string")
+
+    def events(rows, run, version, op, at=path, content=nothing, old=nothing):
+        return rows.select(
+            F.col("source").alias("repo_id"), at.alias("path"), F.lit(version).cast("long").alias("version"), op.alias("op"),
+            content.alias("content"), old.alias("old_path"), F.lit(run).alias("run"),
+        )
+
+    op = F.when(gone, "delete").when(moved, "rename").otherwise("update")
+    new_path = F.when(moved & ~gone, F.concat(path, F.lit(".moved"))).otherwise(path)
+    first = events(docs.where("doc_id % 10 <> 0"), 0, 1, F.lit("update"), content=F.col("text"))
+    second = events(docs.where(gone | moved | ((F.col("doc_id") % 11 == 0) | (F.col("doc_id") % 10 == 0))), 1, 2, op, new_path, F.when(~gone, text), F.when(moved & ~gone, path))
+    late = events(docs.where("doc_id % 5 = 0"), 2, 0, F.lit("update"), content=F.lit("old"))
+    corpus = ingest.Corpus(spark, scratch_path(spark, "corpus"), buckets=4)
+    feed = first.unionByName(second).unionByName(late)
+    now = F.lit(_NOW).cast("timestamp")
+    _in_runs(spark, feed, F.col("run"), 3, lambda arriving, place: SC.ingest_changes(arriving, corpus, place, now, prose_too=True))
+    return corpus.chunks.read().select("repo_id", "file_path", "id", "chunk_index", "content")
 
 
 @query(

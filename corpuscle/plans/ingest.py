@@ -60,6 +60,7 @@ class Corpus:
         self.parents = table("parents", schemas.PARENTS, ["repo_id", "id"])
         self.chunks = table("chunks", schemas.CHUNKS, ["repo_id", "file_path"])
         self.states = table("states", schemas.REPO_STATES, ["repo_url"])
+        self.commits = table("commits", schemas.COMMITS, ["stream"])
 
 
 def repo_states(requested: DataFrame, states: DataFrame) -> DataFrame:
@@ -169,3 +170,20 @@ def run(
     corpus.chunks.replace(records, touched.withColumnRenamed("path", "file_path"))
     corpus.signatures.replace(changes.where("status <> 'D'").select("repo_id", "path", "hash"), touched)
     return changes.drop("hash")
+
+
+def apply_changes(corpus: Corpus, changed: DataFrame, now: Column, user_meta: DataFrame | None = None, prose_too: bool = False) -> None:
+    """Bring single files up to date: ``repo_id, path, deleted, content``, a path once.
+
+    Files whose content is what is stored are left alone. Signatures are written last, as in :func:`run`.
+    """
+    removed = changed.where("deleted").select("repo_id", "path")
+    after = snapshots.signatures(changed.where("not deleted").select("repo_id", "path", "content"))
+    same = after.join(corpus.signatures.read(), ["repo_id", "path", "hash"], "left_semi").select("repo_id", "path")
+    fresh = written(after.join(same, ["repo_id", "path"], "left_anti").select("repo_id", "path", "hash"), "fresh")
+    touched = written(fresh.select("repo_id", "path").unionByName(removed), "touched")
+    files = changed.select("repo_id", "path", "content").join(fresh.select("repo_id", "path"), ["repo_id", "path"], "left_semi")
+    files = files.where(~P.is_binary_path(F.col("path")))
+    corpus.parents.replace(parent_records(files, user_meta), touched.withColumnRenamed("path", "id"))
+    corpus.chunks.replace(chunk_records(chunk_files(files, prose_too), user_meta, now), touched.withColumnRenamed("path", "file_path"))
+    corpus.signatures.replace(fresh, touched)

@@ -10,3 +10,5 @@ function_name string, start_line int, end_line int, content string, vector array
 REPO_STATES = "id string, repo_url string, local_path string, last_processed_snapshot string"
 JOBS = "job_id string, state string, reason string, changed_at timestamp, attempts long"
 SESSIONS = "session_id long, turn long, role string, text string"
+COMMITS = "stream string, batch long"
+OPEN_SESSIONS = "user_id long, created_at timestamp, last_accessed_at timestamp, message_count long, state string"

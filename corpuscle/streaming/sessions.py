@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from corpuscle.operators.sessions import CONTEXT_WINDOW, TTL_SECONDS
+from corpuscle.session import written
+from corpuscle.sources.store import Table
 
 MEMORY = "session_id long, turn long, role string, text string"
 _MESSAGE = "turn long, role string, text string"
@@ -59,3 +61,137 @@ def session_stats(events: DataFrame, ttl_seconds: int = TTL_SECONDS, late: str =
             "message_count",
         )
     )
+
+
+OPEN, CLOSED, GONE = "open", "closed", "gone"
+_STATES = "user_id long, created_at timestamp, last_accessed_at timestamp, message_count long, state string"
+_COLUMNS = ["user_id", "created_at", "last_accessed_at", "message_count", "state"]
+
+
+class OpenSessions(StatefulProcessor):
+    """A user's open sessions as first and last moment and number of messages; emits each one that changed.
+
+    A late message may join two sessions: the later one is then gone. A timer closes a session when the watermark has
+    passed its time to live.
+    """
+
+    def __init__(self, ttl_seconds: int):
+        self.ttl_us = ttl_seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sessions = handle.getListState("sessions", "first long, last long, n long")
+
+    def _rows(self, key, sessions, state: str) -> pd.DataFrame:
+        rows = [(key[0], pd.Timestamp(a, unit="us"), pd.Timestamp(b, unit="us"), n, state) for a, b, n in sessions]
+        return pd.DataFrame(rows, columns=_COLUMNS)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        old = [tuple(int(x) for x in s) for s in self.sessions.get()]
+        new = pd.concat([batch[["event_id", "moment"]] for batch in rows]).drop_duplicates("event_id")["moment"]
+        joined: list[tuple[int, int, int]] = []
+        for first, last, n in sorted(old + [(int(t), int(t), 1) for t in new]):
+            if joined and first - joined[-1][1] < self.ttl_us:
+                before = joined.pop()
+                first, last, n = before[0], max(before[1], last), before[2] + n
+            joined.append((first, last, n))
+        self.sessions.put(joined)
+        for _, last, _ in set(joined) - set(old):
+            self.handle.registerTimer(-(-(last + self.ttl_us) // 1000))
+        starts = {s[0] for s in joined}
+        yield self._rows(key, [s for s in old if s[0] not in starts], GONE)
+        yield self._rows(key, sorted(set(joined) - set(old)), OPEN)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        held = [tuple(int(x) for x in s) for s in self.sessions.get()]
+        done = [s for s in held if s[1] + self.ttl_us <= now]
+        if done:
+            rest = [s for s in held if s not in done]
+            if rest:
+                self.sessions.put(rest)
+            else:
+                self.sessions.clear()
+            yield self._rows(key, done, CLOSED)
+
+    def close(self) -> None:
+        pass
+
+
+def open_sessions(events: DataFrame, ttl_seconds: int = TTL_SECONDS, late: str = "10 minutes") -> DataFrame:
+    """Each change of a session, while it is open and when it closes; a message twice in a batch counts once."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    moments = timed.select("user_id", "event_id", "ts", F.unix_micros("ts").alias("moment"))
+    return moments.groupBy("user_id").transformWithStateInPandas(OpenSessions(ttl_seconds), _STATES, "Update", "EventTime")
+
+
+def keep_sessions(changes: DataFrame, table: Table, checkpoint: str):
+    """Keeps ``table`` (by ``user_id, created_at``) at the last state of each session."""
+
+    def apply(batch: DataFrame, _: int) -> None:
+        rows = written(batch, "sessions")
+        last = rows.groupBy("user_id", "created_at").agg(
+            F.max_by(F.struct("last_accessed_at", "message_count", "state"), F.col("state") == CLOSED).alias("s")
+        ).select("user_id", "created_at", "s.*")
+        table.replace(last.where(F.col("state") != GONE), last)
+
+    return changes.writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+class ExpiringMessages(StatefulProcessor):
+    """The newest messages of a session, which go when the watermark has passed its last one by the time to live."""
+
+    def __init__(self, window: int, ttl_seconds: int):
+        self.window, self.ttl_ms = window, ttl_seconds * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.messages = handle.getListState("messages", _MESSAGE)
+        self.last = handle.getValueState("last", "ms long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = self.last.get()
+        last = known[0] if known else 0
+        held = {m[0]: tuple(m) for m in self.messages.get()}
+        for batch in rows:
+            last = max(last, int(batch["moment"].max()))
+            for turn, role, text in batch[["turn", "role", "text"]].itertuples(index=False):
+                held[int(turn)] = (int(turn), role, text)
+            held = {turn: held[turn] for turn in sorted(held)[-self.window :]}
+        if known and known[0] != last:
+            self.handle.deleteTimer(known[0] + self.ttl_ms)
+        self.handle.registerTimer(last + self.ttl_ms)
+        self.last.update((last,))
+        self.messages.put(list(held.values()))
+        yield pd.DataFrame([(key[0], *m) for m in held.values()], columns=["session_id", "turn", "role", "text"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.messages.clear()
+        self.last.clear()
+        gone = {"session_id": [key[0]], "turn": [None], "role": [None], "text": [None]}
+        yield pd.DataFrame(gone).astype({"turn": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def expiring_memory(messages: DataFrame, window: int = CONTEXT_WINDOW, ttl_seconds: int = TTL_SECONDS, late: str = "10 minutes") -> DataFrame:
+    """For each changed session its newest messages, and one row without a turn for a session that has expired by event time."""
+    timed = messages.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    rows = timed.select("session_id", "turn", "role", "text", "ts", F.unix_millis("ts").alias("moment"))
+    return rows.groupBy("session_id").transformWithStateInPandas(ExpiringMessages(window, ttl_seconds), MEMORY, "Update", "EventTime")
+
+
+def keep_memory(changes: DataFrame, table: Table, checkpoint: str):
+    """Keeps ``table`` (by ``session_id``) at one set of rows a session; an expired one has none.
+
+    A session that has messages and expires in one batch has both kinds of rows and is gone.
+    """
+
+    def apply(batch: DataFrame, _: int) -> None:
+        rows = written(batch, "memory")
+        keys = rows.select("session_id").distinct()
+        gone = rows.where("turn is null").select("session_id")
+        table.replace(rows.join(gone, "session_id", "left_anti").select("session_id", "turn", "role", "text"), keys)
+
+    return changes.writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True)
