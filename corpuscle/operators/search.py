@@ -48,29 +48,31 @@ def similarity_search(
     metric: str = "l2sq",
     factor: int = 1,
     block_rows: int = topk.BLOCK_ROWS,
+    meta: str | None = None,
 ) -> DataFrame:
     """Exact k nearest rows of each query: ``(query_id, rank, payload..., distance, score)``.
 
     ``filters`` restricts the corpus for all queries before anything is scored
     and reaches the scan; ``match_on`` names columns on which a row has to equal
-    the query's own value, where the query has one.
+    the query's own value, where the query has one. ``meta`` names a map column: a row has to have all
+    entries of the query's own map; equal sets of conditions are looked up once, so every query may have its own.
     """
     return _search(
-        corpus, queries, k, filters, payload, match_on, id_col, vector, metric, factor, block_rows
+        corpus, queries, k, filters, payload, match_on, id_col, vector, metric, factor, block_rows, meta
     )[0]
 
 
 def _search(
     corpus, queries, k, filters, payload, match_on=(), id_col="id", vector="vector", metric="l2sq",
-    factor=1, block_rows=topk.BLOCK_ROWS,
+    factor=1, block_rows=topk.BLOCK_ROWS, meta=None,
 ) -> tuple[DataFrame, bool]:
     """Hits, and whether a single block of queries bounds their number."""
     payload = list(dict.fromkeys([id_col, *(payload or [])]))
     wanted = with_k(queries, k, factor).select(
-        "query_id", F.col("vector").cast("array<double>").alias("vector"), "k", *match_on
+        "query_id", F.col("vector").cast("array<double>").alias("vector"), "k", *match_on, *([meta] if meta else [])
     )
     rows = FL.apply_filter(corpus, filters).where(F.col(vector).isNotNull())
-    rows = rows.select(*dict.fromkeys([*payload, vector, *match_on]))
+    rows = rows.select(*dict.fromkeys([*payload, vector, *match_on, *([meta] if meta else [])]))
     partials = []
     blocks = topk.query_blocks(wanted, block_rows)
     for block in blocks:
@@ -82,7 +84,7 @@ def _search(
         part = rows
         for name in match_on:
             part = _prune(part, name, block)
-        partials.append(topk.scan_topk(part, block, scorer, payload, id_col, list(match_on)))
+        partials.append(topk.scan_topk(part, block, scorer, payload, id_col, list(match_on), meta))
     if not partials:
         kind = queries.schema["query_id"].dataType
         return rows.select(
@@ -104,8 +106,9 @@ def _prune(rows: DataFrame, name: str, block: topk.QueryBlock) -> DataFrame:
 def search_chunks(
     corpus: DataFrame, queries: DataFrame, k: int | None = None, filters: dict | None = None, **options
 ) -> DataFrame:
-    """Nearest chunks themselves; those without content are dropped after the cut at k."""
-    payload = list(dict.fromkeys(["repo_id", "content", *options.pop("payload", [])]))
+    """Nearest chunks themselves, with their metadata; those without content are dropped after the cut at k."""
+    held = ["meta"] if "meta" in corpus.columns else []
+    payload = list(dict.fromkeys(["repo_id", "content", *held, *options.pop("payload", [])]))
     hits = similarity_search(corpus, queries, k, filters, payload=payload, **options)
     return FL.has_content(hits).drop("k", "distance")
 
@@ -123,10 +126,11 @@ def parent_child(
     Three times k chunks are fetched. Where any of them has a parent, the first
     k distinct parents in order of their best chunk are returned, as far as they
     exist; otherwise all fetched chunks with content are.
-    Result: ``(query_id, rank, id, repo_id, content, score, is_parent)``.
+    Result: ``(query_id, rank, id, repo_id, content, score, is_parent)``, and ``meta`` where both tables have it.
     """
+    held = ["meta"] if "meta" in corpus.columns and "meta" in parents.columns else []
     hits, bounded = _search(
-        corpus, queries, k, filters, ["repo_id", "parent_id", "content"], factor=OVERFETCH, **options
+        corpus, queries, k, filters, ["repo_id", "parent_id", "content", *held], factor=OVERFETCH, **options
     )
     # Documents and orphans both come from the hits: keep those few rows, scan the corpus once.
     hits = written(hits, "hits")
@@ -144,15 +148,15 @@ def parent_child(
         .where(F.col("rank") <= F.col("k") / OVERFETCH)
         .select("query_id", "rank", "repo_id", F.col("parent_id").alias("id"), "score")
     )
-    swapped = fetch_parents(parents, F.broadcast(picked) if bounded else picked)
+    swapped = fetch_parents(parents, F.broadcast(picked) if bounded else picked, tuple(held))
     orphans = FL.has_content(hits.where(~F.col("any_parent"))).select(
         "query_id", "rank", F.col("id").cast("string").alias("id"), "repo_id", "content", "score",
-        F.lit(False).alias("is_parent"),
+        F.lit(False).alias("is_parent"), *held,
     )
     return swapped.unionByName(orphans)
 
 
-def fetch_parents(parents: DataFrame, picked: DataFrame) -> DataFrame:
+def fetch_parents(parents: DataFrame, picked: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """Documents for picked ``(repo_id, id)`` pairs.
 
     With one block of queries there are at most block size times 100 picked rows
@@ -160,9 +164,9 @@ def fetch_parents(parents: DataFrame, picked: DataFrame) -> DataFrame:
     scanned without a shuffle; with more blocks the planner chooses.
     """
     return (
-        parents.select("repo_id", "id", "content")
+        parents.select("repo_id", "id", "content", *more)
         .join(picked, ["repo_id", "id"], "inner")
-        .select("query_id", "rank", "id", "repo_id", "content", "score", F.lit(True).alias("is_parent"))
+        .select("query_id", "rank", "id", "repo_id", "content", "score", F.lit(True).alias("is_parent"), *more)
     )
 
 

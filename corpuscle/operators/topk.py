@@ -75,10 +75,11 @@ def scan_topk(
     payload: list[str],
     id_col: str,
     match_on: list[str],
+    meta: str | None = None,
 ) -> DataFrame:
     """Best ``k`` rows of each query per partition; lower distance is better, ties go to the lower id.
 
-    A scorer maps a batch to a (rows, queries) matrix of distances that may be
+    With ``meta``, a map column of rows and queries, a row has to have all entries of the query's map. A scorer maps a batch to a (rows, queries) matrix of distances that may be
     off by rounding, and a function giving exact distances of chosen cells.
     """
     spark = corpus.sparkSession
@@ -89,11 +90,11 @@ def scan_topk(
         + [fields[name] for name in payload]
     )
     shared = spark.sparkContext.broadcast(
-        (block.ids, block.k, {name: block.columns.column(name).to_pylist() for name in match_on})
+        (block.ids, block.k, {name: block.columns.column(name).to_pylist() for name in match_on}, condition_sets(block, meta))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, ks, wanted = shared.value
+        ids, ks, wanted, sets = shared.value
         score = make_scorer()
         best: pa.Table | None = None
         bound = np.full(len(ids), np.inf)
@@ -101,7 +102,7 @@ def scan_topk(
             step = max(1, _CELLS // max(1, len(ids)))
             for start in range(0, batch.num_rows, step):
                 part = batch.slice(start, step)
-                best = _merge(part, score, best, bound, ks, wanted, payload, id_col)
+                best = _merge(part, score, best, bound, ks, wanted, payload, id_col, meta, sets)
         if best is not None and best.num_rows:
             q = best.column("_q").to_numpy()
             columns = [ids.take(pa.array(q)), pa.array(ks[q]), best.column("_d").combine_chunks()]
@@ -111,8 +112,35 @@ def scan_topk(
     return corpus.mapInArrow(run, schema)
 
 
-def _merge(part, score, best, bound, ks, wanted, payload, id_col):
+def condition_sets(block: QueryBlock, meta: str | None) -> tuple[np.ndarray, dict[str, list[str | None]]] | None:
+    """Number of each query's set of conditions, and for each name the value that each different set asks for."""
+    if meta is None:
+        return None
+    sets: dict[tuple, int] = {}
+    asked = [tuple(sorted(m or [])) for m in block.columns.column(meta).to_pylist()]
+    of_query = np.array([sets.setdefault(a, len(sets)) for a in asked], np.int64)
+    names = sorted({name for a in sets for name, _ in a})
+    return of_query, {name: [dict(a).get(name) for a in sets] for name in names}
+
+
+def _allowed(column: pa.Array, names: dict[str, list[str | None]], sets: int) -> np.ndarray:
+    """Which rows have all that a set asks for, as a (rows, sets) matrix; each name is looked up once a batch."""
+    out = np.ones((len(column), sets), bool)
+    for name, values in names.items():
+        found = pc.map_lookup(column, pa.scalar(name, column.type.key_type), "first")
+        known = {v: i for i, v in enumerate(sorted({v for v in values if v is not None}))}
+        codes = np.asarray(pc.index_in(found, value_set=pa.array(list(known), found.type)).fill_null(-1))
+        asked = np.array([-2 if v is None else known[v] for v in values])
+        out &= (codes[:, None] == asked[None, :]) | (asked == -2)[None, :]
+    return out
+
+
+def _merge(part, score, best, bound, ks, wanted, payload, id_col, meta=None, sets=None):
     rough, exact = score(part)
+    if sets and sets[1]:
+        of_query, names = sets
+        allowed = _allowed(part.column(part.schema.get_field_index(meta)), names, of_query.max() + 1)
+        rough[~allowed[:, of_query]] = np.inf
     for name, values in wanted.items():
         _mask(rough, part.column(part.schema.get_field_index(name)), values)
     depth = int(ks.max()) if len(ks) else 0
@@ -128,7 +156,7 @@ def _merge(part, score, best, bound, ks, wanted, payload, id_col):
     found = found.append_column("_q", pa.array(cols)).append_column("_d", pa.array(exact(rows, cols)))
     table = found if best is None else pa.concat_tables([best, found])
     order = pc.sort_indices(
-        table, sort_keys=[("_q", "ascending"), ("_d", "ascending"), (id_col, "ascending")]
+        table, sort_keys=[("_q", "ascending"), ("_d", "ascending"), *((c, "ascending") for c in ties(id_col, payload))]
     )
     table = table.take(order)
     q = table.column("_q").to_numpy()
@@ -154,6 +182,11 @@ def _mask(rough: np.ndarray, column: pa.Array, values: list) -> None:
     rough[(codes[:, None] != asked[None, :]) & (asked != -2)[None, :]] = np.inf
 
 
+def ties(id_col: str, columns: list[str]) -> list[str]:
+    """What orders rows of equal distance: the id, and the repository where there is one."""
+    return [id_col, *(["repo_id"] if "repo_id" in columns and id_col != "repo_id" else [])]
+
+
 def pa_type_to_spark(kind: pa.DataType) -> T.DataType:
     if pa.types.is_int64(kind):
         return T.LongType()
@@ -171,7 +204,7 @@ def merge_partials(partials: list[DataFrame], id_col: str) -> DataFrame:
     everything = partials[0]
     for more in partials[1:]:
         everything = everything.unionByName(more)
-    order = Window.partitionBy("query_id").orderBy("distance", id_col)
+    order = Window.partitionBy("query_id").orderBy("distance", *ties(id_col, everything.columns))
     return everything.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("k"))
 
 

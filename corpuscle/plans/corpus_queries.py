@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corpuscle import schemas
 from corpuscle.operators import approx as A
 
-from corpuscle.operators.chunking import blocks
+from corpuscle.operators.chunking import blocks, prose
 from corpuscle.plans import ingest
 from corpuscle.plans import testbed as TB
 from corpuscle.plans.registry import query
@@ -148,6 +148,38 @@ def html_elements(spark, sf):
     return blocks.code_chunks(pages).where("chunk_type = 'element'").select("file_path", "content")
 
 
+_FORMS = ("## Part {0} ##\n", "\n| a | b |\n|---|---|\n| {0} | 2 |\n- one {0}\n  goes on\n* two\n\n1. three\nplain\n  indented\n~~~\n# no heading\n```\n", "\n~~~\n```py\nopen {0}")
+
+
+@query(
+    "prose_blocks",
+    f"""WITH d AS (SELECT source AS repo_id, concat(source, '/', doc_id, '.md') AS p, doc_id, regexp_replace(text, '[`~]', '', 'g') AS t FROM documents),
+    c AS (SELECT repo_id, p, concat({", t, ".join("'" + f.replace("{0}", "', doc_id, '").replace(chr(10), "', chr(10), '") + "'" for f in _FORMS)}) AS content FROM d),
+    l AS (SELECT repo_id, p, unnest(string_split(content, chr(10))) AS x, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM c),
+    k AS (
+      SELECT *, CASE WHEN regexp_full_match(x, '[\\s\\x0B\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}\\x{{FEFF}}]*') THEN 'blank'
+        WHEN regexp_matches(x, '^ {{0,3}}~~~') THEN 'tildes' WHEN regexp_matches(x, '^ {{0,3}}```') THEN 'ticks'
+        WHEN regexp_matches(x, '^ {{0,3}}#{{1,6}}([ \\t]|$)') THEN 'heading' WHEN regexp_matches(x, '^[ \\t]*\|') THEN 'table'
+        WHEN regexp_matches(x, '^[ \\t]*([-*+]|[0-9]{{1,9}}[.)])[ \\t]+[^ \\t]') THEN 'list' WHEN regexp_matches(x, '^(  |\\t)') THEN 'indented' ELSE 'paragraph' END AS c FROM l),
+    f AS (SELECT *, sum((c = 'tildes')::INT) OVER (PARTITION BY p ORDER BY n) AS tildes FROM k),
+    g AS (SELECT *, CASE WHEN tildes = 1 OR c = 'tildes' THEN 'code_block' WHEN tildes = 2 AND max((tildes = 2 AND c = 'ticks')::INT) OVER (PARTITION BY p ORDER BY n) = 1 THEN 'code_block' ELSE c END AS c2 FROM f),
+    h AS (SELECT *, CASE WHEN c2 <> 'indented' THEN c2 WHEN last_value(CASE WHEN c2 <> 'indented' THEN c2 END IGNORE NULLS) OVER (PARTITION BY p ORDER BY n) = 'list' THEN 'list' ELSE 'paragraph' END AS kind FROM g),
+    i AS (SELECT *, sum((kind = 'heading' OR kind IS DISTINCT FROM before OR (c = 'ticks' AND tildes = 2))::INT) OVER (PARTITION BY p ORDER BY n) AS block FROM (SELECT *, lag(kind) OVER (PARTITION BY p ORDER BY n) AS before FROM h)),
+    b AS (SELECT repo_id, p, block, any_value(kind) AS chunk_type, min(n) AS a, max(n) AS z, string_agg(x, chr(10) ORDER BY n) AS content FROM i WHERE kind <> 'blank' GROUP BY ALL),
+    m AS (SELECT *, CASE WHEN chunk_type = 'heading' THEN coalesce(nullif(regexp_extract(content, '^ {{0,3}}#{{1,6}}[ \\t]+(.*?)[ \\t]*#*[ \\t]*$', 1), ''), 'anonymous') ELSE 'anonymous' END AS name FROM b)
+    SELECT repo_id, concat(p, ':', name, ':', chunk_type, ':L', a) AS id, p AS file_path, name, chunk_type,
+      CAST(row_number() OVER (PARTITION BY p ORDER BY a) - 1 AS INTEGER) AS chunk_index, content, a::INTEGER AS start_line, z::INTEGER AS end_line FROM m""",
+)
+def prose_blocks(spark, sf):
+    """Each text between a heading and a table, in a code block, and so on; marks of code are taken from it."""
+    docs = TB.wide_table(spark, sf, "documents")
+    number, text = F.col("doc_id").cast("string"), F.translate("text", "`~", "")
+    parts = [F.replace(F.lit(form), F.lit("{0}"), number) for form in _FORMS]
+    content = F.concat(parts[0], text, parts[1], text, parts[2])
+    rows = docs.select(F.col("source").alias("repo_id"), F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("id"), content.alias("content"))
+    return prose.prose_blocks(rows)
+
+
 _STATE_SQL = """
 asked AS (SELECT DISTINCT concat('https://github.com/org/', source, '.git') AS repo_url, source AS repo_id FROM documents),
 known AS (SELECT concat('id-', repo_id) AS id, repo_url, concat('disk/', repo_id) AS local_path,

@@ -148,6 +148,37 @@ def chunk_search(spark, sf):
     )
 
 
+_ASKED_META = "(query_id // 20) % 4"
+
+
+@query(
+    "search_with_meta",
+    f"""WITH {TB.QUERY_VECTORS_SQL},
+    l AS (SELECT doc_id, any_value(quality) AS quality, any_value(toxic) AS toxic FROM labels GROUP BY doc_id),
+    c AS (SELECT vec_id AS id, embedding AS vector, quality, toxic, vec_id % 50 AS part FROM embeddings LEFT JOIN l ON doc_id = vec_id),
+    s AS (SELECT query_id, id, quality, {TB.l2sq_sql('vector', 'qv')} AS distance FROM c, q WHERE CASE {_ASKED_META} WHEN 0 THEN true
+      WHEN 1 THEN quality = 1 WHEN 2 THEN quality = 0 AND toxic = 0 ELSE part = query_id % 50 END),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank FROM s)
+    SELECT query_id, rank, id, CAST(quality AS VARCHAR) AS quality, {_SCORE} FROM r WHERE rank <= 7""",
+)
+def search_with_meta(spark, sf):
+    """Each query has conditions of its own: none, a label, two labels, or one of fifty parts; one pass over the corpus."""
+    labels = TB.table(spark, sf, "labels").groupBy("doc_id").agg(F.any_value("quality").alias("quality"), F.any_value("toxic").alias("toxic"))
+    text = lambda c: F.col(c).cast("string")
+    entries = F.map_from_entries(F.filter(
+        F.array(*[F.struct(F.lit(n).alias("key"), text(n).alias("value")) for n in ("quality", "toxic", "part")]), lambda e: e["value"].isNotNull()
+    ))
+    vectors = TB.table(spark, sf, "embeddings").join(labels, F.col("doc_id") == F.col("vec_id"), "left").withColumn("part", F.col("vec_id") % 50)
+    corpus = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), entries.alias("meta"))
+    kind, one, two = F.expr(_ASKED_META.replace("//", "div")), F.lit("quality"), F.lit("toxic")
+    asked = (
+        F.when(kind == 0, F.lit(None).cast("map<string,string>")).when(kind == 1, F.create_map(one, F.lit("1")))
+        .when(kind == 2, F.create_map(one, F.lit("0"), two, F.lit("0"))).otherwise(F.create_map(F.lit("part"), (F.col("query_id") % 50).cast("string")))
+    )
+    hits = S.similarity_search(corpus, TB.query_vectors(spark, sf).withColumn("meta", asked), 7, payload=["meta"], meta="meta")
+    return _rounded(hits.select("query_id", "rank", "id", F.col("meta")["quality"].alias("quality"), "score"))
+
+
 @query(
     "min_score",
     _hits() + f" SELECT query_id, rank, id, {_SCORE} FROM hits WHERE rank <= 50 AND 1 - distance >= -0.5",

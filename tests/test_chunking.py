@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from corpuscle.operators.chunking import languages
+from corpuscle.operators.chunking import languages, prose
 from corpuscle.operators.chunking.blocks import code_chunks
 from corpuscle.operators.chunking.rules import LANGUAGES
 from corpuscle.plans.code_samples import SAMPLES as CASES
@@ -75,3 +75,28 @@ def test_ingestion_keeps_every_block_of_a_line(spark):
     objects = [(r.id, r.content) for r in got if r.chunk_type == "object"]
     assert [i for i, _ in objects] == ["a.json:anonymous:object:L1" + end for end in ("", "#2", "#3", "#4")]
     assert [c for _, c in objects] == ['{"a": {}, "b": {"c": {}}}', "{}", '{"c": {}}', "{}"]
+
+
+PROSE = (
+    "# One #\nplain\n  more\n\n- a\n  goes on\n\t* b\n12. c\ntext\n| x | y |\n|---|---|\n## \n~~~\n```\n# no\n~~~\n```\n~~~\nopen\n\n"
+    "####### seven\n#tag\n-no\n"
+)
+
+
+def test_prose_blocks(spark):
+    docs = spark.createDataFrame([("r", "p.md", PROSE), ("r", "e.md", ""), ("r", "n.md", None), ("r", "b.md", " \n\t"), ("r", "f.md", "~~~")], "repo_id string, id string, content string")
+    got = prose.prose_blocks(docs).orderBy("file_path", "chunk_index").collect()
+    assert [(r.chunk_type, r.name, r.start_line, r.end_line) for r in got if r.file_path == "p.md"] == [
+        ("heading", "One", 1, 1), ("paragraph", "anonymous", 2, 3), ("list", "anonymous", 5, 8), ("paragraph", "anonymous", 9, 9),
+        ("table", "anonymous", 10, 11), ("heading", "anonymous", 12, 12), ("code_block", "anonymous", 13, 16), ("code_block", "anonymous", 17, 24),
+    ]
+    lines = PROSE.split("\n")
+    assert all(r.content == "\n".join(lines[r.start_line - 1 : r.end_line]) for r in got if r.file_path == "p.md")
+    assert [(r.id, r.content) for r in got if r.file_path != "p.md"] == [("f.md:anonymous:code_block:L1", "~~~")]
+    assert len({r.id for r in got}) == len(got)
+
+
+def test_prose_of_a_long_document(spark):
+    text = "\n".join(["- item", "  on", "", "word " * 50] * 30_000)
+    got = prose.prose_blocks(spark.createDataFrame([("p.md", text)], "id string, content string"))
+    assert got.groupBy("chunk_type").count().collect() and got.count() == 60_000

@@ -223,3 +223,46 @@ def test_fusion(spark):
     a, b = a.withColumn("repo_id", F.lit("r")), b.withColumn("repo_id", F.lit("q"))
     hits = S.reciprocal_rank_fusion([a, b], 4).orderBy("rank").select("repo_id", "id").collect()
     assert [tuple(h) for h in hits] == [("r", "x"), ("q", "y"), ("r", "y"), ("q", "z")]
+
+
+def test_conditions_of_each_query(spark):
+    """A row has all entries of the query's map, whatever their number; values of different types differ."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=4).tolist(), {"team": f'"t{i % 5}"', "n": str(i % 7), **({"odd": "true"} if i % 2 else {})}) for i in range(400)]
+    rows.append((400, [0.0] * 4, None))
+    corpus = spark.createDataFrame(rows, "id int, vector array<float>, meta map<string,string>").repartition(5)
+    asked = [None, {}, {"team": '"t1"'}, {"n": "3", "odd": "true"}, {"n": '"3"'}, {"absent": "1"}] + [{"n": str(i % 7), "team": f'"t{i % 5}"'} for i in range(35)]
+    queries = [(q, rng.normal(size=4).tolist(), m) for q, m in enumerate(asked)]
+    got = ranked(S.similarity_search(corpus, spark.createDataFrame(queries, "query_id int, vector array<double>, meta map<string,string>"), 6, meta="meta"))
+    for q, v, m in queries:
+        held = [(i, np.float32(x).tolist()) for i, x, has in rows if all((has or {}).get(k) == w for k, w in (m or {}).items())]
+        assert got.get(q, []) == brute(held, [(q, v)], 6)[q]
+
+
+def test_equal_ids_of_two_repositories(spark):
+    rows = [(7, [1.0, 0.0], repo, "text") for repo in ("b", "a", "c")] + [(3, [1.0, 0.0], "b", "text")]
+    corpus = spark.createDataFrame(rows, "id int, vector array<float>, repo_id string, content string").repartition(4)
+    queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, vector array<double>")
+    found = S.similarity_search(corpus, queries, 3, payload=["repo_id"]).orderBy("rank").collect()
+    assert [(r.id, r.repo_id) for r in found] == [(3, "b"), (7, "a"), (7, "b")]
+
+
+def test_requests_with_metadata(spark):
+    from corpuscle.plans import retrieval
+
+    chunks = E.embed(spark.createDataFrame(
+        [("r", "1", "alpha beta", "p1", {"team": '"x"'}), ("r", "2", "alpha beta", "p2", {"team": '"y"'}), ("s", "3", "alpha beta", "p3", {"team": '"x"'})],
+        "repo_id string, id string, content string, parent_id string, meta map<string,string>",
+    ))
+    parents = spark.createDataFrame([("r", "p1", "whole 1", {"a": "1"}), ("r", "p2", "whole 2", {"a": "2"})], "repo_id string, id string, content string, meta map<string,string>")
+    requests = [
+        (1, "r", "alpha", '{"team": "x"}'), (2, "r", "alpha", None), (3, "r", "alpha", '{"team": ["x"]}'), (4, "r", "alpha", '{"chunkType": "x"}'),
+        (5, "r", " ", None), (6, "r", "alpha", '{"team": 1}'), (7, "r", None, None),
+    ]
+    asked = spark.createDataFrame(requests, "query_id int, repo_id string, prompt string, meta string")
+    found = retrieval.search_chunks(asked, chunks).collect()
+    assert sorted((r.query_id, r.id, r.meta["team"]) for r in found) == [(1, "1", '"x"'), (2, "1", '"x"'), (2, "2", '"y"')]
+    whole = retrieval.search(asked, chunks, parents).collect()
+    assert sorted((r.query_id, r.id, r.meta["a"]) for r in whole) == [(1, "p1", "1"), (2, "p1", "1"), (2, "p2", "2")]
+    refused = {r.query_id: r.error for r in retrieval.prepare(asked)[1].collect()}
+    assert refused == {3: "invalid meta", 4: "reserved metadata in filter: chunkType", 5: "no embedding for the prompt", 7: "invalid prompt"}
