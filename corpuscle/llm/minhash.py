@@ -6,7 +6,7 @@ Documents with equal sets form a class first. In each bucket the first class is
 others, a star; it is the one with the fewest shingles that no other has, so it links most. Members that no verified link has joined are compared in further rounds, whose
 centres grow in number. So every pair that shares a bucket is either in one component, or was
 verified on the full sets, or has a member with too few shingles that occur in any other class
-that shares a bucket, which rules out every link of it.
+that shares a bucket, or cannot have enough shingles in common by the counts of its sketch, which rules out the link.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ WORDS = 5
 ROWS, BANDS = 4, 32
 STEP = 81  # each round has this many times the centres of all before
 BYTES_AT_ONCE = 4 << 20
+CELLS = 128  # of a sketch, one byte each
 U = np.uint64
 SIGNED = "row long, doc_id long, n_shingles long, class long, bands array<long>"
 
@@ -95,11 +96,18 @@ def _signed(bands: int, rows: int):
     return run
 
 
+def _sketch(items: np.ndarray) -> np.ndarray | None:
+    """How many shingles fall into each cell; none where a count is beyond a byte's range."""
+    counts = np.bincount((items >> U(20)).astype(np.int64) & (CELLS - 1), minlength=CELLS)
+    return counts.astype(np.int8) if counts.max() < 128 else None
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in H.parts(batch, BYTES_AT_ONCE):
-            sets = [s.tobytes() for s in shingle_sets(part.column("text"))]
-            yield pa.RecordBatch.from_arrays([part.column("class"), pa.array(sets, pa.binary())], names=["class", "shingles"])
+            sets = shingle_sets(part.column("text"))
+            held = [pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([_sketch(s) for s in sets], pa.list_(pa.int8()))]
+            yield pa.RecordBatch.from_arrays([part.column("class"), *held], names=["class", "shingles", "sketch"])
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +119,7 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linkable(sets: DataFrame, percent: int) -> DataFrame:
-    """``class, shingles, size, shared`` of the sets that can have a link.
+    """``class, shingles, sketch, size, shared`` of the sets that can have a link.
 
     ``shared`` counts the shingles that another set has, too; no other is in an intersection.
     A text that only shares a passage with others is mostly its own, and is ruled out
@@ -120,7 +128,7 @@ def _linkable(sets: DataFrame, percent: int) -> DataFrame:
     owners = sets.mapInArrow(_shingles, "shingle long, class long").groupBy("shingle").agg(F.min("class").alias("class"), F.max("class").alias("z"))
     own = owners.where("class = z").groupBy("class").agg(F.count(F.lit(1)).alias("own"))
     size = (F.length("shingles") / 8).cast("long")
-    counted = sets.join(own, "class", "left").select("class", "shingles", size.alias("size"), (size - F.coalesce("own", F.lit(0))).alias("shared"))
+    counted = sets.join(own, "class", "left").select("class", "shingles", "sketch", size.alias("size"), (size - F.coalesce("own", F.lit(0))).alias("shared"))
     return counted.where(100 * F.col("shared") >= percent * F.col("size"))
 
 
@@ -130,6 +138,14 @@ def _possible(percent: int) -> Column:
     return (100 + percent) * both >= percent * (F.col("size") + F.col("size_a"))
 
 
+def _overlapping(percent: int) -> Column:
+    """Whether the sketches leave room for a link: cell by cell no more shingles are common than the smaller count."""
+    least = F.zip_with("sketch", "sketch_a", lambda x, y: F.least(x, y))
+    both = F.aggregate(least, F.lit(0), lambda total, x: total + x)
+    room = (100 + percent) * both >= percent * (F.col("size") + F.col("size_a"))
+    return F.when(F.col("sketch").isNull() | F.col("sketch_a").isNull(), True).otherwise(room)
+
+
 def _linked(percent: int):
     """Keeps the pairs whose sets are alike: 100 * intersection >= percent * union."""
 
@@ -186,12 +202,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
     )
     spread = classes.select(F.explode("bands").alias("bucket"), "class")
     met = scratch(_starred(spread).select("class").distinct().join(classes.select("class", "row"), "class"), "met")
-    sets = scratch(docs.select("row", "text").join(met.hint("shuffle_hash"), "row").dropDuplicates(["class"]).mapInArrow(_sets, "class long, shingles binary"), "sets")
+    sets = scratch(docs.select("row", "text").join(met.hint("shuffle_hash"), "row").dropDuplicates(["class"]).mapInArrow(_sets, "class long, shingles binary, sketch array<byte>"), "sets")
     sets = scratch(_linkable(sets, percent), "linkable")
     counted = sets.select("class", "size", "shared")
     own = F.col("size") - F.col("shared")
     buckets = scratch(_starred(spread.join(counted.withColumn("own", own), "class"), "own"), "buckets")
-    keyed = counted.join(classes.select("class", F.col("bands").alias("keys")), "class")
+    keyed = sets.select("class", "size", "shared", "sketch").join(classes.select("class", F.col("bands").alias("keys")), "class")
     of_centre = counted.select(F.col("class").alias("a"), F.col("size").alias("size_a"), F.col("shared").alias("shared_a"))
 
     spokes = buckets.where("class != a").select("a", "class", "own", "size", "shared").distinct()
@@ -211,9 +227,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
         if last <= centre:
             break
         heads = ranked.where((F.col("nth") > centre) & (F.col("nth") <= STEP * centre)).select(
-            "bucket", *[F.col(c).alias(f"{c}_a") for c in ("class", "label", "nth", "size", "shared", "keys")]
+            "bucket", *[F.col(c).alias(f"{c}_a") for c in ("class", "label", "nth", "size", "shared", "sketch", "keys")]
         )
-        here = _possible(percent) & F.expr("nth > nth_a and label <> label_a") & (F.col("bucket") == _first_shared(F.col("keys"), F.col("keys_a")))
+        here = _possible(percent) & F.expr("nth > nth_a and label <> label_a") & (F.col("bucket") == _first_shared(F.col("keys"), F.col("keys_a"))) & _overlapping(percent)
         fresh = ranked.join(heads, "bucket").where(here).select(F.col("class_a").alias("a"), F.col("class").alias("b"))
         pairs = scratch(fresh.join(spokes, ["a", "b"], "left_anti"), "pairs")
         more = scratch(_verified(pairs, sets, percent), "links")

@@ -90,3 +90,15 @@ def test_components_of_a_long_path(spark):
 
 def test_empty_table(documents):
     assert minhash.near_duplicates(documents([(1, "a")]).where("false")).count() == 0
+
+
+def test_sketches_rule_out_no_link():
+    """The bound is never below the intersection, and is missing where a count does not fit."""
+    rng = np.random.default_rng(4)
+    for size in (1, 20, 150, 3000):
+        base = rng.integers(0, 2**63, size, dtype=np.uint64)
+        for keep in (0.3, 0.8, 1.0):
+            other = np.unique(np.concatenate([base[: int(size * keep)], rng.integers(0, 2**63, size // 5 + 1, dtype=np.uint64)]))
+            one, two = minhash._sketch(np.unique(base)), minhash._sketch(other)
+            assert np.minimum(one.astype(int), two).sum() >= len(np.intersect1d(base, other))
+    assert minhash._sketch(rng.integers(0, 2**63, 128 * 128, dtype=np.uint64)) is None
