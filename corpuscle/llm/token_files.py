@@ -7,6 +7,7 @@ A reader fetches the table, and then only the frames it is asked for.
 
 from __future__ import annotations
 
+import itertools
 import json
 import struct
 import zlib
@@ -29,49 +30,62 @@ SKIPPABLE, SEEKABLE, WITH_CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 END = 0
 LEVEL = 3
 BYTES_AT_ONCE = 6 << 20
-CACHED = 300_000
+CACHED = 1_000_000  # words of a task whose ids are remembered
 NO_ID = -(2**63)
 WHITE = r"\s\x0b\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 MANIFEST = "slot int, path string, n_docs long, n_ids long"
 
 
 class Encoder:
-    """Encodes texts with a tokenizer file, and remembers the ids of words.
+    """Encodes texts with a tokenizer's JSON, and remembers the ids of words.
 
     For byte-level BPE without normalisation a blank that no other white space touches begins a
-    pre-token, so a text can be cut there and equal pieces encoded once.
+    pre-token, so a text can be cut there and equal pieces encoded once. The pieces of a batch that are not
+    known are encoded in one call; known ids lie in one array.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, tokenizer: str, remembered: int = CACHED):
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
-        parts = json.loads(self.whole.to_str())
+        self.whole = Tokenizer.from_str(tokenizer)
+        parts = json.loads(tokenizer)
         before = parts.get("pre_tokenizer") or {}
         self.cuts = parts.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space")
         special = [t["content"] for t in parts.get("added_tokens", [])]
         self.unsafe = f" [{WHITE}]|[{WHITE}] " + "".join("|" + "".join(f"\\x{{{ord(c):x}}}" for c in s) for s in special)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _known(self, piece: str, make) -> bytes:
-        ids = self.young.get(piece)
-        if ids is None:
-            ids = self.old.get(piece)
-            if ids is None:
-                ids = make(piece)
-            if len(self.young) >= CACHED:
-                self.young, self.old = {}, self.young
-            self.young[piece] = ids
-        return ids
-
-    def _pre_token(self, piece: str) -> bytes:
-        ids = [t.id for t in self.whole.model.tokenize(piece)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _word(self, word: str) -> bytes:
-        # Pre-tokens are known by their byte-level letters, words behind a mark that is none of these
-        return b"".join(self._known(p, self._pre_token) for p, _ in self.whole.pre_tokenizer.pre_tokenize_str(word))
+        self.remembered = remembered
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pool, self.begin, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.used = 0
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _slots(self, words: list[str]) -> np.ndarray:
+        """Where the ids of each word are remembered; the words are different."""
+        found = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(found < 0)
+        if len(new) and len(self.known) + len(new) > self.remembered:
+            self._forget()
+            found[:] = -1
+            new = np.arange(len(words))
+        if len(new):
+            fresh = [words[k] for k in new.tolist()]
+            ids = self._encoded(fresh)
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            at, total = len(self.known), int(size.sum())
+            self.pool = _grown(self.pool, self.used + total)
+            self.begin, self.size = _grown(self.begin, at + len(new)), _grown(self.size, at + len(new))
+            self.pool[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, total)
+            self.size[at : at + len(new)] = size
+            self.begin[at : at + len(new)] = self.used + np.cumsum(size) - size
+            self.used += total
+            found[new] = at + np.arange(len(new))
+            self.known.update(zip(fresh, range(at, at + len(new))))
+        return found
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each text's ids start (and the end)."""
@@ -81,27 +95,32 @@ class Encoder:
         flat = words.flatten()
         begin = words.offsets.to_numpy() - (words.offsets[0].as_py() if len(words) else 0)
         coded = flat.dictionary_encode()
-        first = np.zeros(len(flat), bool)
-        first[begin[:-1][begin[:-1] < begin[1:]]] = True
-        index = coded.indices.to_numpy().astype(np.int64) * 2 + first
-        kinds, index = np.unique(index, return_inverse=True)
-        names = coded.dictionary.take(pa.array(kinds // 2)).to_pylist()
-        ids = [self._known("\0" + w, lambda k: self._word(k[1:])) for w in (n if k & 1 else " " + n for n, k in zip(names, kinds.tolist()))]
-        size = np.array([len(i) // 4 for i in ids], np.int64)
-        pool = np.frombuffer(b"".join(ids), "<u4")
-        count = size[index]
+        # A word after a blank is another piece than the same word at the start of a text
+        index = coded.indices.to_numpy().astype(np.int64) * 2
+        index[begin[:-1][begin[:-1] < begin[1:]]] += 1
+        there = np.zeros(2 * len(coded.dictionary), bool)
+        there[index] = True
+        kinds = np.flatnonzero(there)
+        lead = pc.if_else(pa.array(kinds & 1 == 1), "", " ")
+        slots = self._slots(pc.binary_join_element_wise(lead, coded.dictionary.take(pa.array(kinds // 2)), "").to_pylist())
+        slot = slots[(np.cumsum(there) - 1)[index]]
+        count = self.size[slot]
         edge = np.concatenate([[0], np.cumsum(count)])
-        place = np.repeat((np.cumsum(size) - size)[index] - edge[:-1], count) + np.arange(edge[-1])
-        fast, fast_edge = pool[place], edge[begin]
+        place = np.repeat(self.begin[slot] - edge[:-1], count) + np.arange(edge[-1])
+        fast, fast_edge = self.pool[place], edge[begin]
         if not unsafe.any():
             return fast, fast_edge
-        odd = texts.filter(pa.array(unsafe)).to_pylist()
-        slow = iter([np.array(e.ids, "<u4") for e in self.whole.encode_batch(odd, add_special_tokens=False)])
+        slow = iter([np.array(ids, "<u4") for ids in self._encoded(texts.filter(pa.array(unsafe)).to_pylist())])
         quick = iter(np.split(fast, fast_edge[1:-1]) if len(safe) else [])
         out = [next(slow) if u else next(quick) for u in unsafe]
         return np.concatenate(out), np.concatenate([[0], np.cumsum([len(o) for o in out])])
 
 
+def _grown(array: np.ndarray, n: int) -> np.ndarray:
+    """The array with room for ``n`` items at least."""
+    return array if n <= len(array) else np.concatenate([array, np.zeros(max(n, 2 * len(array)) - len(array), array.dtype)])
+
+
 class FrameWriter:
     """Writes frames to a stream, and at the end the ids and the seek table."""
 
@@ -157,11 +176,11 @@ class FrameReader:
         return np.frombuffer(self.frame(k), "<u4")
 
 
-def _writer(folder: str, tokenizer: str):
+def _writer(folder: str, tokenizer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, root = fs.FileSystem.from_uri(folder)
         place.create_dir(root, recursive=True)
-        encoder, attempt = Encoder(tokenizer), TaskContext.get().taskAttemptId()
+        encoder, attempt = Encoder(tokenizer.value), TaskContext.get().taskAttemptId()
         slot, stream, writer, done = None, None, None, []
 
         def close():
@@ -199,9 +218,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None) ->
     folder = folder or scratch_path(spark, "tokens")
     docs = texts_of(docs)
     slots = slots_for(spark)
+    with open(tokenizer, encoding="utf-8") as file:  # where the driver runs; tasks get its text
+        shared = spark.sparkContext.broadcast(file.read())
     slotted = docs.withColumn("slot", slot_of(F.col("doc_id"), slot_bounds(docs, "doc_id", slots)).cast("int"))
     dealt = slotted.repartitionById(slots, F.col("slot")).sortWithinPartitions("slot", F.col("doc_id").asc_nulls_first(), "row")
-    return scratch(dealt.select("slot", "doc_id", "text").mapInArrow(_writer(folder, tokenizer), MANIFEST), "manifest")
+    return scratch(dealt.select("slot", "doc_id", "text").mapInArrow(_writer(folder, shared), MANIFEST), "manifest")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

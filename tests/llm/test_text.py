@@ -47,13 +47,24 @@ TEXTS = [
 def test_encoder_equals_library():
     rng = random.Random(2)
     mixed = ["".join(rng.choice([" ", "  ", "\n", "a", "the", "'s", "é", "9", ".", " ", "\t"]) for _ in range(rng.randrange(30))) for _ in range(3000)]
-    whole, mine = Tokenizer.from_file(PATH), token_files.Encoder(PATH)
+    whole, mine = Tokenizer.from_file(PATH), token_files.Encoder(open(PATH, encoding="utf-8").read())
     for texts in (TEXTS + mixed, ["plain words", "only"], ["two  blanks"]):
         ids, edge = mine.batch(pa.array(texts))
         for k, t in enumerate(texts):
             assert ids[edge[k] : edge[k + 1]].tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_encoder_forgets_and_goes_on():
+    """Ids stay right when the remembered words run over."""
+    whole, small = Tokenizer.from_file(PATH), token_files.Encoder(open(PATH, encoding="utf-8").read(), 50)
+    for k in range(12):
+        texts = [" ".join(f"word{(k * 7 + i) % 90}" for i in range(30)), "word1 word1", "", f"only{k}"]
+        ids, edge = small.batch(pa.array(texts))
+        for j, t in enumerate(texts):
+            assert ids[edge[j] : edge[j + 1]].tolist() == whole.encode(t, add_special_tokens=False).ids
+    assert len(small.known) <= 50
+
+
 def test_files_round_trip(documents, tmp_path):
     rows = [((i * 31) % 97, t) for i, t in enumerate(TEXTS * 3)] + [(None, "none"), (None, None), (5, "x"), (5, "x")]
     manifest = token_files.write_tokens(documents(rows), PATH, str(tmp_path / "t"))
