@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,7 +31,8 @@ SKIPPABLE, SEEKABLE, WITH_CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 END = 0
 LEVEL = 3
 BYTES_AT_ONCE = 6 << 20
-CACHED = 1_000_000  # words of a task whose ids are remembered
+CACHED = 600_000  # words of a task whose ids are remembered
+AT_ONCE = 1 << 14
 NO_ID = -(2**63)
 WHITE = r"\s\x0b\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 MANIFEST = "slot int, path string, n_docs long, n_ids long"
@@ -45,6 +47,7 @@ class Encoder:
     """
 
     def __init__(self, tokenizer: str, remembered: int = CACHED):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_str(tokenizer)
@@ -62,7 +65,10 @@ class Encoder:
         self.used = 0
 
     def _encoded(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[list[int]] = []
+        for at in range(0, len(texts), AT_ONCE):  # the library's results are much larger than the ids
+            out += [e.ids for e in self.whole.encode_batch_fast(texts[at : at + AT_ONCE], add_special_tokens=False)]
+        return out
 
     def _slots(self, words: list[str]) -> np.ndarray:
         """Where the ids of each word are remembered; the words are different."""
