@@ -7,6 +7,7 @@ A reader fetches the table, and then only the frames it is asked for.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
 import os
@@ -122,6 +123,12 @@ class Encoder:
         return np.concatenate(out), np.concatenate([[0], np.cumsum([len(o) for o in out])])
 
 
+@functools.lru_cache(maxsize=1)
+def encoder_of(tokenizer: str) -> Encoder:
+    """One encoder for all tasks of a worker process, so that words are encoded once in it."""
+    return Encoder(tokenizer)
+
+
 def _grown(array: np.ndarray, n: int) -> np.ndarray:
     """The array with room for ``n`` items at least."""
     return array if n <= len(array) else np.concatenate([array, np.zeros(max(n, 2 * len(array)) - len(array), array.dtype)])
@@ -186,7 +193,7 @@ def _writer(folder: str, tokenizer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, root = fs.FileSystem.from_uri(folder)
         place.create_dir(root, recursive=True)
-        encoder, attempt = Encoder(tokenizer.value), TaskContext.get().taskAttemptId()
+        encoder, attempt = encoder_of(tokenizer.value), TaskContext.get().taskAttemptId()
         slot, stream, writer, done = None, None, None, []
 
         def close():
