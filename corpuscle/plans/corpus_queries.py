@@ -159,7 +159,7 @@ _FORMS = ("## Part {0} ##\n", "\n| a | b |\n|---|---|\n| {0} | 2 |\n- one {0}\n
     k AS (
       SELECT *, CASE WHEN regexp_full_match(x, '[\\s\\x0B\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}\\x{{FEFF}}]*') THEN 'blank'
         WHEN regexp_matches(x, '^ {{0,3}}~~~') THEN 'tildes' WHEN regexp_matches(x, '^ {{0,3}}```') THEN 'ticks'
-        WHEN regexp_matches(x, '^ {{0,3}}#{{1,6}}([ \\t]|$)') THEN 'heading' WHEN regexp_matches(x, '^[ \\t]*\|') THEN 'table'
+        WHEN regexp_matches(x, '^ {{0,3}}#{{1,6}}([ \\t]|$)') THEN 'heading' WHEN regexp_matches(x, '^[ \\t]*[|]') THEN 'table'
         WHEN regexp_matches(x, '^[ \\t]*([-*+]|[0-9]{{1,9}}[.)])[ \\t]+[^ \\t]') THEN 'list' WHEN regexp_matches(x, '^(  |\\t)') THEN 'indented' ELSE 'paragraph' END AS c FROM l),
     f AS (SELECT *, sum((c = 'tildes')::INT) OVER (PARTITION BY p ORDER BY n) AS tildes FROM k),
     g AS (SELECT *, CASE WHEN tildes = 1 OR c = 'tildes' THEN 'code_block' WHEN tildes = 2 AND max((tildes = 2 AND c = 'ticks')::INT) OVER (PARTITION BY p ORDER BY n) = 1 THEN 'code_block' ELSE c END AS c2 FROM f),
