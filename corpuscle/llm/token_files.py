@@ -32,7 +32,7 @@ SKIPPABLE, SEEKABLE, WITH_CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 END = 0
 LEVEL = 3
 BYTES_AT_ONCE = 6 << 20
-CACHED = 600_000  # words of a task whose ids are remembered
+CACHED = 1_500_000  # words of a worker whose ids are remembered, some 270 MB
 AT_ONCE = 1 << 14
 NO_ID = -(2**63)
 WHITE = r"\s\x0b\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
