@@ -5,8 +5,9 @@ bytes that all windows filed there share. Equal windows are filed under one key,
 whose key occurs twice go on. These are dealt out by key into shards of bounded size. A shard sorts
 its suffixes by refining groups with doubled prefixes (Larsson and Sadakane), takes common prefixes
 with neighbours in Kasai's order, one lane per passage, and so finds the windows that occur twice.
-The passages of a frequent key fill several shards, whose distinct windows are then merged: sorted
-runs of window hashes are looked up in one another by binary search.
+The passages of a frequent key fill several shards, whose distinct windows are then merged: each
+shard hands on sorted runs of window hashes by hash range, and these are looked up in one another by
+binary search.
 """
 
 from __future__ import annotations
@@ -26,10 +27,12 @@ GRAM = 32
 PIECE = 1 << 19
 SHARD_BYTES = 2 << 20
 MERGE_ROWS = 500_000
+RUN_ROWS = 1024
 U = np.uint64
 FILED = "row long, lo int, n int, key long, ctx long"
 PASSAGE = "key long, ctx long, salt int, bytes binary"
-FOUND = "key long, ctx long, off int, n int, salt int, window long"
+PLACE = "window: bigint, key: bigint, ctx: bigint, off: int"
+FOUND = f"key long, ctx long, off int, n int, bucket int, run array<struct<{PLACE}>>"
 
 
 def _window_minimum(order: np.ndarray, width: int) -> np.ndarray:
@@ -200,8 +203,22 @@ def repeated_windows(passages: list[bytes], width: int) -> tuple[np.ndarray, np.
     return of, off, with_last[at] | follows[place[at] + 1], with_last[at]
 
 
-def _search_shard(width: int, shard_bytes: int):
-    """Of passages sorted by key and salt the runs of windows that occur twice; of salted keys also all distinct windows."""
+def _sorted_runs(window: np.ndarray, key, ctx, off, buckets: int) -> tuple[np.ndarray, pa.Array]:
+    """The windows of a shard by bucket, each bucket's in order, in runs of ``RUN_ROWS`` at most: buckets and runs."""
+    bucket = (H.mix(window) % U(buckets)).astype(np.int64)
+    by = np.lexsort((window, bucket))
+    bucket = bucket[by]
+    new = np.concatenate([[True], bucket[1:] != bucket[:-1]])
+    nth = np.arange(len(by)) - np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))
+    head = np.flatnonzero(nth % RUN_ROWS == 0)
+    place = pa.StructArray.from_arrays(
+        [H.signed(window[by]), pa.array(key[by]), pa.array(ctx[by]), pa.array(off[by].astype(np.int32))], names=["window", "key", "ctx", "off"]
+    )
+    return bucket[head], pa.ListArray.from_arrays(pa.array(np.append(head, len(by)).astype(np.int32)), place)
+
+
+def _search_shard(width: int, shard_bytes: int, buckets: int):
+    """Of passages sorted by key and salt the runs of windows that occur twice; of salted keys also all distinct windows, in sorted runs."""
 
     def flush(rows) -> pa.RecordBatch:
         key, ctx, salt = (np.array([r[k] for r in rows], np.int64) for k in range(3))
@@ -211,25 +228,25 @@ def _search_shard(width: int, shard_bytes: int):
         head = np.flatnonzero(new)
         n = np.diff(np.concatenate([head, [len(here)]]))
         head = here[head]
+        cols = [pa.array(key[of[head]]), pa.array(ctx[of[head]]), pa.array(off[head].astype(np.int32)), pa.array(n.astype(np.int32))]
         single = np.flatnonzero((salt[of] >= 0) & ~again)
-        window = np.empty(0, np.uint64)
+        bucket, runs = np.empty(0, np.int64), None
         if len(single):
             buf = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
             begin = np.cumsum([0] + [len(r[3]) for r in rows])[of[single]] + off[single]
             total = np.zeros(len(buf) + 1, np.uint64)
             np.cumsum(H.BYTES[buf] * H.powers(len(buf)), out=total[1:])
             window = H.mix((total[begin + width] - total[begin]) * H.powers(len(buf) + 1, True)[begin])
-        o = np.concatenate([of[head], of[single]])
+            bucket, runs = _sorted_runs(window, key[of[single]], ctx[of[single]], off[single], buckets)
+        more = len(bucket)
+        kind = pa.list_(pa.struct([("window", pa.int64()), ("key", pa.int64()), ("ctx", pa.int64()), ("off", pa.int32())]))
         return pa.RecordBatch.from_arrays(
-            [
-                pa.array(key[o]),
-                pa.array(ctx[o]),
-                pa.array(np.concatenate([off[head], off[single]]).astype(np.int32)),
-                pa.array(np.concatenate([n, np.zeros(len(single), np.int64)]).astype(np.int32)),
-                pa.array(salt[o].astype(np.int32)),
-                pa.concat_arrays([pa.nulls(len(head), pa.int64()), H.signed(window)]),
+            [pa.concat_arrays([c, pa.nulls(more, c.type)]) for c in cols]
+            + [
+                pa.concat_arrays([pa.nulls(len(head), pa.int32()), pa.array(bucket.astype(np.int32))]),
+                pa.concat_arrays([pa.nulls(len(head), kind)] + ([runs.cast(kind)] if more else [])),
             ],
-            names=["key", "ctx", "off", "n", "salt", "window"],
+            names=["key", "ctx", "off", "n", "bucket", "run"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,16 +266,12 @@ def _search_shard(width: int, shard_bytes: int):
 
 
 def _merge_shards(table: pa.Table) -> pa.Table:
-    """Windows that occur in several shards: each shard's sorted run is searched in the run of all."""
-    window = table.column("window").to_numpy()
-    salt, key = table.column("salt").to_numpy(), table.column("key").to_numpy()
-    code = H.blend(window.view(np.uint64), key.view(np.uint64), 29)
-    merged = np.sort(code)
-    hit = np.zeros(len(code), bool)
-    for s in np.unique(salt):
-        run = np.flatnonzero(salt == s)
-        hit[run] = np.searchsorted(merged, code[run], "right") - np.searchsorted(merged, code[run]) > 1
-    return table.filter(pa.array(hit)).select(["key", "ctx", "off"])
+    """Windows that occur in several shards: each shard has a window once, and its sorted runs are searched in the run of all."""
+    places = pa.concat_arrays([chunk.flatten() for chunk in table.column("run").chunks])
+    window = places.field("window").to_numpy()
+    merged = np.sort(window, kind="stable")
+    hit = np.searchsorted(merged, window, "right") - np.searchsorted(merged, window) > 1
+    return pa.Table.from_arrays([places.field(c) for c in ("key", "ctx", "off")], names=["key", "ctx", "off"]).filter(pa.array(hit))
 
 
 def _passages(width: int):
@@ -355,12 +368,13 @@ def remove_repeats(docs: DataFrame, width: int = 400, shard_bytes: int = SHARD_B
     # Equal rows ask alike, and one of them is enough: a passage must not meet itself.
     bytes_ = texts.where("size(asked) > 0").select("text", "asked").mapInArrow(_passages(width), PASSAGE)
     dealt = bytes_.dropDuplicates(["key", "ctx"]).repartition("key", "salt").sortWithinPartitions("key", "salt")
-    found = scratch(dealt.mapInArrow(_search_shard(width, shard_bytes), FOUND), "found")
-    runs = found.where("window is null").select("key", "ctx", "off", "n")
-    split = found.where("window is not null")
-    buckets = 1 + split.count() // MERGE_ROWS
+    split = passages.join(hot, "key", "left_semi").agg(F.sum("n").alias("windows")).first()["windows"] or 0
+    buckets = 1 + split // MERGE_ROWS
+    found = scratch(dealt.mapInArrow(_search_shard(width, shard_bytes, buckets), FOUND), "found")
+    runs = found.where("run is null").select("key", "ctx", "off", "n")
     across = (
-        split.groupBy(F.pmod(F.xxhash64("window"), F.lit(buckets)).alias("bucket"))
+        found.where("run is not null")
+        .groupBy("bucket")
         .applyInArrow(_merge_shards, "key long, ctx long, off int")
         .select("key", "ctx", "off", F.lit(1).alias("n"))
     )
