@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.session import scratch_path
 
 WORD = r"[^\x20\x09-\x0D]+"
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def texts_of(docs: DataFrame, *more: str | Column) -> DataFrame:
@@ -21,6 +24,16 @@ def texts_of(docs: DataFrame, *more: str | Column) -> DataFrame:
     return docs.select(F.xxhash64(doc_id, text).alias("row"), doc_id.alias("doc_id"), text.alias("text"), *more)
 
 
+def plain_names(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``stage(docs)`` where the stage returns the columns it gets.
+
+    Columns beside those of documents are numbered meanwhile, so that none of their names clashes with one the
+    stage makes, or with another in case, or holds a dot.
+    """
+    inner = docs.toDF(*[c if c in DOCUMENT else f"column{k}" for k, c in enumerate(docs.columns)])
+    return stage(inner).select(*inner.columns).toDF(*docs.columns)
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """Writes to the shared scratch folder and reads back: steps share the result, and lost executors don't redo it."""
     spark = df.sparkSession

@@ -7,7 +7,7 @@ words before each document. No task holds a source.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.llm.common import WORD, texts_of
@@ -44,8 +44,13 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     )
 
 
+def _named(source: Column) -> Column:
+    """A name for each source, the null one too."""
+    return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit(""))
+
+
 def mixed(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """``row, doc_id, size, source_size, target, taken`` per document.
+    """``row, src, doc_id, size, source_size, target, taken`` per document.
 
     ``size`` counts words (null text: 0); ``taken`` is how many words the mix takes, whole epochs
     first, then documents in key order up to the source's budget, the last in part. Sources without words
@@ -56,7 +61,7 @@ def mixed(docs: DataFrame, seed: str = "mix") -> DataFrame:
         "row",
         "doc_id",
         "source",
-        F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("src"),
+        _named(F.col("source")).alias("src"),
         F.regexp_count("text", F.lit(WORD)).cast("long").alias("size"),
         F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")).alias("key"),
     )
@@ -72,17 +77,18 @@ def mixed(docs: DataFrame, seed: str = "mix") -> DataFrame:
     return (
         sized.withColumn("ahead", inside - F.col("size"))
         .join(starts, ["src", "slot"])
-        .select("row", "doc_id", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
+        .select("row", "src", "doc_id", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
     )
 
 
 def materialised(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The mix itself: a document once per epoch, and the one at its source's budget cut to the words taken.
 
-    Columns stay, and ``n_chars``, where there is one, follows a cut. Equal rows share what they are taken evenly.
+    Columns stay, and ``n_chars``, where there is one, follows a cut. Rows of equal id, text and source share what they
+    are taken evenly; equal rows of two sources are taken what each source gives.
     """
-    row = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    taken = mixed(docs, seed).groupBy(F.col("row").alias("_row_of_text")).agg(F.max("size").alias("_size"), F.floor(F.avg("taken")).cast("long").alias("_taken"))
+    row = F.xxhash64(F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))), _named(F.col("source")))
+    taken = mixed(docs, seed).groupBy(F.xxhash64("row", "src").alias("_row_of_text")).agg(F.max("size").alias("_size"), F.floor(F.avg("taken")).cast("long").alias("_taken"))
     whole, rest = F.floor(F.col("_taken") / F.col("_size")), F.col("_taken") % F.col("_size")
     copies = F.sequence(F.lit(1), (whole + F.when(rest > 0, 1).otherwise(0)).cast("int"))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), rest.cast("int")), " ")

@@ -87,7 +87,7 @@ def op5_benchmark_decontamination(spark, sf_dir):
 
 @query("op6_source_mixing", OP6_SQL)
 def op6_source_mixing(spark, sf_dir):
-    return mixing.mixed(table(spark, sf_dir, "documents")).drop("row")
+    return mixing.mixed(table(spark, sf_dir, "documents")).drop("row", "src")
 
 
 @query("op7_url_reputation", OP7_SQL)

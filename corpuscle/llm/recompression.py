@@ -92,7 +92,7 @@ def levels(code: np.ndarray, edge: np.ndarray, rounds: int) -> list[Level]:
 
 def _smallest(level: Level, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """For each range of symbols the one with the smallest hashed name, of equals the last."""
-    bits = U(24)
+    bits = U(32)  # more symbols than a text of 4 GB can have
     mask = (U(1) << bits) - U(1)
     order = (H.mix(level.name + U(101)) & ~mask) | (mask - np.arange(len(level.name), dtype=np.uint64))
     table, size = [order], 1

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -47,6 +48,30 @@ def test_mix_meets_budgets_with_nulls_and_repeated_rows(documents):
     assert abs(sum(len(r.text.split()) for r in whole) - sum(r.taken for r in got)) <= len(rows)
 
 
+def test_equal_rows_of_two_sources_are_taken_apart(documents):
+    rows = [(1, "a b c d e f", "en", "s1"), (1, "a b c d e f", "en", "s2"), (2, "x y z", "en", "s2"), (3, "k " * 40, "en", "s3")]
+    want = Counter()
+    for r in mixing.mixed(documents(rows)).collect():
+        want[r.src[1:]] += r.taken
+    got = Counter()
+    for r in mixing.materialised(documents(rows)).collect():
+        got[r.source] += len(r.text.split())
+    assert got == +want
+
+
+def test_stages_keep_columns_whose_names_clash(documents):
+    """Predictions and inner names don't replace columns; names may hold dots or differ in case only."""
+    base = documents([(1, "the cat sat on the mat today"), (2, None), (3, "1 2 3"), (4, "a dog ran over the wide field")])
+    names = ["score", "lang_pred", "_row_of_text", "_copy", "a.b", "Text", "shingle"]
+    docs = base.select(*base.columns, *[F.lit(9.5).alias(n) for n in names])
+    for stage in (corpus_pipeline.language_id, corpus_pipeline.near_dedup, corpus_pipeline.decontamination, corpus_pipeline.source_mixing):
+        out = stage(docs.sparkSession, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(tuple(r)[-len(names) :] == (9.5,) * len(names) for r in rows)
+        assert {r.doc_id for r in rows} >= {1, 4}
+
+
 def test_run_equals_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     docs = [r for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if any(c.isalpha() for c in r.text or "")]
