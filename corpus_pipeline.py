@@ -4,32 +4,43 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpuscle.llm import containment, language, minhash, mixing, token_files
-from corpuscle.llm.common import scratch
+from corpuscle.llm.common import plain_names, scratch
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null texts and texts without a letter."""
-    found = language.identified(docs, docs.where(language.fold(docs, 3) != 1))
-    return found.where(found["lang_pred"] != language.UNKNOWN).select(*docs.columns)
+    """Drops documents without a language: null texts and texts without a letter.
+
+    All other rows stay as they are, repeated rows and null ids too. Without labelled rows nothing is known, and all go.
+    """
+
+    def known(d: DataFrame) -> DataFrame:
+        return language.identified(d, d.where(language.fold(d, 3) != 1)).where(F.col("lang_pred") != language.UNKNOWN)
+
+    return plain_names(docs, known)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates."""
-    return minhash.deduplicated(docs)
+    """Keeps one document of each group of near duplicates. Texts without words are linked with nothing and stay."""
+    return plain_names(docs, minhash.deduplicated)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
-    return containment.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Drops documents that hold a benchmark item. Null and empty texts hold none; items without words are in none."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return plain_names(docs, lambda d: containment.decontaminated(d, items))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and cuts documents so that sources get their target weights."""
-    return mixing.materialised(docs)
+    """Repeats and cuts documents so that sources get their target weights.
+
+    Null sources are one source; documents without words are not taken. Repeated rows share what they are taken.
+    """
+    return plain_names(docs, mixing.materialised)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
