@@ -38,14 +38,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder the cluster names in ``spark.checkpoint.dir``.
 
     Only where that setting is absent (local tests) a local folder is used and
-    remembered in the session, so that later calls share it.
+    remembered in the session under a name of its own, so that later calls share it.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.corpuscle.scratch", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="corpuscle-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        spark.conf.set("spark.corpuscle.scratch", root)
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
 
 

@@ -16,8 +16,8 @@ def decode_text(raw: Column) -> Column:
 def scan_files(spark: SparkSession, root: str, repo_id: str, glob: str | None = None) -> DataFrame:
     """Every file under ``root``, one row each, with the path relative to the root.
 
-    Unreadable files are skipped. Binary files are dropped by name, before
-    their bytes are read.
+    Unreadable files are skipped. Binary files are dropped by name, though the reader has their
+    bytes by then; where large ones lie among the sources, name the wanted files by ``glob``.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true")
     if glob:
