@@ -220,7 +220,7 @@ def scan_files(spark, sf):
     """Every document written as a text file of its own, then read back by the file scan."""
     root = scratch_path(spark, "files")
     docs = TB.wide_table(spark, sf, "documents").select("source", "text")
-    docs.write.partitionBy("source").option("maxRecordsPerFile", 1).text(root)
+    files.write_files(docs, root, "source", "text")
     found = files.scan_files(spark, root, "corpus", "*.txt")
     return found.select("repo_id", F.regexp_replace("path", "/[^/]+$", "").alias("folder"), "content")
 

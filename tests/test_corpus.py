@@ -161,6 +161,24 @@ def test_scan_files(spark, tmp_path):
     assert SF.list_files(spark, str(root), "r").count() == 3
 
 
+def test_write_files(spark, tmp_path):
+    """A file a row, in folders named as Spark names them, and without a process or checksum a file."""
+    rows = [("a", "x"), ("a", "x"), ("b:1", "y\nz"), (None, "é"), ("", None)]
+    docs = spark.createDataFrame(rows, "source string, text string")
+    old, new = str(tmp_path / "old"), str(tmp_path / "new")
+    docs.write.partitionBy("source").option("maxRecordsPerFile", 1).text(old)
+    assert SF.write_files(docs, new, "source", "text") == 5
+
+    def read(root):
+        found = SF.scan_files(spark, root, "r", "*.txt").select(F.regexp_replace("path", "/[^/]+$", ""), "content")
+        return sorted(tuple(r) for r in found.collect())
+
+    assert read(new) == read(old) and len(read(new)) == 5
+    assert not [f for _, _, names in os.walk(new) for f in names if not f.endswith(".txt")]
+    assert SF.write_files(docs.where("false"), str(tmp_path / "none"), "source", "text") == 0
+    assert read(str(tmp_path / "none")) == []
+
+
 def test_quality(spark):
     df = spark.createDataFrame([("r", "f", "a", "x"), ("r", "f", "a", " "), ("r", "f", "b", "y")], "repo_id string, file_path string, id string, content string")
     assert as_set(Q.duplicate_ids(df, ["id"]), "id", "copies") == {("a", 2)}
