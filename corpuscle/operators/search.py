@@ -19,6 +19,9 @@ from corpuscle.session import written
 DEFAULT_K = 5
 MAX_K = 100
 OVERFETCH = 3
+# As many candidates may leave a partition with all that is asked of them.
+FEW_HITS = 8192
+_ROW = "_corpus_row"
 
 
 def normalize_k(k: Column) -> Column:
@@ -73,18 +76,26 @@ def _search(
     )
     rows = FL.apply_filter(corpus, filters).where(F.col(vector).isNotNull())
     rows = rows.select(*dict.fromkeys([*payload, vector, *match_on, *([meta] if meta else [])]))
+    carried, stored = payload, rows
+    blocks = [block for block in topk.query_blocks(wanted, block_rows) if len(block)]
+    # Every partition hands on as many candidates as there are hits. A few weigh less than the partition. Of many, only
+    # what orders them moves: the rows are stored once, for all blocks, and the hits alone fetch the rest by row number.
+    apart = []
+    if len(blocks) > 1 or sum(int(block.k.sum()) for block in blocks) > FEW_HITS:
+        order = topk.ties(id_col, payload)
+        apart = [c for c in payload if c not in order]
+        carried = [*order, _ROW] if apart else payload
+        stored = written(rows.withColumn(_ROW, F.monotonically_increasing_id()) if apart else rows, "corpus")
+    scanned = stored.select(*dict.fromkeys([*carried, vector, *match_on, *([meta] if meta else [])]))
     partials = []
-    blocks = topk.query_blocks(wanted, block_rows)
     for block in blocks:
-        if not len(block):
-            continue
         column = block.columns.column("vector").combine_chunks()
         targets = np.asarray(column.flatten(), dtype=np.float64).reshape(len(block), -1)
         scorer = topk.vector_scorer(vector, targets, metric)
-        part = rows
+        part = scanned
         for name in match_on:
             part = _prune(part, name, block)
-        partials.append(topk.scan_topk(part, block, scorer, payload, id_col, list(match_on), meta))
+        partials.append(topk.scan_topk(part, block, scorer, carried, id_col, list(match_on), meta))
     if not partials:
         kind = queries.schema["query_id"].dataType
         return rows.select(
@@ -92,7 +103,9 @@ def _search(
             F.lit(0.0).alias("distance"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("k"),
         ).where(F.lit(False)), True
     hits = topk.merge_partials(partials, id_col)
-    return hits.withColumn("score", vec.similarity(F.col("distance"))), len(blocks) == 1
+    if apart:
+        hits = hits.join(stored.select(_ROW, *apart), _ROW).select("query_id", "k", "distance", *payload, "rank")
+    return hits.withColumn("score", vec.similarity(F.col("distance"))), len(blocks) <= 1
 
 
 def _prune(rows: DataFrame, name: str, block: topk.QueryBlock) -> DataFrame:

@@ -27,7 +27,8 @@ from pyspark.sql import types as T
 from corpuscle.session import written
 
 BLOCK_ROWS = 4096
-_CELLS = 1 << 22
+_CELLS = 1 << 21
+_EXACT_CELLS = 1 << 18
 
 
 @dataclass
@@ -222,7 +223,11 @@ def vector_scorer(vector: str, targets: np.ndarray, metric: str) -> Callable[[],
             x = flat.reshape(len(column), dim)
             dots = x @ targets.T
             if metric == "l2sq":
-                rough = np.maximum((x * x).sum(axis=1)[:, None] + target_sq[None, :] - 2 * dots, 0)
+                rough = dots  # in place: a matrix of this size is held once
+                rough *= -2
+                rough += (x * x).sum(axis=1)[:, None]
+                rough += target_sq[None, :]
+                np.maximum(rough, 0, out=rough)
             elif metric == "inner_product":
                 rough = 1 - dots
             else:
@@ -238,7 +243,7 @@ def vector_scorer(vector: str, targets: np.ndarray, metric: str) -> Callable[[],
 def _exact(x, targets, rows, cols, metric) -> np.ndarray:
     """Distances summed left to right, so that equal vectors tie exactly."""
     out = np.empty(len(rows))
-    step = max(1, _CELLS // x.shape[1])
+    step = max(1, _EXACT_CELLS // max(1, x.shape[1]))
 
     def total(a):
         return np.cumsum(a, axis=1)[:, -1]

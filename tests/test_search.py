@@ -55,6 +55,28 @@ def test_exact_with_ties(spark, crowd):
     assert ranked(S.similarity_search(corpus, queries, 12)) == brute(*crowd, 12)
 
 
+def test_candidates_carry_no_payload(spark, crowd, monkeypatch):
+    """Of many hits only what orders them leaves the scan; ids may repeat, and each hit gets its own row's payload."""
+    rows, queries = crowd
+    rows = [(f"v{int(i[1:]) // 2:03d}", f"r{int(i[1:]) % 2}", f"text {i}", v) for i, v in rows]
+    corpus = spark.createDataFrame(rows, "id string, repo_id string, content string, vector array<float>").repartition(7)
+    asked = spark.createDataFrame(queries, "query_id string, vector array<float>")
+    scanned = []
+    scan = S.topk.scan_topk
+    monkeypatch.setattr(S.topk, "scan_topk", lambda part, *rest: scanned.append(part.columns) or scan(part, *rest))
+
+    def found(**options):
+        hits = S.similarity_search(corpus, asked, 12, payload=["repo_id", "content", "vector"], **options)
+        return sorted((r.query_id, r["rank"], r.id, r.repo_id, r.content, tuple(r.vector), r.distance) for r in hits.collect())
+
+    few = found()
+    monkeypatch.setattr(S, "FEW_HITS", 10)
+    scanned.clear()
+    assert found() == few
+    assert scanned == [["id", "repo_id", "_corpus_row", "vector"]]
+    assert found(block_rows=5) == few
+
+
 def test_many_query_blocks(spark, crowd):
     corpus, queries = frames(spark, crowd)
     assert ranked(S.similarity_search(corpus, queries, 4, block_rows=5)) == brute(*crowd, 4)
