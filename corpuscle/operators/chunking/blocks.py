@@ -13,7 +13,7 @@ import functools
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,39 +93,50 @@ def _first_at_most(levels: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 _LAYOUT = ["off", "line", "ctx", "prev", "close", "wide"]
 
 
-@F.pandas_udf(T.StructType([T.StructField(name, T.ArrayType(T.IntegerType())) for name in _LAYOUT]))
-def _layout(
-    lens: pd.Series, breaks: pd.Series, kinds: pd.Series, values: pd.Series, bounds: pd.Series, groups: pd.Series
-) -> pd.DataFrame:
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All values of an array of lists, and where each list begins and the last one ends."""
+    values = lists.values.dictionary_encode().indices if pa.types.is_string(lists.type.value_type) else lists.values
+    return values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+
+
+@F.arrow_udf(T.StructType([T.StructField(name, T.ArrayType(T.IntegerType())) for name in _LAYOUT]))
+def _layout(lens: pa.Array, breaks: pa.Array, kinds: pa.Array, values: pa.Array, bounds: pa.Array, groups: pa.Array) -> pa.Array:
     """Byte offsets, line numbers, start of preceding comments, previous code unit and closing unit.
 
     With ``bounds`` the values are levels, and a block reaches up to the next unit
     at or below its bound; without, they are nesting changes (per group, if given).
+    A batch is held in flat arrays, not as an object for each file and column.
     """
-    rows = []
-    for length, newline, kind, value, bound, group in zip(lens, breaks, kinds, values, bounds, groups):
+    arrays = [_flat(a) for a in (lens, breaks, kinds, values, bounds, groups)]
+    bounded, grouped = (np.asarray(a.is_valid()) for a in (bounds, groups))
+    starts = np.concatenate([[0], np.cumsum(np.diff(arrays[0][1]))])
+    made = [np.empty(starts[-1], np.int32) for _ in _LAYOUT]
+    for i in range(len(lens)):
+        length, newline, kind, value, bound, group = (a[at[i] : at[i + 1]] for a, at in arrays)
         n = len(length)
         position = np.arange(n)
         code = np.maximum.accumulate(np.where(kind == 0, position, -1)) if n else position
         prev = np.concatenate([[-1], code[:-1]])[:n]
         context = np.minimum.accumulate(np.where(kind > 1, position, n)[::-1])[::-1] if n else position
         ctx = np.minimum(np.append(context, n)[prev + 1], position)
-        if bound is not None:
+        if bounded[i]:
             after = np.append(code, code[-1] if n else -1)
             close = np.maximum(after[_first_at_most(value, bound) - 1], position)
             wide = np.maximum(after[_first_at_most(value, np.minimum(bound, value) - 1) - 1], position)
         else:
-            close = wide = _closing(value, group, position)
+            close = wide = _closing(value, group if grouped[i] else None, position)
         off = np.concatenate([[0], np.cumsum(length)[:-1]])[:n]
         line = 1 + np.concatenate([[0], np.cumsum(newline)[:-1]])[:n]
-        rows.append([a.astype(np.int32) for a in (off, line, ctx, prev, close, wide)])
-    return pd.DataFrame(rows, columns=_LAYOUT)
+        for column, found in zip(made, (off, line, ctx, prev, close, wide)):
+            column[starts[i] : starts[i + 1]] = found
+    offsets = pa.array(starts.astype(np.int32))
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(c)) for c in made], names=_LAYOUT)
 
 
 def _closing(value: np.ndarray, group, position: np.ndarray) -> np.ndarray:
     close = position.copy()
     changing = np.flatnonzero(value)
-    members = [changing] if group is None else [changing[group[changing] == g] for g in pd.unique(group[changing])]
+    members = [changing] if group is None else [changing[group[changing] == g] for g in np.unique(group[changing])]
     for chosen in members:
         change = value[chosen]
         level = np.cumsum(change)

@@ -100,3 +100,32 @@ def test_prose_of_a_long_document(spark):
     text = "\n".join(["- item", "  on", "", "word " * 50] * 30_000)
     got = prose.prose_blocks(spark.createDataFrame([("p.md", text)], "id string, content string"))
     assert got.groupBy("chunk_type").count().collect() and got.count() == 60_000
+
+
+def test_layout_and_nesting_hold_little():
+    """What a batch holds beside its rows is bounded, however many files it has, and equals file by file."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from corpuscle.operators.chunking import blocks, nesting
+
+    text = "function f(a, {b: 1}) { return [1, 2, {c: (d)}]; }\n" * 45
+    files = pa.array([text, None, "é" + text] * 700)
+    names = pa.array(["typescript"] * len(files))
+    tracemalloc.start()
+    found = nesting.nested.func(files, names)
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
+    assert found.to_pylist()[:3] == nesting.nested.func(files[:3], names[:3]).to_pylist()
+    assert found[1].as_py() is None and found[0].as_py().encode() == nesting.hide([text.encode()], ["typescript"])[0]
+
+    ints = pa.list_(pa.int32())
+    columns = [
+        pa.array([[3, 2, 4], [], [5, 6]], ints), pa.array([[1, 1, 0], [], [0, 1]], ints), pa.array([[0, 2, 0], [], [0, 0]], ints),
+        pa.array([[1, 0, -1], [], [0, 1]], ints), pa.array([None, [], [0, 1]], ints), pa.array([["a", "", "a"], None, None], pa.list_(pa.string())),
+    ]
+    whole = blocks._layout.func(*columns).to_pylist()
+    assert whole == [blocks._layout.func(*[c[i : i + 1] for c in columns]).to_pylist()[0] for i in range(3)]
+    assert whole[0] == {"off": [0, 3, 5], "line": [1, 2, 3], "ctx": [0, 1, 1], "prev": [-1, 0, 0], "close": [2, 1, 2], "wide": [2, 1, 2]}
+    assert whole[1] == {name: [] for name in blocks._LAYOUT}
