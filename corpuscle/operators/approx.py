@@ -25,6 +25,8 @@ CELL = "cell"
 SAMPLE_ROWS = 100_000
 SLICE_ROWS = 1 << 16
 LEVELS = 127
+# Distances of one slice held at once; there are four such matrices.
+TILE_CELLS = 1 << 19
 
 
 def train_centres(corpus: DataFrame, cells: int, sample_rows: int = SAMPLE_ROWS, vector: str = "vector", seed: int = 42) -> np.ndarray:
@@ -138,19 +140,26 @@ def _bounded(shared, k: int):
         if queries.num_rows and codes.num_rows:
             centre = shared.value[0][cell]
             scale = codes.column("scale").to_numpy()[:, None]
-            known = np.frombuffer(b"".join(codes.column("code").to_pylist()), np.int8).reshape(codes.num_rows, -1) * scale + centre
+            known = np.frombuffer(b"".join(c.as_py() for c in codes.column("code")), np.int8).reshape(codes.num_rows, -1) * scale
+            known += centre
             loss = codes.column("loss").to_numpy()
             square = (known * known).sum(axis=1)
             targets = _matrix(queries.column("target").combine_chunks(), len(centre))
-            step = max(1, (1 << 22) // codes.num_rows)
+            step = max(1, TILE_CELLS // codes.num_rows)
             for at in range(0, len(targets), step):
                 t = targets[at : at + step]
-                far = np.sqrt(np.maximum(square[:, None] + (t * t).sum(axis=1)[None, :] - 2 * known @ t.T, 0))
-                slack = 1e-7 * (1 + far)
-                high, low = far + loss[:, None] + slack, far - loss[:, None] - slack
+                far = known @ t.T  # in place from here on
+                far *= -2
+                far += square[:, None]
+                far += (t * t).sum(axis=1)[None, :]
+                np.sqrt(np.maximum(far, 0, out=far), out=far)
+                margin = 1e-7 * (1 + far)
+                margin += loss[:, None]
+                high = far + margin
                 most = np.partition(high, k - 1, axis=0)[k - 1] if len(high) > k else np.full(len(t), np.inf)
-                r, q = np.nonzero(low <= most)
-                out.append((q + at, r, low[r, q], high[r, q]))
+                far -= margin
+                r, q = np.nonzero(far <= most)
+                out.append((q + at, r, far[r, q], high[r, q]))
         q, r, low, high = (np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64 if i < 2 else np.float64) for i in range(4))
         return pa.table(
             {

@@ -288,3 +288,26 @@ def test_requests_with_metadata(spark):
     assert sorted((r.query_id, r.id, r.meta["a"]) for r in whole) == [(1, "p1", "1"), (2, "p1", "1"), (2, "p2", "2")]
     refused = {r.query_id: r.error for r in retrieval.prepare(asked)[1].collect()}
     assert refused == {3: "invalid meta", 4: "reserved metadata in filter: chunkType", 5: "no embedding for the prompt", 7: "invalid prompt"}
+
+
+def test_slices_are_scored_in_tiles(spark):
+    """What a slice of the inverted file holds at once does not grow with rows times queries."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    x, t = rng.standard_normal((4000, 8)), rng.standard_normal((1500, 8))
+    scale = np.abs(x).max(axis=1) / A.LEVELS
+    codes = np.round(x / scale[:, None]).astype(np.int8)
+    loss = np.sqrt(((x - codes * scale[:, None]) ** 2).sum(axis=1))
+    rows = pa.table({"id": np.arange(4000), "code": [c.tobytes() for c in codes], "scale": scale, "loss": loss})
+    asked = pa.table({"query_id": np.arange(1500), "target": t.tolist(), A.CELL: np.zeros(1500, np.int32)})
+    shared = type("Shared", (), {"value": [[np.zeros(8)]]})()
+    tracemalloc.start()
+    found = A._bounded(shared, 10)(asked, rows)
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
+    held = set(zip(found["query_id"].to_pylist(), found["id"].to_pylist()))
+    near = np.argsort(((t[:, None, :] - x[None, :, :]) ** 2).sum(axis=2), axis=1)[:, :10]
+    assert all((q, i) in held for q in range(1500) for i in near[q].tolist())
