@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -15,7 +14,7 @@ from corpuscle.sources.store import Table
 
 UPDATE, DELETE, RENAME = "update", "delete", "rename"
 CHANGES = "repo_id string, path string, version long, deleted boolean, content string"
-_FIELDS = ["version", "deleted", "content"]
+_Change = Row("repo_id", "path", "version", "deleted", "content")
 
 
 def versions(events: DataFrame) -> DataFrame:
@@ -40,18 +39,17 @@ class NewestVersion(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.newest = handle.getValueState("newest", "version long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         best = None
-        for batch in rows:
-            for version, deleted, content in batch[_FIELDS].itertuples(index=False):
-                found = (int(version), not deleted, content or "")
-                if best is None or found > best[0]:
-                    best = (found, content)
+        for row in rows:
+            found = (int(row.version), not row.deleted, row.content or "")
+            if best is None or found > best[0]:
+                best = (found, row.content)
         known = self.newest.get()
         if best is not None and (known is None or best[0][0] > known[0]):
             (version, lives, _), content = best
             self.newest.update((version,))
-            yield pd.DataFrame({"repo_id": [key[0]], "path": [key[1]], "version": [version], "deleted": [not lives], "content": [content]})
+            yield _Change(key[0], key[1], version, not lives, content)
 
     def close(self) -> None:
         pass
@@ -59,7 +57,7 @@ class NewestVersion(StatefulProcessor):
 
 def newest_versions(events: DataFrame) -> DataFrame:
     """The changes that count, see :func:`versions`; needs the RocksDB state store."""
-    return versions(events).groupBy("repo_id", "path").transformWithStateInPandas(NewestVersion(), CHANGES, "Update", "None")
+    return versions(events).groupBy("repo_id", "path").transformWithState(NewestVersion(), CHANGES, "Update", "None")
 
 
 def once(commits: Table, stream: str, number: int, apply: Callable[[], None]) -> bool:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -15,6 +15,7 @@ from corpuscle.sources.store import Table
 
 MEMORY = "session_id long, turn long, role string, text string"
 _MESSAGE = "turn long, role string, text string"
+_Message = Row("session_id", "turn", "role", "text")
 
 
 class LastMessages(StatefulProcessor):
@@ -27,14 +28,22 @@ class LastMessages(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.messages = handle.getListState("messages", _MESSAGE, self.ttl_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kept = pd.DataFrame(list(self.messages.get()), columns=["turn", "role", "text"])
-        for batch in rows:
-            both = pd.concat([kept, batch[["turn", "role", "text"]]]) if len(kept) else batch[["turn", "role", "text"]]
-            kept = both.drop_duplicates("turn").nlargest(self.window, "turn")
-        kept = kept.sort_values("turn")
-        self.messages.put([tuple(r) for r in kept.itertuples(index=False)])
-        yield kept.assign(session_id=key[0])[["session_id", "turn", "role", "text"]]
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = {m[0]: tuple(m) for m in self.messages.get()}
+        for row in rows:
+            if row.turn not in held:
+                held[row.turn] = (row.turn, row.role, row.text)
+            if len(held) > 4 * self.window:
+                held = self._newest(held)
+        held = self._newest(held)
+        self.messages.put(list(held.values()))
+        for message in held.values():
+            yield _Message(key[0], *message)
+
+    def _newest(self, held: dict[int | None, tuple]) -> dict[int | None, tuple]:
+        """In the order of their turns; a message without one is the oldest."""
+        turns = sorted(held, key=lambda turn: (turn is not None, turn))[-self.window :]
+        return {turn: held[turn] for turn in turns}
 
     def close(self) -> None:
         pass
@@ -42,7 +51,7 @@ class LastMessages(StatefulProcessor):
 
 def session_memory(messages: DataFrame, window: int = CONTEXT_WINDOW, ttl_seconds: int | None = TTL_SECONDS) -> DataFrame:
     """For each changed session its newest messages; needs the RocksDB state store."""
-    return messages.select("session_id", "turn", "role", "text").groupBy("session_id").transformWithStateInPandas(
+    return messages.select("session_id", "turn", "role", "text").groupBy("session_id").transformWithState(
         LastMessages(window, ttl_seconds), MEMORY, "Update", "None"
     )
 
@@ -64,8 +73,8 @@ def session_stats(events: DataFrame, ttl_seconds: int = TTL_SECONDS, late: str =
 
 
 OPEN, CLOSED, GONE = "open", "closed", "gone"
-_STATES = "user_id long, created_at timestamp, last_accessed_at timestamp, message_count long, state string"
-_COLUMNS = ["user_id", "created_at", "last_accessed_at", "message_count", "state"]
+_STATES = "user_id long, first long, last long, message_count long, state string"
+_State = Row("user_id", "first", "last", "message_count", "state")
 
 
 class OpenSessions(StatefulProcessor):
@@ -82,37 +91,45 @@ class OpenSessions(StatefulProcessor):
         self.handle = handle
         self.sessions = handle.getListState("sessions", "first long, last long, n long")
 
-    def _rows(self, key, sessions, state: str) -> pd.DataFrame:
-        rows = [(key[0], pd.Timestamp(a, unit="us"), pd.Timestamp(b, unit="us"), n, state) for a, b, n in sessions]
-        return pd.DataFrame(rows, columns=_COLUMNS)
+    def _wake(self, last: int) -> None:
+        self.handle.registerTimer(-(-(last + self.ttl_us) // 1000))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         old = [tuple(int(x) for x in s) for s in self.sessions.get()]
-        new = pd.concat([batch[["event_id", "moment"]] for batch in rows]).drop_duplicates("event_id")["moment"]
+        new: dict[int | None, int] = {}
+        for row in rows:
+            new.setdefault(row.event_id, int(row.moment))
         joined: list[tuple[int, int, int]] = []
-        for first, last, n in sorted(old + [(int(t), int(t), 1) for t in new]):
+        for first, last, n in sorted(old + [(t, t, 1) for t in new.values()]):
             if joined and first - joined[-1][1] < self.ttl_us:
                 before = joined.pop()
                 first, last, n = before[0], max(before[1], last), before[2] + n
             joined.append((first, last, n))
         self.sessions.put(joined)
-        for _, last, _ in set(joined) - set(old):
-            self.handle.registerTimer(-(-(last + self.ttl_us) // 1000))
+        # One timer a user, never later than the first session to close; it is set again when it has passed
+        soonest = min(last for _, last, _ in joined)
+        if not old or soonest < min(last for _, last, _ in old):
+            self._wake(soonest)
         starts = {s[0] for s in joined}
-        yield self._rows(key, [s for s in old if s[0] not in starts], GONE)
-        yield self._rows(key, sorted(set(joined) - set(old)), OPEN)
+        for session in old:
+            if session[0] not in starts:
+                yield _State(key[0], *session, GONE)
+        for session in sorted(set(joined) - set(old)):
+            yield _State(key[0], *session, OPEN)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
         held = [tuple(int(x) for x in s) for s in self.sessions.get()]
-        done = [s for s in held if s[1] + self.ttl_us <= now]
-        if done:
-            rest = [s for s in held if s not in done]
-            if rest:
+        rest = [s for s in held if s[1] + self.ttl_us > now]
+        if rest:
+            if len(rest) < len(held):
                 self.sessions.put(rest)
-            else:
-                self.sessions.clear()
-            yield self._rows(key, done, CLOSED)
+            self._wake(min(last for _, last, _ in rest))
+        else:
+            self.sessions.clear()
+        for session in held:
+            if session[1] + self.ttl_us <= now:
+                yield _State(key[0], *session, CLOSED)
 
     def close(self) -> None:
         pass
@@ -122,7 +139,10 @@ def open_sessions(events: DataFrame, ttl_seconds: int = TTL_SECONDS, late: str =
     """Each change of a session, while it is open and when it closes; a message twice in a batch counts once."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     moments = timed.select("user_id", "event_id", "ts", F.unix_micros("ts").alias("moment"))
-    return moments.groupBy("user_id").transformWithStateInPandas(OpenSessions(ttl_seconds), _STATES, "Update", "EventTime")
+    states = moments.groupBy("user_id").transformWithState(OpenSessions(ttl_seconds), _STATES, "Update", "EventTime")
+    return states.select(
+        "user_id", F.timestamp_micros("first").alias("created_at"), F.timestamp_micros("last").alias("last_accessed_at"), "message_count", "state"
+    )
 
 
 def keep_sessions(changes: DataFrame, table: Table, checkpoint: str):

@@ -127,3 +127,41 @@ def test_silent_sessions_expire(spark, tmp_path):
     assert state() == [(2, 0, "x"), (2, 1, "y"), (3, 0, "z")]
     feed.run([(1, 3, "user", "new", at(90))], write)
     assert state() == [(1, 3, "new"), (2, 0, "x"), (2, 1, "y"), (3, 0, "z")]
+
+
+def test_one_timer_closes_a_users_sessions():
+    """A user has one timer, for the session that closes first, and it is set again for what is left."""
+    from pyspark.sql import Row
+
+    class Held:
+        def __init__(self):
+            self.rows, self.timers = [], []
+
+        def getListState(self, *_):
+            return self
+
+        def get(self):
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows = rows
+
+        def clear(self):
+            self.rows = []
+
+        def registerTimer(self, ms):
+            self.timers.append(ms)
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return 150
+
+    held, sessions = Held(), SS.OpenSessions(1)
+    sessions.ttl_us = 50_000
+    sessions.init(held)
+    rows = [Row(event_id=n, moment=t) for n, t in enumerate([300_000, 90_000, 100_000, 0])] + [Row(event_id=3, moment=7)]
+    out = [tuple(r) for r in sessions.handleInputRows((7,), iter(rows), Times())]
+    assert out == [(7, 0, 0, 1, SS.OPEN), (7, 90_000, 100_000, 2, SS.OPEN), (7, 300_000, 300_000, 1, SS.OPEN)]
+    assert held.timers == [50]
+    assert [tuple(r)[1:] for r in sessions.handleExpiredTimer((7,), Times(), None)] == [(0, 0, 1, SS.CLOSED), (90_000, 100_000, 2, SS.CLOSED)]
+    assert held.rows == [(300_000, 300_000, 1)] and held.timers == [50, 350]
