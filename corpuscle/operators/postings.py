@@ -1,7 +1,7 @@
 """Keyword search on stored postings.
 
 The index numbers chunks in the order of repository and id and cuts the numbers into ranges of 1024. A row of the
-postings table holds what one word has in one range: chunks, counts, lengths, and the highest BM25 part that any of
+postings table holds what one word has in one range, or a part of it: chunks, counts, lengths, and the highest BM25 part that any of
 these chunks gets from the word. Rows are filed by a hash of the word, so a search reads the buckets of its words only.
 
 A search first reads the bounds alone and sums them by query and range. The few most promising ranges of each query
@@ -25,29 +25,32 @@ RANGE_BITS = 10
 SEEDS = 4
 SLACK = 1e-5
 BUCKET, PART = "bucket", "part"
-_COUNTED = "term string, doc long, tf int, len int"
+_COUNTED = "term string, range long, docs array<long>, tfs array<int>, lens array<int>"
 _BLOCKS = "range long, term string, docs array<long>, tfs array<int>, lens array<int>, bound double"
 _HITS = "query_id {}, repo_id string, id string, rank double"
 
 
 def _count(batches):
-    """Words of each chunk with their counts, by one sort a batch."""
+    """What each word has in the ranges of a batch, by one sort a batch; chunks come in the order of their numbers."""
     for batch in batches:
         words = batch.column("words")
         length = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        doc = batch.column("doc").to_numpy()
         coded = words.flatten().dictionary_encode()
         row = np.repeat(np.arange(batch.num_rows), length)
         kinds = max(1, len(coded.dictionary))
         cells, counts = np.unique(row * kinds + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
-        rows = cells // kinds
+        rows, code = cells // kinds, cells % kinds
+        span = doc[rows] >> RANGE_BITS
+        order = np.lexsort((code, span))  # stable, so that chunks stay in order
+        rows, code, span, counts = rows[order], code[order], span[order], counts[order]
+        first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (span[1:] != span[:-1])])[: len(rows)])
+        offsets = pa.array(np.append(first, len(rows)).astype(np.int32))
+        lists = [doc[rows], counts.astype(np.int32), length[rows].astype(np.int32)]
         yield pa.RecordBatch.from_arrays(
-            [
-                coded.dictionary.take(pa.array(cells % kinds)).cast(pa.string()),
-                batch.column("doc").take(pa.array(rows)),
-                pa.array(counts.astype(np.int32)),
-                pa.array(length[rows].astype(np.int32)),
-            ],
-            names=["term", "doc", "tf", "len"],
+            [coded.dictionary.take(pa.array(code[first])).cast(pa.string()), pa.array(span[first])]
+            + [pa.ListArray.from_arrays(offsets, pa.array(values)) for values in lists],
+            names=["term", "range", "docs", "tfs", "lens"],
         )
 
 
@@ -65,27 +68,25 @@ class Index:
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         rows = chunks.select(
             F.col("repo_id").cast("string").alias("repo_id"), F.col("id").cast("string").alias("id"),
-            text.words(F.coalesce(F.col(content), F.lit(""))).alias("words"),
+            F.coalesce(F.col(content), F.lit("")).alias("_content"),
         )
         order = [F.col("repo_id").asc_nulls_first(), F.col("id").asc_nulls_first()]
         sorted_rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-        numbered = written(sorted_rows.withColumn("doc", F.monotonically_increasing_id()), "numbered")
+        # Texts are sorted, not arrays of their words, which are several times as large
+        numbered = sorted_rows.select("repo_id", "id", text.words(F.col("_content")).alias("words"), F.monotonically_increasing_id().alias("doc"))
+        numbered = written(numbered, "numbered")
         docs = numbered.select("doc", F.shiftright("doc", RANGE_BITS).alias("range"), "repo_id", "id", F.size("words").alias("len"))
         docs.withColumn(PART, F.shiftright("doc", 33).cast("int")).write.mode("overwrite").partitionBy(PART).parquet(f"{self.path}/chunks")
         self.docs().groupBy(PART, "range", "repo_id").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("words")).write.mode(
             "overwrite"
         ).parquet(f"{self.path}/ranges")
         _, average = self.statistics()
-        impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / average))
-        counted = numbered.select("doc", "words").mapInArrow(_count, _COUNTED).withColumn("range", F.shiftright("doc", RANGE_BITS))
-        # The one shuffle of counts; a word's row has at most as many chunks as a range
-        by_range = (
-            counted.groupBy("term", "range")
-            .agg(F.sort_array(F.collect_list(F.struct("doc", "tf", "len"))).alias("all"), F.max(impact).alias("bound"))
-            .select(
-                "term", "range", F.size("all").alias("n"), "bound", F.col("all.doc").alias("docs"), F.col("all.tf").alias("tfs"),
-                F.col("all.len").alias("lens"), self.bucket_of(F.col("term")).alias(BUCKET),
-            )
+        impact = lambda tf, size: tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / average))
+        counted = numbered.select("doc", "words").mapInArrow(_count, _COUNTED)
+        # The one shuffle. A range lies in one partition; the few that are split over batches have a row for each
+        by_range = counted.select(
+            "term", "range", F.size("docs").alias("n"), F.array_max(F.zip_with("tfs", "lens", impact)).alias("bound"),
+            "docs", "tfs", "lens", self.bucket_of(F.col("term")).alias(BUCKET),
         )
         spread = by_range.hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, "term", "range")
         spread.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.path}/postings")
@@ -151,7 +152,9 @@ class Index:
         words = weighted.groupBy("query_id").agg(F.collect_list("term").alias("terms"), F.collect_list("idf").alias("idfs"))
         wanted = pairs.join(words, "query_id").select("range", "query_id", "asked_repo", "terms", "idfs")
         used = pairs.select("range", "query_id").join(weighted.select("query_id", "term"), "query_id").select("range", "term").distinct()
-        blocks = postings.select("range", "term", "docs", "tfs", "lens").join(used, ["range", "term"], "left_semi")
+        # Numbers of the ranges, a long for 1024 chunks, so that no postings of other ranges move
+        near = postings.join(F.broadcast(pairs.select("range").distinct()), "range", "left_semi")
+        blocks = near.select("range", "term", "docs", "tfs", "lens").join(used, ["range", "term"], "left_semi")
         chunks = self.docs().join(ranges, [PART, "range"], "left_semi").select("range", "doc", "repo_id", "id")
         everything = wanted.unionByName(blocks, allowMissingColumns=True).unionByName(chunks, allowMissingColumns=True)
         return everything.groupBy("range").applyInArrow(_scorer(average, limit), _HITS.format(kind))
@@ -166,14 +169,14 @@ def _scorer(average: float, limit: int):
         parts = {}
         for block in table.filter(is_block).select(["term", "docs", "tfs", "lens"]).to_pylist():
             tf, size = np.array(block["tfs"], np.float64), np.array(block["lens"], np.float64)
-            parts[block["term"]] = (np.searchsorted(doc, block["docs"]), tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / average)))
+            held = parts.setdefault(block["term"], [])
+            held.append((np.searchsorted(doc, block["docs"]), tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / average))))
         repo, ids = chunks.column("repo_id").to_numpy(zero_copy_only=False), chunks.column("id").to_numpy(zero_copy_only=False)
         which, at, rank = [], [], []
         for k, (asked, terms, idfs) in enumerate(zip(*(queries.column(c).to_pylist() for c in ("asked_repo", "terms", "idfs")))):
             total = np.zeros(len(doc))
             for term, idf in zip(terms, idfs):
-                if term in parts:
-                    place, part = parts[term]
+                for place, part in parts.get(term, ()):
                     total[place] += idf * part
             found = np.flatnonzero(total > 0 if asked is None else (total > 0) & (repo == asked))
             total = np.round(total, DIGITS)

@@ -75,3 +75,19 @@ def test_empty_index(spark, corpus, tmp_path):
     made = postings.Index(spark, str(tmp_path), 2)
     made.build(corpus.where("false"))
     assert made.search(spark.createDataFrame(QUERIES, "query_id int, text string")).collect() == []
+
+
+def test_counts_leave_a_batch_by_word_and_range():
+    """Not a row for each word of each chunk: what a word has in a range is one row before the shuffle."""
+    import pyarrow as pa
+
+    from corpuscle.operators import postings as P
+
+    docs = [5, 6, 1023, 1024, (1 << 33) + 1]
+    words = [["a", "b", "a"], ["b"], ["a"], ["a", "a"], []]
+    batch = pa.RecordBatch.from_arrays([pa.array(docs), pa.array(words)], names=["doc", "words"])
+    empty = batch.slice(0, 0)
+    made = [r for part in P._count([batch, empty, batch.slice(4)]) for r in part.to_pylist()]
+    assert sorted(tuple(r.values()) for r in made) == [
+        ("a", 0, [5, 1023], [2, 1], [3, 1]), ("a", 1, [1024], [2], [2]), ("b", 0, [5, 6], [1, 1], [3, 1]),
+    ]
