@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from corpuscle.llm import hashing as H
 
 RANKS = 300
-BYTES_AT_ONCE = 2 << 20
+BYTES_AT_ONCE = 1 << 19
 UNKNOWN = "und"
 U = np.uint64
 _letter: list[np.ndarray] = []

@@ -25,7 +25,7 @@ from corpuscle.llm.components import components
 WORDS = 5
 ROWS, BANDS = 4, 32
 STEP = 81  # each round has this many times the centres of all before
-BYTES_AT_ONCE = 4 << 20
+BYTES_AT_ONCE = 1 << 20
 CELLS = 128  # of a sketch, one byte each
 U = np.uint64
 SIGNED = "row long, doc_id long, n_shingles long, class long, bands array<long>"

@@ -239,6 +239,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None) ->
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    encoder_of.cache_clear()  # all files are written: a worker that lives on need not hold their words
     for batch in batches:
         for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
             place, inside = fs.FileSystem.from_uri(path)
