@@ -42,7 +42,7 @@ def embed_prep(text: Column) -> Column:
     def blank(lone: Column) -> Column:
         return F.when(lone, " ").otherwise("")
 
-    return F.concat(blank(lone_head), F.translate(body, "\n", " "), blank(lone_tail))
+    return F.concat(blank(lone_head), F.replace(body, F.lit("\n"), F.lit(" ")), blank(lone_tail))
 
 
 def estimate_tokens(text: Column) -> Column:
