@@ -27,7 +27,7 @@ from corpuscle.operators.chunking.rules import LANGUAGES
 
 _NEVER = r"^\b\B"
 _DECORATOR = r"\A\s*@\w[^{]*\z"
-_COMMENT_ONLY = r"\A[\s\x04]*\x01[\s\x01\x04]*\z"
+_EMPTY = r"^\z"
 _DEEP = 1 << 29
 _VOID = "area|base|br|col|embed|hr|img|input|link|meta|param|source|track|wbr"
 _RULE = "struct<no:int,node:string,pattern:string,end:string,named:boolean>"
@@ -54,7 +54,7 @@ def dimension(spark: SparkSession) -> DataFrame:
                     ext, name, language.family, found["lex"], found["comment"], found["string"], split, mark,
                     options.get("context", _DECORATOR), options.get("opens", _NEVER), options.get("closes", _NEVER),
                     options.get("heading", _NEVER), options.get("subheading", _NEVER), language.nested,
-                    "|".join(f"(?:{_bare(pattern)})" for _, pattern, _ in language.rules), rules,
+                    _anchored([pattern for _, pattern, _ in language.rules]), rules,
                 )
             )
     return spark.createDataFrame(
@@ -72,6 +72,11 @@ def _bare(pattern: str) -> str:
     return f"(?{flags[1]}:{pattern[flags.end():]})" if flags else pattern
 
 
+def _anchored(patterns: list[str]) -> str:
+    """One pattern for all, which begin with ``^`` each, tried at the start alone and not at every character."""
+    return r"\A(?:" + "|".join(f"(?:{_bare(p)})" for p in patterns) + ")"
+
+
 def _groups(pattern: str) -> int:
     """Number of capturing groups."""
     plain = re.sub(r"\[(?:\\.|[^\]\\])+\]", "", re.sub(r"\\.", "", pattern))
@@ -159,13 +164,13 @@ def _values(units: Column) -> Column:
 
     indent = lambda u: F.length(F.regexp_extract(u, r"\A[ \t]*", 0))
     hashes = lambda u: F.length(F.regexp_extract(u, r"\A[ ]{0,3}(#{1,6})(?=[ \t\n]|\z)", 1))
-    idle = lambda u: F.regexp_like(u, F.lit(r"\A[\s\x01\x04]*\z"))
+    idle = lexing.idle
     tag = lambda u: (
         F.when(u.rlike(rf"(?si)\A<(?:[!?]|script\b|style\b|(?:{_VOID})\b)|/>\z|\A[^<]"), 0)
         .when(u.startswith("</"), -1).otherwise(1)
     )
     heading = lambda u: (
-        F.when(F.col("language") == "markdown", F.coalesce(F.nullif(hashes(u), F.lit(0)), F.lit(99)))
+        F.when(F.col("language") == "markdown", F.when(u.contains("#"), F.coalesce(F.nullif(hashes(u), F.lit(0)), F.lit(99))).otherwise(99))
         .when(lexing.matches(u, F.col("_heading")), 0).when(lexing.matches(u, F.col("_subheading")), 1).otherwise(2)
     )
     yaml = lambda u: indent(u) * 2 + F.regexp_like(u, F.lit(r"\A\s*-(?:\s|\z)")).cast("int")
@@ -324,12 +329,16 @@ def _ordinals(starts: str, ordered: str) -> Column:
 @functools.cache
 def _columns() -> dict[str, Column]:
     """The expressions of :func:`code_chunks` in order; they name columns only, so one set serves all calls."""
+    def led(u: Column) -> Column:
+        """Whether a unit that is not blank is context of the next: most need no look by the pattern."""
+        none = (F.col("_context") == _EMPTY) | ((F.col("_context") == _DECORATOR) & ~u.contains("@"))
+        return F.when(~none & lexing.matches(u, F.col("_context")), 3).otherwise(0)
+
     kind = F.transform(
         "_units",
-        lambda u: F.when(F.regexp_like(u, F.lit(r"\A\s*\z")), 1)
-        .when(F.regexp_like(u, F.lit(_COMMENT_ONLY)) | u.startswith("<!--"), 2)
-        .when(lexing.matches(u, F.col("_context")), 3)
-        .otherwise(0),
+        lambda u: F.when(lexing.idle(u), F.when(u.contains(lexing.COMMENT), 2).when(F.regexp_like(u, F.lit(r"\A\s*\z")), 1).otherwise(led(u)))
+        .when(u.startswith("<!--"), 2)
+        .otherwise(led(u)),
     )
     group = F.when(
         F.col("family") == "tag", F.transform("_units", lambda u: F.lower(F.regexp_extract(u, r"\A</?([\w-]+)", 1)))

@@ -46,16 +46,18 @@ _TOKENS = {
     "template": r"(?s)<%.*?(?:%>|\z)|(?:(?!<%).)++",
 }
 
-_CONTINUED = r"(?<=[{};])|(?<=(?<![,(\[=|&?>.\\])\n)(?!\s*(?:[{)\].|&?+=,]|:(?!:)|(?:extends|implements|throws|where|permits|with)\b))"
+# Most places fail at the first look behind
+_CONTINUED = r"(?<=[{};\n])(?:(?<=[{};])|(?<![,(\[=|&?>.\\]\n)(?!\s*(?:[{)\].|&?+=,]|:(?!:)|(?:extends|implements|throws|where|permits|with)\b)))"
 SPLITS = {
     "brace": _CONTINUED,
     "keyword": r"(?<=[\n;])",
-    "indent": r"(?<=(?<![,(\[{\\])\n)(?!\s*[)\]}])",
+    "indent": r"(?<=\n)(?<![,(\[{\\]\n)(?!\s*[)\]}])",
     "yaml": r"(?<=\n)",
     "heading": r"(?<=\n)",
     "paren": r"(?=\()|(?<=[)\n])",
     "json": r"(?<=[{}\[\],])",
 }
+PLAIN_SPLITS = [r"(?<=[\n;])", r"(?<=\n)", r"(?<=[{}\[\],])", r"(?<=[{};])", r"(?<=[{};\n])"]
 
 
 def matches(text: Column, pattern: Column) -> Column:
@@ -118,9 +120,24 @@ def masked(content: Column, lex: Column, comment: Column, string: Column, split:
 
 
 def units(content: Column, lex: Column, masked: Column, split: Column) -> Column:
-    """Units in order; their lengths in bytes add up to the file's. Without a ``split`` pattern the tokens are the units."""
-    return F.when(split.isNull(), F.regexp_extract_all(content, lex, F.lit(0))).otherwise(F.split(masked, split))
+    """Units in order; their lengths in bytes add up to the file's. Without a ``split`` pattern the tokens are the units.
+
+    Where every one of some characters ends a unit, whole units are matched: a split looks behind at each character.
+    """
+    plain = F.regexp_extract_all(content, lex, F.lit(0))
+    found = F.when(split.isNull(), plain)
+    for pattern in PLAIN_SPLITS:
+        ends = pattern[4:-1] if pattern[4] == "\\" else pattern[5:-2]
+        whole = rf"[^{ends}]*+[{ends}]|[^{ends}]++|(?<![^{ends}])\z"
+        found = found.when(split == pattern, F.regexp_extract_all(masked, F.lit(whole), F.lit(0)))
+    return found.otherwise(F.split(masked, split))
 
 
 def newlines(unit: Column) -> Column:
-    return F.length(unit) - F.length(F.translate(unit, "\n" + NEWLINE, ""))
+    without = F.replace(F.replace(unit, F.lit("\n"), F.lit("")), F.lit(NEWLINE), F.lit(""))
+    return F.octet_length(unit) - F.octet_length(without)
+
+
+def idle(unit: Column) -> Column:
+    """Whether a unit holds blanks and masked comments only; the first character mostly tells."""
+    return (F.ascii(unit) <= 32) & F.regexp_like(unit, F.lit(r"\A[\s\x01\x04]*\z"))

@@ -345,7 +345,7 @@ LANGUAGES: dict[str, Language] = {
             _named("table_array_element", r"\[\[", r"[\w-]+(?=\]\])"),
             _named("pair", "", r"[\w-]+(?=\s*=)", "self"),
         ],
-        {"split": r"(?<=(?<![,\[{(])\n)(?!\s*[\]}])", "heading": r"^\s*\["},
+        {"split": r"(?<=\n)(?<![,\[{(]\n)(?!\s*[\]}])", "heading": r"^\s*\["},
     ),
     "markdown": Language(
         "markdown",

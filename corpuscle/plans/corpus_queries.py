@@ -97,7 +97,7 @@ _LINES = "regexp_replace(regexp_replace({0}, '(^|\\n)[ ]*(#|`|~|[\\x2D=])', '\\1
 def markdown_sections(spark, sf):
     docs = TB.wide_table(spark, sf, "documents")
     clean = F.regexp_replace(F.regexp_replace("text", r"[\x00-\x08\x0B-\x1F\x7F]", ""), r"\s+\z", "")
-    body = F.concat(F.lit("w "), F.translate(F.replace(clean, F.lit("\n"), F.lit("\nw ")), "`~", ""))
+    body = F.concat(F.lit("w "), TB.swapped(F.replace(clean, F.lit("\n"), F.lit("\nw ")), "`~", ""))
     content = F.concat(
         F.lit("# A"), F.col("doc_id"), F.lit("\n"), body, F.lit("\n## B\n"), body, F.lit("\n# C\n```\n# no\n```\n")
     )

@@ -48,7 +48,7 @@ def _sql(family: str) -> str:
 
 
 def _files(spark, sf, family: str):
-    text = F.translate(F.regexp_replace("text", _CONTROL, ""), _MARKS, "...")
+    text = TB.swapped(F.regexp_replace("text", _CONTROL, ""), _MARKS, ".")
     ext = content = F.lit(None).cast("string")
     samples = _samples(family)
     for k, (end, code, mark, closing, _) in enumerate(samples):

@@ -5,7 +5,7 @@ Every function has its SQL text beside it, from which the oracles are built.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.session import widen
@@ -20,6 +20,13 @@ def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return widen(table(spark, sf_dir, name))
 
 
+def swapped(text: Column, letters: str, by: str) -> Column:
+    """The text with ``by`` for each of some letters. A translation would make a string of every character."""
+    for letter in letters:
+        text = F.replace(text, F.lit(letter), F.lit(by))
+    return text
+
+
 PARENTS_SQL = """
 parents AS (
   SELECT concat(source, '/', doc_id, '.md') AS id, source AS repo_id, text AS content, lang, doc_id
