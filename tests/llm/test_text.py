@@ -91,3 +91,24 @@ def test_empty_table(documents):
     none = documents([(1, "a")]).where("false")
     assert token_files.read_tokens(token_files.write_tokens(none, PATH)).count() == 0
     assert language.identified(none, none).count() == 0
+
+
+def test_reading_frees_the_words_of_the_encoder():
+    """A worker lives on after the last stage, and so would all words that it remembers."""
+    token_files.encoder_of(open(PATH, encoding="utf-8").read())
+    assert token_files.encoder_of.cache_info().currsize == 1
+    assert list(token_files._read(iter([]))) == []
+    assert token_files.encoder_of.cache_info().currsize == 0
+
+
+def test_ngrams_counted_in_parts_add_up():
+    """More text than is counted at once; counts are those of the whole."""
+    texts = ["ab ba " * 100_000, "ab", "ba" * 50_000, "ab ba " * 100_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(["x"] * 4)], names=["text", "lang"])
+    parts = list(language._counted(iter([batch])))
+    total: dict[int, int] = {}
+    for part in parts:
+        for gram, n in zip(part.column("gram").to_pylist(), part.column("n").to_pylist()):
+            total[gram] = total.get(gram, 0) + n
+    code, count = np.unique(language.ngrams("\n".join(texts)), return_counts=True)
+    assert len(parts) > 1 and total == dict(zip(code.view(np.int64).tolist(), count.tolist()))
