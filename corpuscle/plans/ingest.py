@@ -9,7 +9,7 @@ from corpuscle import schemas
 from corpuscle.functions import meta, moment, url, validate
 from corpuscle.functions import path as P
 from corpuscle.operators import embed as E
-from corpuscle.operators import snapshots, tables
+from corpuscle.operators import keysets, snapshots, tables
 from corpuscle.operators.ranking import attach
 from corpuscle.operators.chunking import blocks, prose
 from corpuscle.operators.chunking.languages import EXTENSIONS
@@ -131,6 +131,17 @@ def parent_records(files: DataFrame, user_meta: DataFrame | None) -> DataFrame:
     )
 
 
+def _store(corpus: Corpus, files: DataFrame, touched: DataFrame, now: Column, user_meta: DataFrame | None, prose_too: bool) -> None:
+    """Parents and chunks of the touched files become those of ``files``.
+
+    A file's parent and chunks have the file's bucket, so contents are laid out by it once, and the larger records are not moved.
+    """
+    files = written(corpus.chunks.dealt(files, "repo_id", "path"), "files", "zstd")
+    corpus.parents.replace(parent_records(files, user_meta), touched.withColumnRenamed("path", "id"), dealt=True)
+    records = chunk_records(chunk_files(files, prose_too), user_meta, now)
+    corpus.chunks.replace(records, touched.withColumnRenamed("path", "file_path"), dealt=True)
+
+
 def run(
     corpus: Corpus,
     snapshot: DataFrame,
@@ -161,13 +172,10 @@ def run(
         return changes.drop("hash")
 
     todo = snapshots.to_process(changes)
-    files = snapshot.join(todo.select("repo_id", "path"), ["repo_id", "path"], "left_semi")
-    files = files.where(~P.is_binary_path(F.col("path")))
+    files = keysets.within(snapshot, todo, ["repo_id", "path"], after).where(~P.is_binary_path(F.col("path")))
     touched = snapshots.removed_paths(changes).unionByName(todo.select("repo_id", "path"))
 
-    corpus.parents.replace(parent_records(files, user_meta), touched.withColumnRenamed("path", "id"))
-    records = chunk_records(chunk_files(files, prose_too), user_meta, now)
-    corpus.chunks.replace(records, touched.withColumnRenamed("path", "file_path"))
+    _store(corpus, files, touched, now, user_meta, prose_too)
     corpus.signatures.replace(changes.where("status <> 'D'").select("repo_id", "path", "hash"), touched)
     return changes.drop("hash")
 
@@ -182,8 +190,7 @@ def apply_changes(corpus: Corpus, changed: DataFrame, now: Column, user_meta: Da
     same = after.join(corpus.signatures.read(), ["repo_id", "path", "hash"], "left_semi").select("repo_id", "path")
     fresh = written(after.join(same, ["repo_id", "path"], "left_anti").select("repo_id", "path", "hash"), "fresh")
     touched = written(fresh.select("repo_id", "path").unionByName(removed), "touched")
-    files = changed.select("repo_id", "path", "content").join(fresh.select("repo_id", "path"), ["repo_id", "path"], "left_semi")
+    files = keysets.within(changed.select("repo_id", "path", "content"), fresh, ["repo_id", "path"])
     files = files.where(~P.is_binary_path(F.col("path")))
-    corpus.parents.replace(parent_records(files, user_meta), touched.withColumnRenamed("path", "id"))
-    corpus.chunks.replace(chunk_records(chunk_files(files, prose_too), user_meta, now), touched.withColumnRenamed("path", "file_path"))
+    _store(corpus, files, touched, now, user_meta, prose_too)
     corpus.signatures.replace(fresh, touched)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuscle.operators import filters as FL
-from corpuscle.operators import quality
+from corpuscle.operators import keysets, quality
 
 BUCKET = "bucket"
 
@@ -52,12 +52,24 @@ class Table:
         match = FL.metadata_filter({c: key[c] for c in self.key})
         return self._stored().where(F.col(BUCKET) == self.bucket_of(*values)).where(match).drop(BUCKET)
 
-    def replace(self, new: DataFrame, touched: DataFrame) -> None:
+    def dealt(self, rows: DataFrame, *key: str) -> DataFrame:
+        """Rows from which new rows of this table are made, laid out by the bucket of their ``key``, for :meth:`replace`.
+
+        A bucket is in as many parts as keep the cores busy, for the work on the rows follows.
+        """
+        columns = [F.col(c) for c in key]
+        parts = 1 + 4 * self.spark.sparkContext.defaultParallelism // self.buckets
+        part = F.pmod(F.hash(*columns), F.lit(parts))
+        placed = rows.withColumns({"_bucket": self.bucket_of(*columns), "_part": part})
+        return placed.hint("rebalance", "_bucket", "_part").drop("_bucket", "_part")
+
+    def replace(self, new: DataFrame, touched: DataFrame, dealt: bool = False) -> None:
         """Rows of the ``touched`` keys become the new ones.
 
         Every new row's key has to be among the touched ones. ``touched`` should be
-        cheap to read, for it is read twice: for its buckets, a list no longer than
-        the number of buckets, and for the keys to drop.
+        cheap to read, for it is read several times: for its buckets, a list no longer than
+        the number of buckets, and for the keys to drop. ``dealt`` tells that ``new`` is made of
+        rows from :meth:`dealt` without moving them, so that it need not be laid out by bucket again.
         """
         keys = touched.select(*self.key)
         rows = keys.select(self.bucket_of().alias(BUCKET)).distinct().collect()
@@ -65,7 +77,7 @@ class Table:
         if not numbers:
             return
         kept = self._stored().where(F.col(BUCKET).isin(numbers)).where(F.col(self.key[0]).isNotNull())
-        kept = kept.join(keys, self.key, "left_anti")
+        kept = keysets.without(kept, keys, self.key)
         names = self.schema.fieldNames()
         fresh = new.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields]).withColumn(
             BUCKET, self.bucket_of()
@@ -73,11 +85,14 @@ class Table:
         anchors = self.spark.createDataFrame([(n,) for n in numbers], f"{BUCKET} int").select(
             *[F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields], BUCKET
         )
-        full = kept.select(*names, BUCKET).unionByName(fresh).unionByName(anchors)
+        kept = kept.select(*names, BUCKET).unionByName(anchors)
+        if dealt:
+            full = kept.hint("rebalance", BUCKET).unionByName(fresh)
+        else:
+            full = kept.unionByName(fresh).hint("rebalance", BUCKET)
         order = list(dict.fromkeys([BUCKET, *(["repo_id"] if "repo_id" in names else []), *self.key]))
         (
-            full.hint("rebalance", BUCKET)
-            .sortWithinPartitions(*order)
+            full.sortWithinPartitions(*order)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(BUCKET)
