@@ -35,6 +35,7 @@ BYTES_AT_ONCE = 6 << 20
 CACHED = 1_500_000  # words of a worker whose ids are remembered, some 270 MB
 AT_ONCE = 1 << 14
 NO_ID = -(2**63)
+BLANK = "\u0120"  # how byte-level BPE writes a blank
 WHITE = r"\s\x0b\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 MANIFEST = "slot int, path string, n_docs long, n_ids long"
 
@@ -44,7 +45,8 @@ class Encoder:
 
     For byte-level BPE without normalisation a blank that no other white space touches begins a
     pre-token, so a text can be cut there and equal pieces encoded once. The pieces of a batch that are not
-    known are encoded in one call; known ids lie in one array.
+    known are encoded in long texts of many pieces, whose ids are parted where one begins with a blank; known
+    ids lie in one array.
     """
 
     def __init__(self, tokenizer: str, remembered: int = CACHED):
@@ -54,9 +56,17 @@ class Encoder:
         self.whole = Tokenizer.from_str(tokenizer)
         parts = json.loads(tokenizer)
         before = parts.get("pre_tokenizer") or {}
-        self.cuts = parts.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space")
+        self.cuts = (
+            parts.get("normalizer") is None
+            and before.get("type") == "ByteLevel"
+            and before.get("use_regex", True)
+            and not before.get("add_prefix_space")
+        )
         special = [t["content"] for t in parts.get("added_tokens", [])]
         self.unsafe = f" [{WHITE}]|[{WHITE}] " + "".join("|" + "".join(f"\\x{{{ord(c):x}}}" for c in s) for s in special)
+        self.blank = np.zeros(max(self.whole.get_vocab().values(), default=-1) + 1, bool)
+        self.blank[[i for t, i in self.whole.get_vocab().items() if t[0] == BLANK]] = True
+        self.chains = not any(" " in s for s in special)
         self.remembered = remembered
         self._forget()
 
@@ -71,6 +81,21 @@ class Encoder:
             out += [e.ids for e in self.whole.encode_batch_fast(texts[at : at + AT_ONCE], add_special_tokens=False)]
         return out
 
+    def _chained(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of words that each begin with their only blank and neither go on nor end with white space."""
+        sizes, ids = [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
+        for at in range(0, len(words), AT_ONCE):
+            some = words[at : at + AT_ONCE]
+            got = np.array(self._encoded(["".join(some)])[0], np.uint32)
+            head = np.flatnonzero(self.blank[got])
+            if len(head) == len(some) and head[0] == 0:
+                size = np.diff(np.append(head, len(got)))
+            else:
+                size, got = _flat(self._encoded(some))
+            sizes.append(size)
+            ids.append(got)
+        return np.concatenate(sizes), np.concatenate(ids)
+
     def _slots(self, words: list[str]) -> np.ndarray:
         """Where the ids of each word are remembered; the words are different."""
         found = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
@@ -81,12 +106,14 @@ class Encoder:
             new = np.arange(len(words))
         if len(new):
             fresh = [words[k] for k in new.tolist()]
-            ids = self._encoded(fresh)
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            at, total = len(self.known), int(size.sum())
+            chain = np.array([w[:1] == " " and not w[-1:].isspace() for w in fresh], bool) & self.chains
+            new = np.concatenate([new[chain], new[~chain]])
+            fresh = [*itertools.compress(fresh, chain), *itertools.compress(fresh, ~chain)]
+            size, ids = map(np.concatenate, zip(self._chained(fresh[: chain.sum()]), _flat(self._encoded(fresh[chain.sum() :]))))
+            at, total = len(self.known), len(ids)
             self.pool = _grown(self.pool, self.used + total)
             self.begin, self.size = _grown(self.begin, at + len(new)), _grown(self.size, at + len(new))
-            self.pool[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, total)
+            self.pool[self.used : self.used + total] = ids
             self.size[at : at + len(new)] = size
             self.begin[at : at + len(new)] = self.used + np.cumsum(size) - size
             self.used += total
@@ -109,7 +136,8 @@ class Encoder:
         there[index] = True
         kinds = np.flatnonzero(there)
         lead = pc.if_else(pa.array(kinds & 1 == 1), "", " ")
-        slots = self._slots(pc.binary_join_element_wise(lead, coded.dictionary.take(pa.array(kinds // 2)), "").to_pylist())
+        pieces = pc.binary_join_element_wise(lead, coded.dictionary.take(pa.array(kinds // 2)), "")
+        slots = self._slots(pieces.to_numpy(zero_copy_only=False).tolist())
         slot = slots[(np.cumsum(there) - 1)[index]]
         count = self.size[slot]
         edge = np.concatenate([[0], np.cumsum(count)])
@@ -129,6 +157,12 @@ def encoder_of(tokenizer: str) -> Encoder:
     return Encoder(tokenizer)
 
 
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of lists, and their items one after the other."""
+    size = np.fromiter(map(len, ids), np.int64, len(ids))
+    return size, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum()))
+
+
 def _grown(array: np.ndarray, n: int) -> np.ndarray:
     """The array with room for ``n`` items at least."""
     return array if n <= len(array) else np.concatenate([array, np.zeros(max(n, 2 * len(array)) - len(array), array.dtype)])

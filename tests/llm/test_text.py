@@ -112,3 +112,21 @@ def test_ngrams_counted_in_parts_add_up():
             total[gram] = total.get(gram, 0) + n
     code, count = np.unique(language.ngrams("\n".join(texts)), return_counts=True)
     assert len(parts) > 1 and total == dict(zip(code.view(np.int64).tolist(), count.tolist()))
+
+
+def test_unknown_words_are_encoded_in_long_texts():
+    """Few calls of the library, and the ids of each text on its own, whatever white space and marks it holds."""
+    encoder = token_files.Encoder(open(PATH, encoding="utf-8").read())
+    rng, sizes = random.Random(5), []
+    whole = encoder._encoded
+    encoder._encoded = lambda texts: sizes.append(len(texts)) or whole(texts)
+    plain = [" ".join(f"w{rng.randrange(10**9)}'sĠx" for _ in range(50)) for _ in range(40)]
+    odd = ["", " ", "a", " a", "a ", "a  b", "a\n", "b c\n", "\na b", "a \tb", "  x y　", "it's 's", "Ġa Ġ", "x<|endoftext|> y", "\U0001f600 é z"]
+    odd += ["".join(rng.choice("ab1' Ġ\n  .é") for _ in range(rng.randrange(20))) for _ in range(500)]
+    for texts in (plain, odd, odd + plain):
+        del sizes[:]
+        ids, edge = encoder.batch(pa.array(texts, pa.string()))
+        if texts is plain:
+            assert sum(sizes) <= 1 + len(plain)  # one long text, and the first word of each text
+        wanted = [encoder.whole.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [ids[a:b].tolist() for a, b in zip(edge, edge[1:])] == wanted
