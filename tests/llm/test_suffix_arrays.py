@@ -67,5 +67,39 @@ def test_suffix_order_and_common_prefixes():
             assert share[order[r]] == min(60, expect) or min(len(a), len(b)) <= expect
 
 
+def marks(passages, width):
+    """Windows marked as occurring twice, and the windows that lead their equals, each as found and as counted."""
+    of, off, twice, again = suffix_arrays.repeated_windows(passages, width)
+    window = [passages[p][o : o + width] for p, o in zip(of, off)]
+    seen = Counter(window)
+    return twice.tolist(), sorted(w for w, a in zip(window, again) if not a), [seen[w] > 1 for w in window], sorted(seen)
+
+
+def test_passages_that_go_on_alike_into_the_next():
+    """Two suffixes agree over 112 bytes, twice the width, and their successors are parted by the byte after it."""
+    rng = random.Random(7)
+    draw = lambda n: bytes(rng.choice(b"mnopqrst") for _ in range(n))
+    s, t = draw(61), draw(50)
+    near = s[1:41] + b"a" * 16
+    found, leads, counted, each = marks([b"x" + s, t + b"z" * 6, b"y" + s, t + b"a" * 6, near], 55)
+    assert found == counted and leads == each
+
+
+def test_zero_bytes_at_the_ends_of_passages():
+    rng = random.Random(8)
+    for _ in range(40):
+        draw = lambda n: bytes(rng.choice(b"\0\0\0a") for _ in range(n))
+        found, leads, counted, each = marks(list({draw(rng.randrange(8, 13)): 0 for _ in range(12)}), 8)
+        assert found == counted and leads == each
+
+
+def test_texts_with_zero_characters(documents):
+    """Windows that are equal only across the end of a passage count for nothing, and hide none that are."""
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choice(["\0" * 30, "\0" * 7 + "a", "b\0"]) for _ in range(12))) for i in range(60)]
+    mine = sorted((tuple(r) for r in suffix_arrays.remove_repeats(documents(rows), 45, 400).collect()), key=repr)
+    assert mine == brute(rows, 45)
+
+
 def test_empty_table(documents):
     assert suffix_arrays.remove_repeats(documents([(1, "a")]).where("false")).count() == 0
