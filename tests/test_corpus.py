@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -161,6 +162,42 @@ def test_scan_files(spark, tmp_path):
     assert SF.list_files(spark, str(root), "r").count() == 3
 
 
+def test_scan_files_lists_in_tasks(spark, tmp_path, monkeypatch):
+    """The driver holds no file names, folders are dealt out in rounds, and the rows are those of Spark's reader."""
+    monkeypatch.setattr(SF, "_ENTRIES", 3)
+    monkeypatch.setattr(SF, "_BATCH_BYTES", 64)
+    root = tmp_path / "a b%20#1"
+    names = [f"d{n % 5}/e{n % 3}/f{n % 2}/{n}.txt" for n in range(60)]
+    names += ["_x", "_x=1", ".x", "x._COPYING_", "_metadata", "_d/x.txt", ".d/x.txt", "_d=1/x.txt", "n\nl.txt", "[q]?.txt", "é.md", "sub.png/in.txt"]
+    for name in names:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(f"in {name}", newline="")
+    (root / "long.txt").write_text("long " * 100)
+    (root / "none.txt").write_bytes(b"")
+    (root / "void").mkdir()
+    (root / "link.txt").symlink_to("long.txt")
+    (root / "gone.txt").symlink_to("nowhere")
+    (root / "linked").symlink_to("d1/e1")
+    for name, data in {"good.txt": b"12345678", "bad.txt": b"12345679"}.items():
+        (root / name).write_bytes(data)
+        (root / f".{name}.crc").write_bytes(b"crc\0" + (5).to_bytes(4) + zlib.crc32(b"12345").to_bytes(4) + zlib.crc32(b"678").to_bytes(4))
+
+    def spark_reads(glob):
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true")
+        found = reader.option("pathGlobFilter", glob).load(str(root)).select("path", "content").collect()
+        return sorted((r.path.removeprefix(f"file:{root}/"), r.content.decode()) for r in found)
+
+    for glob, where in (("*", str(root)), ("*.txt", f"file://{root}"), ("{1,[2-4]}*.t?t", f"{root}/"), ("nothing", str(root))):
+        got = SF.scan_files(spark, where, "r", glob).select("path", "content").collect()
+        assert sorted((r.path, r.content) for r in got) == spark_reads(glob), glob
+    found = SF.scan_files(spark, str(root), "r")
+    assert found.count() > 60 and not [f for f in found.inputFiles() if "/a%20b" in f]
+    assert SF.scan_files(spark, str(root / "void"), "r").count() == 0
+    assert as_set(SF.scan_files(spark, str(root / "lo*.txt"), "r"), "content") == {("long " * 100,)}
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        SF.scan_files(spark, str(root / "missing"), "r")
+
+
 def test_write_files(spark, tmp_path):
     """A file a row, in folders named as Spark names them, and without a process or checksum a file."""
     rows = [("a", "x"), ("a", "x"), ("b:1", "y\nz"), (None, "é"), ("", None)]
