@@ -50,7 +50,8 @@ def _entries(place: fs.FileSystem, folder: str) -> Iterator[tuple[str, int | Non
     """Names in a folder with their lengths, which are none for folders."""
     if not isinstance(place, fs.LocalFileSystem):
         for found in place.get_file_info(fs.FileSelector(folder)):
-            yield found.base_name, None if found.type == fs.FileType.Directory else found.size
+            if found.type in (fs.FileType.Directory, fs.FileType.File):
+                yield found.base_name, found.size if found.is_file else None
         return
     with os.scandir(folder) as entries:  # one at a time, however many there are
         for found in entries:
@@ -76,7 +77,7 @@ def _listing(spark: SparkSession, root: str) -> DataFrame:
             if met >= _ENTRIES:
                 yield folder, None
                 continue
-            for name, length in _entries(place, f"{base}/{folder}"):
+            for name, length in _entries(place, f"{base}/{folder}" if folder else base or "/"):
                 met += 1
                 if _hidden(name):
                     continue

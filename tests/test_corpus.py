@@ -5,6 +5,7 @@ import os
 import zlib
 
 import pytest
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from corpuscle.operators import jobs as J
@@ -193,6 +194,9 @@ def test_scan_files_lists_in_tasks(spark, tmp_path, monkeypatch):
     found = SF.scan_files(spark, str(root), "r")
     assert found.count() > 60 and not [f for f in found.inputFiles() if "/a%20b" in f]
     assert SF.scan_files(spark, str(root / "void"), "r").count() == 0
+    local = fs.LocalFileSystem()  # seen through another store, folders are listed alike
+    assert set(SF._entries(fs.SubTreeFileSystem(str(root), local), "d1")) == set(SF._entries(local, f"{root}/d1")) != set()
+    assert set(SF._entries(local, f"{root}/d1/e1/f1")) == {("1.txt", 17), ("31.txt", 18)}
     assert as_set(SF.scan_files(spark, str(root / "lo*.txt"), "r"), "content") == {("long " * 100,)}
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         SF.scan_files(spark, str(root / "missing"), "r")
